@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, htmltext, langid, media, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1,
+        "op3_html_text": htmltext.op3,
+        "op5_media_columns": media.op5,
         "op7_secret_scan": secrets.op7,
         "op10_byte_bpe": bpe.op10,
     }
