@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, htmltext, langid, media, secrets
+from . import bpe, htmltext, langid, media, mixing, secrets, sharding
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1,
+        "op2_source_mix": mixing.op2,
         "op3_html_text": htmltext.op3,
         "op5_media_columns": media.op5,
         "op7_secret_scan": secrets.op7,
+        "op8_shards": sharding.op8,
         "op10_byte_bpe": bpe.op10,
     }
 
