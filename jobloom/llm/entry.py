@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, htmltext, langid, media, mixing, secrets, sharding
+from . import bpe, htmltext, langid, media, mixing, secrets, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.op1,
         "op2_source_mix": mixing.op2,
         "op3_html_text": htmltext.op3,
+        "op4_substring_dedup": substring_dedup.op4,
         "op5_media_columns": media.op5,
         "op7_secret_scan": secrets.op7,
         "op8_shards": sharding.op8,
