@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, htmltext, langid, media, mixing, secrets, sharding, substring_dedup
+from . import bpe, embed_join, htmltext, langid, media, mixing, ngram_join, secrets, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_html_text": htmltext.op3,
         "op4_substring_dedup": substring_dedup.op4,
         "op5_media_columns": media.op5,
+        "op6_embedding_join": embed_join.op6,
         "op7_secret_scan": secrets.op7,
         "op8_shards": sharding.op8,
+        "op9_ngram_join": ngram_join.op9,
         "op10_byte_bpe": bpe.op10,
     }
 
