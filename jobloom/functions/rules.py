@@ -106,14 +106,15 @@ def employment_type(*fields: Column, fte: Column | None = None) -> Column:
     found = F.coalesce(*[one(c) for c in fields])
     if fte is None:
         return found
-    share = F.expr("cast(null as double)") if fte is None else F.try_to_number(F.regexp_extract(fte, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("999.99")).cast("double")
+    share = F.try_to_number(F.regexp_extract(fte, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("999.99")).cast("double")
     return F.coalesce(found, F.when(share >= 1, "full_time").when(share > 0, "part_time"))
 
 
 def shift_pattern(c: Column) -> Column:
     """Shift of a list of shifts: more than one of day, evening and night rotates; weekend counts only alone."""
     parts = F.transform(F.split(F.lower(c), "[,;]"), lambda p: F.trim(p))
-    has = {w: F.exists(parts, lambda p, w=w: p.startswith(w)) for w in ("day", "evening", "night", "weekend")}
+    starts = lambda word: F.exists(parts, lambda p: p.startswith(word))
+    has = {word: starts(word) for word in ("day", "evening", "night", "weekend")}
     core = sum((has[w].cast("int") for w in ("day", "evening", "night")), F.lit(0))
     return F.when(core > 1, "rotating").when(has["day"], "day").when(has["evening"], "evening").when(has["night"], "night").when(has["weekend"], "weekend")
 
