@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("serving", "living", "columns")
+MODULES = ("serving", "living", "columns", "extracting", "streams")
 
 
 def _all(name: str) -> dict:

@@ -302,3 +302,8 @@ def signup_states(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("email"), F.col("event_type").alias("city"), F.lit(None).cast("string").alias("category"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("token"))
     return A.apply_signups(rows)
+
+
+@query("SET-1", "SELECT DISTINCT c_mktsegment AS employer_name, c_nationkey AS place FROM customer")
+def distinct_keys(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("employer_name"), F.col("c_nationkey").alias("place")).dropDuplicates()
