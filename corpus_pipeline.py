@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from jobloom.llm import bpe, langid, mixing, ngram_join, secrets
 from jobloom.llm.common import read_table, stored
 
-#: Least cosine with any language. Clean texts of a few words still reach about twice as much.
-LEAST_SCORE = 0.05
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters or unlike every language; fills a missing language with the predicted one."""
+    """Rejects texts in which no language can be told (null, or without a letter); fills a missing language.
+
+    The cosine itself rejects nothing: it is low for short clean texts too.
+    """
     judged = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    kept = judged.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    kept = judged.filter(F.col("lang_pred") != langid.UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
