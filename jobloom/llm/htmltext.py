@@ -1,10 +1,11 @@
 """Main text of web pages by a maximum-scoring contiguous region.
 
-A page is a line of words and tags. Words score 1, or -1 inside boilerplate elements; tags score a weight that
-is at most 0 and that ``fit`` learns from labelled pages: pages whose markup names its article (an ``article``
-or ``main`` element). A tag weighs the more, the more of its occurrences lie outside articles; class and id
-tokens seen outside articles only mark boilerplate too. One linear scan finds the contiguous region with the
-largest sum. Where a page names its article, the scan runs inside the named element that has most words.
+A page is a line of words and tags. Words score 1, or slightly below 0 inside boilerplate elements; tags score a
+weight that is at most 0 and that ``fit`` learns from labelled pages: pages whose markup names its article (an
+``article`` or ``main`` element). A tag weighs the more, the more of its occurrences lie outside articles; class and
+id tokens seen outside articles only mark boilerplate too. One linear scan finds the contiguous region with the
+largest sum. Where a page names its article, the scan runs inside the named element that has most words; there the
+label itself says that tags are content, so they cost next to nothing.
 
 Words of boilerplate elements inside the region are left out. Text blocks are joined in page order; white space
 inside a block becomes one space; character references are decoded; nothing else is dropped or cut.
@@ -40,11 +41,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HINTS = re.compile(
     r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent\w*|gdpr|notices?|popup|modal|newsletter|subscri\w+|nav\w*|menu\w*|breadcrumbs?"
     r"|sidebar\w*|footer|masthead|topbar|toolbar|comments?|disqus\w*|respond|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend\w*|widgets?|login|signup|search"
-    r"|navigation|contentinfo|complementary|skip)$"
+    r"|navigation|contentinfo|complementary|skip|responses?|discussion|guestbook|alerts?|disclaimer|paywall|toast|overlay|lightbox|signin)$"
 )
 #: Least count of a tag or token before its weight is learnt, as a share of pages; caps the table's size.
 LEAST_SHARE = 0.001
 DEEPEST = -6.0
+#: Score of a word of a boilerplate element outside a named article (inside it is 0), and of a tag inside one.
+SKIPPED, NAMED_TAG = -0.05, -0.001
 
 
 def tokens_of(attributes: str) -> list[str]:
@@ -68,28 +71,30 @@ def parse(html: str, weights: dict[str, float], learnt: frozenset) -> tuple[list
     items: list[tuple[int, str, float, int]] = []
     words: dict[int, int] = {}
     region, inside, regions = 0, 0, 0  # number, depth and count of article elements
-    skip, depth = "", 0  # open boilerplate element and its nesting
+    skip, depth, soft = "", 0, False  # open boilerplate element, its nesting, and whether only its names say so
     for m in TOKEN.finditer(html):
         text, tag = m[5], m[3]
         if text is not None:
             n = len(text.split())
-            items.append((0, text if not skip else "", float(-n if skip else n), region))
+            items.append((0, text if not skip else "", n * (1.0 if not skip else 0.0 if region else SKIPPED), region))
             if not skip and n:
                 words[region] = words.get(region, 0) + n
             continue
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m[2])
-        items.append((2 if tag in INLINE and not skip else 1, "", weights.get(tag, 0.0), region))
+        items.append((2 if tag in INLINE and not skip else 1, "", NAMED_TAG if region else weights.get(tag, 0.0), region))
         if tag in VOID or m[4].endswith("/"):
             continue
+        if skip and soft and tag in REGIONS and not closing and not regions:
+            skip = ""  # a wrapper around the page's first article is no boilerplate, whatever its names
         if skip:
             if tag == skip:
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
         elif not closing and _is_boilerplate(tag, tokens_of(m[4]), inside > 0, learnt):
-            skip, depth = tag, 1
+            skip, depth, soft = tag, 1, tag not in BOILERPLATE
         elif tag in REGIONS:
             if closing and inside:
                 inside -= 1

@@ -294,6 +294,11 @@ def test_pages_keep_the_article_alone(spark):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in htmltext.extract(df, htmltext.fit(df)).collect()}
     body = "Head&line One twothree. Four é Five six"
     assert got[1] == (body, len(body)) and got[2] == got[3] == ("", 0) and got[4][0] == body and got[5][0] == "lone <text"
+    linked = "<article><p>one two</p>" + "<aside>" + "far " * 60 + "</aside><ul>" + "<li><a>x</a></li>" * 9 + "</ul><p>end</p></article>"
+    wrapped = f'<div class="page menu-open"><nav>no</nav>{linked}<div class="comments"><article>{"me " * 99}</article></div></div>'
+    weights = {"a": -6.1, "li": -6.1, "ul": -6.1, "div": -6.1, "nav": -6.1}
+    for page in (linked, wrapped):
+        assert htmltext.main_text(page, weights) == "one two " + "x " * 9 + "end"
     assert htmltext.extract(df.limit(0), htmltext.fit(df.limit(0))).count() == 0
 
 
