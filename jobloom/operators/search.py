@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # English words that an index leaves out.
@@ -24,34 +23,30 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
-def stem(words: pd.Series) -> pd.Series:
-    """A light English stem: plural, -ing, -ed and -ly endings."""
+# Endings of a light English stem, with what replaces them, tried in order.
+ENDINGS = (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
 
-    def one(w: str) -> str:
-        if w is None or len(w) < 4:
-            return w
-        for end, put in (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")):
-            if w.endswith(end) and len(w) - len(end) >= 3 and not (end == "s" and w.endswith("ss")):
-                return w[: len(w) - len(end)] + put
-        return w
 
-    return words.map(one)
+def stem(c: Column) -> Column:
+    """A light English stem, in native expressions: the first ending that leaves three letters or more goes."""
+    chain = F.when(F.length(c) < 4, c)
+    for end, put in ENDINGS:
+        fits = c.endswith(end) & (F.length(c) - len(end) >= 3)
+        chain = chain.when(fits & ~c.endswith("ss") if end == "s" else fits, F.concat(F.substr(c, F.lit(1), F.length(c) - len(end)), F.lit(put)))
+    return chain.otherwise(c)
 
 
 def build_index(df: DataFrame, fields: dict[str, str], id_col: str = "id", stemmed: bool = False) -> DataFrame:
     """(term, id, weight, pos) of all fields; ``fields`` gives a column for each weight."""
     parts = [df.select(F.col(id_col).alias("id"), F.lit(w).alias("weight"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for w, c in fields.items()]
     rows = reduce(DataFrame.union, parts).filter(~F.col("term").isin(*STOP_WORDS))
-    return rows.withColumn("term", stem("term")) if stemmed else rows
+    return rows.withColumn("term", stem(F.col("term"))) if stemmed else rows
 
 
 def parse_clauses(queries: DataFrame) -> DataFrame:
     """(qid, branch, negative, words): web syntax, where "or" parts branches, quotes hold phrases, a dash negates."""
     parts = F.regexp_extract_all(F.lower("q"), F.lit(r'(-?"[^"]*"|\S+)'), 1)
     flat = queries.select("qid", F.posexplode(parts).alias("at", "part"))
-    from pyspark.sql import Window
-
     branch = F.sum((F.col("part") == "or").cast("int")).over(Window.partitionBy("qid").orderBy("at"))
     clauses = flat.withColumn("branch", branch).filter("part != 'or'").select("qid", "branch", F.col("at").alias("clause"), F.col("part").startswith("-").alias("negative"), tokens(F.col("part")).alias("all"))
     return clauses.withColumn("words", F.filter("all", lambda w: ~w.isin(*STOP_WORDS))).filter(F.size("words") > 0).drop("all")

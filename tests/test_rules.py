@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from jobloom.functions import money, rules, text
-from jobloom.operators import alerts, lifecycle, resolve, serve
+from jobloom.operators import alerts, lifecycle, resolve, search, serve
 
 AS_OF = "2026-08-31 12:00:00"
 
@@ -88,3 +88,8 @@ def test_purge_twice_changes_nothing_more(spark):
     assert [r["job_id"] for r in one["jobs"].collect()] == [1] and [r["raw_id"] for r in one["raw"].collect()] == [10]
     two = lifecycle.purge(one["jobs"], one["links"], one["raw"], one["tombstones"], now)
     assert tuple(two["counts"].first()) == (0, 0) and two["tombstones"].count() == 2
+
+
+def test_stems(spark):
+    given = ["nursing", "nurses", "class", "caring", "red", "quickly", None]
+    assert column(spark, given, search.stem) == ["nurs", "nurse", "class", "car", "red", "quick", None]
