@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 import unicodedata
 from itertools import chain
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Pieces a worker remembers; beyond it the memory is emptied, which changes speed only.
-MEMORY = 400_000
+MEMORY = 100_000
+#: Bytes of text encoded at a time.
+SLICE = 1 << 20
 #: The public pattern in the terms of Python's own faster matcher. The two agree on texts without the
 #: characters that ``Codec.odd`` finds; other texts, and other patterns, take the exact matcher.
 PLAIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -47,6 +50,7 @@ class Codec:
     """Encoder and decoder of one rank table. Built once in each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         import regex
         from tokenizers import Tokenizer, models
 
@@ -86,8 +90,8 @@ class Codec:
         if len(self.known) > MEMORY:
             self.known.clear()
         new = [p for p in set(chain.from_iterable(split)) if p not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
             for piece, enc in zip(part, self.model.encode_batch_fast([self.spell(p.encode()) for p in part], add_special_tokens=False), strict=True):
                 self.known[piece] = np.array(enc.ids, "<u4").tobytes()
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
@@ -117,6 +121,12 @@ def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def forget() -> None:
+    """Empties the memory of pieces: a worker that lives on holds the table alone."""
+    for own in _CODECS.values():
+        own.known.clear()
+
+
 def _source(path: str | None, pattern: str | None) -> tuple[dict[bytes, int], str]:
     if path is None or pattern is None:
         import public_tokenizers
@@ -143,7 +153,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
 
     own = df.select(*keep, df[text_col].cast("string").alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "__text")
-    return map_texts(own, run, kinds + "ids array<int>, starts array<int>, ends array<int>", "__text")
+    return map_texts(own, run, kinds + "ids array<int>, starts array<int>, ends array<int>", "__text", SLICE, forget)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -176,7 +186,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         }
 
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("__text"))
-    return map_texts(own, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "__text")
+    return map_texts(own, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "__text", SLICE, forget)
 
 
 def op10(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of one block. A block is what a task holds in memory at a time, so this bounds its arrays.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Rolling base: odd and 3 modulo 8, so that differences of its powers keep few factors of two.
 BASE = np.uint64(0x9E3779B97F4A7C1B)
 
@@ -52,7 +54,7 @@ def utf8(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with about ``limit`` bytes of ``column`` each; a longer row comes alone."""
     col = batch.column(column)
     sizes = np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=float))
@@ -66,17 +68,30 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, text_col: str) -> DataFrame:
-    """``mapInArrow`` over slices bounded by bytes; ``fn`` returns the columns of ``schema`` for a slice."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text_col: str, limit: int = 4 << 20, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over slices of about ``limit`` bytes of text; ``fn`` returns the columns of ``schema`` for a slice.
+
+    ``after`` runs at a task's end, to let go of what ``fn`` has remembered.
+    """
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, limit):
                 yield pa.RecordBatch.from_pydict(fn(part))
+        if after:
+            after()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit keyed hashes of words, the same on every machine."""
     if not words:

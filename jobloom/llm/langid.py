@@ -34,7 +34,7 @@ def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
 
 def gram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """Bound vectors of n-gram codes: the product of letter vectors rotated by their place."""
-    out = np.ones((len(codes), letters.shape[1]), np.float32)
+    out = np.ones((len(codes), letters.shape[1]), letters.dtype)
     rest = codes.astype(np.int64)
     for place in range(GRAM):
         out *= np.roll(letters, place, axis=1)[rest % LETTERS]
@@ -124,9 +124,9 @@ class Model:
     """Prototypes with the per-gram tables that a worker builds once."""
 
     def __init__(self, langs: list[str], protos: np.ndarray):
-        self.langs, self.letters = langs, letter_vectors(protos.shape[1])
+        self.langs, self.letters = langs, letter_vectors(protos.shape[1]).astype(np.int8)
         self.protos = protos.astype(np.float32)
-        self.rows = np.zeros((0, protos.shape[1]), np.float32)
+        self.rows = np.zeros((0, protos.shape[1]), np.int8)
         self.place = np.full(LETTERS**GRAM, -1, np.int64)
         self.size = 0
 
@@ -138,7 +138,7 @@ class Model:
                 self.place[:] = -1
                 self.size, new = 0, codes
             if self.size + len(new) > len(self.rows):
-                grown = np.zeros((max(2 * len(self.rows), self.size + len(new), 4096), self.protos.shape[1]), np.float32)
+                grown = np.zeros((max(2 * len(self.rows), self.size + len(new), 4096), self.protos.shape[1]), np.int8)
                 grown[: self.size] = self.rows[: self.size]
                 self.rows = grown
             self.rows[self.size : self.size + len(new)] = gram_vectors(new, self.letters)
@@ -155,8 +155,8 @@ class Model:
         first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
         n = np.diff(np.r_[first, len(codes)]).astype(np.float32)
         bundle = np.zeros(self.protos.shape[1], np.float64)
-        for at in range(0, len(first), 8192):
-            bundle += n[at : at + 8192] @ self.lookup(codes[first[at : at + 8192]])
+        for at in range(0, len(first), 2048):
+            bundle += n[at : at + 2048] @ self.lookup(codes[first[at : at + 2048]]).astype(np.float32)
         norm = np.linalg.norm(bundle)
         return (self.protos @ bundle.astype(np.float32)) / norm if norm else np.zeros(len(self.langs))
 
@@ -168,22 +168,23 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     """``keep`` columns, ``lang_pred`` and ``score``: the best cosine, 0 where it is negative."""
     langs, protos = model
     key = repr(langs).encode() + protos.tobytes()[:4096]
+    name = text_col if text_col in keep else "__text"
 
     def run(batch: pa.RecordBatch) -> dict:
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Model(langs, protos)
         names, scores = [], []
-        for text in batch.column("__text").to_pylist():
+        for text in batch.column(name).to_pylist():
             cos = _MODELS[key].cosines(text or "")
             best = -1 if cos is None else int(np.argmax(cos))
             names.append(UNDETERMINED if cos is None else langs[best])
             scores.append(0.0 if cos is None else round(float(min(1.0, max(0.0, cos[best]))), 6))
         return {k: batch.column(k) for k in keep} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    own = df.select(*keep, df[text_col].cast("string").alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "__text")
-    return map_texts(own, run, kinds + "lang_pred string, score double", "__text")
+    own = df.select(*keep) if name in keep else df.select(*keep, df[text_col].cast("string").alias(name))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name in keep)
+    return map_texts(own, run, kinds + "lang_pred string, score double", name)
 
 
 def is_held_out(id_col: str = "doc_id") -> F.Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_WORDS, map_texts, read_table, rolling, utf8, word_hashes
+from .common import BLOCK_WORDS, give_back, map_texts, read_table, rolling, utf8, word_hashes
 from .packed import SCHEMA, Bucket, block_number, block_rows, buckets, exchanged, table
 
 WIDTH = 35
@@ -51,6 +51,7 @@ def removals(df: DataFrame, width: int = WIDTH) -> DataFrame:
             if words:
                 yield table(_block(block_number(count), words, docs, rows, width, n))
                 count += 1
+            give_back()
 
     def answer(rows: pa.Table) -> pa.Table:
         own = Bucket(rows, n)
