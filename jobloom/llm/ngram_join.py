@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_WORDS, mixed, powers, read_table, rolling, stored, utf8, word_hashes
+from .common import BLOCK_WORDS, give_back, mixed, powers, read_table, rolling, stored, utf8, word_hashes
 from .components import components
-from .packed import SCHEMA, Bucket, block_number, block_rows, buckets, exchanged, table
+from .packed import SCHEMA, Bucket, block_number, block_rows, buckets, exchanged, packed_gaps, table, unpacked_gaps
 
 WIDTH, PERCENT = 5, 75
 #: Documents of a chunk of a family; a group holds two chunks.
@@ -85,13 +85,15 @@ def shared_sets(df: DataFrame, text_col: str, id_col: str, width: int = WIDTH, p
             if raws:
                 yield table(_block(block_number(count), ids, raws, width, n_buckets))
                 count += 1
+            give_back()
 
     def answer(rows: pa.Table) -> pa.Table:
         own = Bucket(rows, n_buckets)
         totals = own.totals()
         chosen = totals > 1
-        some, hashes = np.minimum(totals[chosen], 2**32 - 1).astype(np.uint32), own.hashes[chosen]
-        out = [(block, 0, 2, places.tobytes(), some[at].tobytes(), hashes[at].tobytes(), b"") for block, places, at in own.answers(chosen)]
+        # Frequencies only order n-grams, so they may stop at a largest value, which is the same everywhere.
+        some, hashes = np.minimum(totals[chosen], 65535).astype(np.uint16), own.hashes[chosen]
+        out = [(block, 0, 2, packed_gaps(places.astype(np.int64), True), some[at].tobytes(), hashes[at].tobytes(), b"") for block, places, at in own.answers(chosen)]
         return pa.concat_tables([own.directory, pa.Table.from_batches([table(out)])])
 
     def assemble(rows: pa.Table) -> pa.Table:
@@ -104,8 +106,8 @@ def shared_sets(df: DataFrame, text_col: str, id_col: str, width: int = WIDTH, p
         others, firsts = np.frombuffer(head["c"], np.uint32).reshape(2, -1).astype(np.int64)
         total = int(docs[first >= 0, 2].sum())
         counts, hashes = np.zeros(total, np.int64), np.zeros(total, np.uint64)
-        at = gather("a", np.uint32).astype(np.int64)
-        counts[at], hashes[at] = gather("b", np.uint32), gather("c", np.uint64)
+        at = np.concatenate([np.zeros(0, np.int64), *(unpacked_gaps(x, True) for x in told.column("a").to_pylist())])
+        counts[at], hashes[at] = gather("b", np.uint16), gather("c", np.uint64)
         counts[others], hashes[others] = counts[firsts], hashes[firsts]
         grams, prefix = [], []
         for (_, _, n, _), start in zip(docs.tolist(), first.tolist(), strict=True):
@@ -203,7 +205,7 @@ def linked(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
     # Verification: exact overlaps from bit sets, a stretch of the n-grams at a time.
     over = np.zeros(len(left), np.int64)
     if len(left):
-        stretch = 1 << 15
+        stretch = 1 << 13
         for low in range(0, len(flat), stretch):
             here = np.flatnonzero((gram >= low) & (gram < low + stretch))
             bits = np.zeros((total, min(stretch, len(flat) - low)), bool)

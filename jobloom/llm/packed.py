@@ -1,11 +1,11 @@
 """Counting 64-bit hashes of a whole corpus in packed blocks.
 
 A map task hashes a block of documents and sends each bucket (a range of hash values) one row with all of the
-block's hashes there: eight bytes a hash, and one or two bytes for the place it has in the block. A reduce task
-counts the hashes of its bucket with numpy and answers each block with the places whose hash counts. A block's
-answers then meet its directory, which names its documents. A hash that is common within a block is sent only
-as often as the count needs, so no bucket grows with a group of copies, and a block's group is bounded by the
-block.
+block's hashes there: seven bytes a hash, as the bucket stands for the first one, and one or two bytes for the place
+it has in the block. A reduce task counts the hashes of its bucket with numpy and answers each block with the places
+whose hash counts. A block's answers then meet its directory, which names its documents. A hash that is common within
+a block is sent only as often as the count needs, so no bucket grows with a group of copies, and a block's group is
+bounded by the block.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import partitions
+from .common import give_back, partitions
 
 #: Rows between the two steps. kind 0: hashes for a bucket; 1: directory of a block; 2: answer to a block.
 SCHEMA = "block long, bucket long, kind int, a binary, b binary, c binary, d binary"
@@ -50,6 +50,20 @@ def unpacked_gaps(raw: bytes, wide: bool) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps < full]
 
 
+def seven(hashes: np.ndarray) -> bytes:
+    """The low seven bytes of each hash."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def eight(raw: bytes, bucket: int, n: int) -> np.ndarray:
+    """Hashes of a bucket from their low seven bytes, with the first byte of the bucket's range as the eighth."""
+    low = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    full = np.empty((len(low), 8), np.uint8)
+    full[:, :7] = low
+    full[:, 7] = (bucket << 8) // n
+    return full.view("<u8").reshape(-1).astype(np.uint64)
+
+
 def table(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(BINARY)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, BINARY, strict=True)], FIELDS)
@@ -67,7 +81,7 @@ def block_rows(block: int, hashes: np.ndarray, places: np.ndarray, n: int, extra
         more = b""
         if extra is not None and (many := np.flatnonzero(extra[start:end] > 1)).size:
             more = np.stack([many, extra[start:end][many]]).astype(np.uint32).tobytes()
-        yield block, int(at[start]), 0, hashes[start:end].tobytes(), packed_gaps(places[start:end], n > 128), more, b""
+        yield block, int(at[start]), 0, seven(hashes[start:end]), packed_gaps(places[start:end], n > 128), more, b""
         start = end
 
 
@@ -86,8 +100,8 @@ class Bucket:
         self.blocks, self.wide = mine.column("block").to_numpy(), n > 128
         raw = mine.column("a").to_pylist()
         self.gaps = mine.column("b").to_pylist()
-        self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
-        self.hashes = np.frombuffer(b"".join(raw), np.uint64)
+        self.sizes = np.array([len(x) // 7 for x in raw], np.int64)
+        self.hashes = eight(b"".join(raw), rows.column("bucket")[0].as_py(), n)
         self.counts = np.ones(len(self.hashes), np.int64)
         start = 0
         for size, more in zip(self.sizes, mine.column("c").to_pylist(), strict=True):
@@ -119,5 +133,11 @@ class Bucket:
 
 def exchanged(rows: DataFrame, answer, assemble, schema: str) -> DataFrame:
     """Map rows -> ``answer`` for each bucket -> ``assemble`` for each block."""
-    told = rows.groupBy("bucket").applyInArrow(answer, SCHEMA)
+
+    def answered(group: pa.Table) -> pa.Table:
+        out = answer(group)
+        give_back()
+        return out
+
+    told = rows.groupBy("bucket").applyInArrow(answered, SCHEMA)
     return told.groupBy("block").applyInArrow(assemble, schema)
