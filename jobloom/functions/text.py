@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,19 +27,57 @@ ACRONYMS = ("RN", "LPN", "RPN", "NP", "PSW", "HCA", "MLT", "MRT", "SLP", "ICU",
 SMALL = ("a", "an", "and", "at", "by", "de", "for", "in", "of", "on", "or", "the", "to", "with")
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters that decompose to one ASCII letter and marks, with that letter."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
-    kept = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all("̀" <= m <= "ͯ" for m in d[1:])]
-    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+# The combining marks that deaccenting removes, U+0300 to U+036F.
+FIRST_MARK, LAST_MARK = 0x300, 0x36F
 
 
-_FROM, _TO = _accents()
+def decomposed(v: str) -> str:
+    """Canonical decomposition without the combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", v) if not FIRST_MARK <= ord(c) <= LAST_MARK)
+
+
+def _accents() -> tuple[str, str, str]:
+    """All characters that become one other, those they become, and a pattern of the characters that need the exact path.
+
+    That path is for characters that become several, and for marks outside the removed ones, which can change places.
+    """
+    pairs, gone, hard = [], [], []
+    for n in range(0x80, 0x30000):  # no character of the planes above decomposes or combines
+        if 0xD800 <= n <= 0xDFFF:
+            continue
+        c = chr(n)
+        d = decomposed(c)
+        if len(d) > 1 or d and any(map(unicodedata.combining, d)):
+            hard.append(n)
+        elif not d:
+            gone.append(c)
+        elif d != c:
+            pairs.append((c, d))
+    starts = [n for i, n in enumerate(hard) if not i or hard[i - 1] != n - 1]
+    ends = [n for i, n in enumerate(hard) if i + 1 == len(hard) or hard[i + 1] != n + 1]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+    return "".join([c for c, _ in pairs] + gone), "".join(d for _, d in pairs), f"[{ranges}]"
+
+
+_FROM, _TO, _HARD = _accents()
 
 
 def deaccent(c: Column) -> Column:
-    """Latin letters without their accents, by one native ``translate``; combining marks go."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), "[̀-ͯ]", "")
+    """Letters without their accents, by one native ``translate``; combining marks go.
+
+    Characters that decompose to several, such as Hangul syllables, stay; ``deaccent_exact`` takes those too.
+    """
+    return F.translate(c, _FROM, _TO)
+
+
+def deaccent_exact(c: Column) -> Column:
+    """Canonical decomposition of any text without U+0300 to U+036F; only rows that need it are sent to Python."""
+
+    @F.pandas_udf("string")
+    def exact(v: pd.Series) -> pd.Series:
+        return v.map(decomposed, na_action="ignore")
+
+    return F.coalesce(exact(F.when(c.rlike(_HARD), c)), deaccent(c))
 
 
 def normalize_title(c: Column) -> Column:

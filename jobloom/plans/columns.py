@@ -49,6 +49,12 @@ def deaccented(spark, sf):
     return docs(spark, sf).filter("lang IN ('fr', 'es')").select("doc_id", T.deaccent(F.substring("text", 1, 200)).alias("plain"))
 
 
+@query("STR-1-all")
+def deaccented_whole(spark, sf):
+    """STR-1 over every row's whole text."""
+    return docs(spark, sf).select("doc_id", T.deaccent_exact(F.col("text")).alias("plain"))
+
+
 @query("STR-2", f"WITH {TITLED} SELECT id, {NORMAL.format('title')} AS normal FROM titled")
 def normal(spark, sf):
     return titled(spark, sf).select("id", T.normalize_title(F.col("title")).alias("normal"))
@@ -105,6 +111,12 @@ def escaped(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_escape(head).alias("escaped"), T.json_escape(head).alias("json"))
 
 
+@query("STR-9-all", """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;') AS escaped, replace(html, '<', chr(92) || 'u003c') AS json FROM pages""")
+def escaped_whole(spark, sf):
+    """STR-9 over whole pages."""
+    return table(spark, sf, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"), T.json_escape(F.col("html")).alias("json"))
+
+
 @query("STR-10", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 3 = 1 THEN s_name ELSE s_name || ' · Annex ' || n_name END AS line FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def lines(spark, sf):
     k = F.col("s_suppkey") % 3
