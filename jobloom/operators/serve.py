@@ -182,6 +182,26 @@ def order_salary(feed: DataFrame) -> DataFrame:
     return feed.orderBy(*salary_order())
 
 
+def placed(feed: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with ``place``, their number from 1 in the whole order.
+
+    A range sort numbers the rows of each partition; one row a partition then gives the rows before it. The sorted
+    rows are written once, so that numbers and counts are of the same partitions.
+    """
+    # The number counts from the partition's own base, pid << 33.
+    at = F.monotonically_increasing_id()
+    rows = feed.orderBy(*order).select("*", F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    rows = checkpointed(rows)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once, below the shared folder where one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def page(feed: DataFrame, number: int, size: int = PAGE_SIZE, order: list[Column] | None = None) -> DataFrame:
     """One page in order: a top-k of the rows up to its end, never a full sort's output."""
     return feed.orderBy(*(order or newest_order())).offset((number - 1) * size).limit(size)

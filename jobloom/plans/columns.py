@@ -196,6 +196,13 @@ def ages(spark, sf):
     return e.select(F.col("event_id").alias("id"), D.posted_since(text, as_of()).cast("string").alias("posted"))
 
 
+@query("DT-1-all", f"SELECT event_id AS id, (TIMESTAMP '{AS_OF}' - to_days((event_id % 30)::INT))::VARCHAR AS posted FROM events")
+def ages_whole(spark, sf):
+    """DT-1 over every event, those of today and yesterday too."""
+    text = F.concat(F.lit("Posted "), (F.col("event_id") % 30).cast("string"), F.lit(" Days Ago"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), D.posted_since(text, as_of()).cast("string").alias("posted"))
+
+
 @query("DT-2", "SELECT o_orderkey AS id, o_orderdate::TIMESTAMP::VARCHAR AS day FROM orders")
 def parsed(spark, sf):
     d, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 4

@@ -199,6 +199,18 @@ def salary_feed(spark, sf):
     return S.order_salary(S.feed_rank(jobs(spark, sf))).limit(500).select("id", "salary_min")
 
 
+@query("SRT-1-all", FEED + f"SELECT id, row_number() OVER ({ORDERED}) AS place FROM feed")
+def newest_whole(spark, sf):
+    """SRT-1 over every active job."""
+    return S.placed(S.feed_rank(jobs(spark, sf)), S.newest_order()).select("id", "place")
+
+
+@query("SRT-2-all", FEED + "SELECT id, salary_min, row_number() OVER (ORDER BY salary_min DESC NULLS LAST, id) AS place FROM feed")
+def salary_whole(spark, sf):
+    """SRT-2 over every active job."""
+    return S.placed(S.feed_rank(jobs(spark, sf)), S.salary_order()).select("id", "salary_min", "place")
+
+
 @query("SRT-3", FEED + f"SELECT id, total FROM (SELECT *, count(*) OVER () AS total FROM feed WHERE category = '1-URGENT') {ORDERED} LIMIT 25 OFFSET 50")
 def one_page(spark, sf):
     hits = S.feed_rank(jobs(spark, sf)).filter("category = '1-URGENT'")

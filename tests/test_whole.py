@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobloom import plans
 from jobloom.functions import text
+from jobloom.operators import serve
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
@@ -39,3 +40,25 @@ def test_deaccent_takes_whole_texts_of_all_rows(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     out = plans.queries()["STR-1-all"](spark, SF).collect()
     assert sorted(map(tuple, out)) == sorted((r["doc_id"], by_hand(r["text"])) for r in rows)
+
+
+@pytest.mark.parametrize("order", [serve.newest_order, serve.salary_order])
+def test_places_number_all_rows_of_many_partitions(spark, order):
+    rows = [(i, i % 7 * 1000 % 3, i % 5, i % 11, None if i % 4 == 0 else float(i % 13)) for i in range(3000)]
+    feed = spark.createDataFrame(rows, "id long, posted_day int, employer_day_rank int, posted_at int, salary_min double").repartition(9, "id")
+    key = {serve.newest_order: lambda r: (-r[1], r[2], -r[3], r[0]), serve.salary_order: lambda r: (r[4] is None, -(r[4] or 0), r[0])}[order]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r["id"]: r["place"] for r in serve.placed(feed, order()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == {r[0]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    assert serve.placed(feed.limit(0), order()).count() == 0
+
+
+@tables
+def test_orders_and_ages_keep_every_row(spark):
+    q = plans.queries()
+    active = q["SRC-1"](spark, SF).count()
+    assert [q[n](spark, SF).count() for n in ("SRT-1-all", "SRT-2-all")] == [active, active]
+    assert q["DT-1-all"](spark, SF).filter("posted IS NOT NULL").count() == spark.read.parquet(f"{SF}/events.parquet").count()
