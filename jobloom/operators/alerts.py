@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES, NOTIFY_CAP
+from .serve import placed
 
 # Limits of a sign-up and the pause between two confirmation mails.
 EMAIL, EMAIL_CHARS, CITY_CHARS, THROTTLE_MINUTES = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 254, 100, 10
@@ -37,14 +41,32 @@ def match_alerts(alerts: DataFrame, jobs: DataFrame) -> DataFrame:
     return marks.join(keyed, hit).select("alert_id", "job_id", "posted_at")
 
 
+def digest_rows(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, heads): (alert_id, rank, job_id, posted_at), newest first, and each alert's count and subject.
+
+    The rank is a job's place in the order of all rows from its alert's first, so no alert is sorted in one task.
+    """
+    rows = placed(matches, [F.asc("alert_id"), F.desc("posted_at"), F.asc("job_id")])
+    heads = rows.groupBy("alert_id").agg(F.count("*").alias("n"), F.min("place").alias("_first"))
+    ranked = rows.join(heads.select("alert_id", "_first"), "alert_id").select("alert_id", (F.col("place") - F.col("_first") + 1).alias("rank"), "job_id", "posted_at")
+    return ranked, heads.drop("_first").withColumn("subject", _subject())
+
+
+def _subject() -> Column:
+    return F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new job").otherwise(" new jobs"))
+
+
 def digests(matches: DataFrame, top: int | None = None) -> DataFrame:
-    """(alert_id, n, jobs): each alert's jobs, newest first; ``top`` keeps the first of a long list."""
+    """(alert_id, n, jobs): each alert's jobs, newest first; ``top`` keeps the first of a long list.
+
+    A list is one value; without ``top``, ``digest_rows`` is the form for alerts that match without bound.
+    """
     rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("posted_at"), "job_id"))
     rows = matches.withColumn("rank", rank)
     listed = rows.filter(F.col("rank") <= top) if top else rows
     counts = rows.groupBy("alert_id").agg(F.count("*").alias("n"))
     lists = listed.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda s: s["job_id"]).alias("jobs"))
-    return counts.join(lists, "alert_id").withColumn("subject", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new job").otherwise(" new jobs")))
+    return counts.join(lists, "alert_id").withColumn("subject", _subject())
 
 
 def advance_watermark(alerts: DataFrame, delivered: DataFrame, sent_at: Column) -> DataFrame:
@@ -79,19 +101,56 @@ def request_steps(state: tuple | None, stamps: list, tokens: list) -> tuple[tupl
     return state, out
 
 
-def apply_signups(requests: DataFrame) -> DataFrame:
-    """(request_id, outcome) of new subscriptions' requests, each subscription's in time order.
+SUBSCRIPTION = ["email", "city", "category"]
+FOLDED = "is_state boolean, request_id long, outcome string, email string, city string, category string, token string, sent long, confirmed long, active boolean"
 
-    A group is the requests of one address and criteria; it streams through the task in order of time.
+
+def fold_requests(requests: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """One row a request with its outcome, and one a subscription (``is_state``) with its state after them.
+
+    Requests are sorted by subscription and time inside tasks and folded batch by batch; only the state of the
+    subscription at hand is kept, whatever the number of its requests. ``states`` are such rows of earlier requests.
     """
+    given = requests.select(
+        "email", *[F.coalesce(c, F.lit("")).alias(c) for c in ("city", "category")], F.lit(False).alias("is_state"), F.unix_micros(F.col("ts").cast("timestamp")).alias("sent"),
+        F.lit(None).cast("long").alias("confirmed"), F.lit(None).cast("boolean").alias("active"), F.col("request_id").cast("long").alias("request_id"), F.col("token").cast("string").alias("token"),
+    )
+    if states is not None:
+        given = given.unionByName(states.filter("is_state").select(*given.columns))
+    columns = given.columns
+    names = [f.split()[0] for f in FOLDED.split(", ")]
+    time = lambda v: pd.NaT if v is None else pd.Timestamp(v, unit="us")
+    micros = lambda t: None if t is None or t is pd.NaT else t.value // 1000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, None, False
+        kinds = pa.schema([(n, {"boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}[f.split()[1]]) for n, f in zip(names, FOLDED.split(", "), strict=True)])
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+        closed = lambda: (True, None, None, *key, state[0], micros(state[1]), micros(state[2]), state[3])
+        for batch in batches:
+            out = []
+            for *own, is_state, sent, confirmed, active, request, token in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+                if not begun or own != key:
+                    if begun:
+                        out.append(closed())
+                    key, state, begun = own, None, True
+                if is_state:
+                    state = (token, time(sent), None if confirmed is None else time(confirmed), active)
+                else:
+                    state, (said,) = request_steps(state, [time(sent)], [token])
+                    out.append((False, request, said, *own, None, None, None, None))
+            if out:
+                yield pack(out)
+        if begun:
+            yield pack([closed()])
+
+    order = [*SUBSCRIPTION, F.desc("is_state"), F.asc_nulls_last("sent"), "request_id"]
+    return given.repartition(*SUBSCRIPTION).sortWithinPartitions(*order).mapInArrow(run, FOLDED)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        _, out = request_steps(None, list(pdf["ts"]), list(pdf["token"]))
-        return pd.DataFrame({"request_id": pdf["request_id"], "outcome": out})
 
-    keyed = requests.withColumns({"city": F.coalesce("city", F.lit("")), "category": F.coalesce("category", F.lit(""))})
-    return keyed.groupBy("email", "city", "category").applyInPandas(fold, "request_id long, outcome string")
+def apply_signups(requests: DataFrame) -> DataFrame:
+    """(request_id, outcome) of new subscriptions' requests, each subscription's in time order."""
+    return fold_requests(requests).filter("NOT is_state").select("request_id", "outcome")
 
 
 def notify_queue(jobs: DataFrame, mark: Column, cap: int = NOTIFY_CAP) -> DataFrame:

@@ -77,9 +77,9 @@ def diff_snapshot(old: DataFrame, new: DataFrame, key: list[str], cols: list[str
     return new.join(before, same, "left").select(new["*"], change.alias("change"))
 
 
-def new_links(groups: DataFrame, existing: DataFrame) -> DataFrame:
-    """(job_key, raw_id) of the groups that the link table lacks."""
-    return groups.select("job_key", F.explode("raw_ids").alias("raw_id")).join(existing, ["job_key", "raw_id"], "left_anti")
+def new_links(links: DataFrame, existing: DataFrame) -> DataFrame:
+    """The different (job_key, raw_id) that the link table lacks; a pair is a row, so no group is held in one value."""
+    return links.select("job_key", "raw_id").distinct().join(existing, ["job_key", "raw_id"], "left_anti")
 
 
 def content_hash(cols: list[str]) -> Column:
@@ -101,7 +101,7 @@ def resolve(raw: DataFrame, registry: DataFrame, jobs: DataFrame, links: DataFra
     cols = [c for c in rows.columns if c != "dedupe_key"]
     changed = diff_snapshot(jobs, rows, ["dedupe_key"], cols)
     keyed = good.select("group_key", F.concat_ws(":", "fingerprint", "source_job_id").alias("job_key"))
-    fresh = grouped.join(keyed, "group_key").groupBy("job_key").agg(F.collect_set("id").alias("raw_ids"))
+    fresh = grouped.join(keyed, "group_key").select("job_key", F.col("id").alias("raw_id"))
     stats = changed.agg(F.count("*").alias("jobs"), F.count_if(F.col("change") == "unchanged").alias("unchanged"), F.count_if(F.col("change") != "unchanged").alias("written"))
     merges = good.agg(F.count_if(F.col("sources") > 1).alias("merges"))
     return {"jobs": changed, "links": new_links(fresh, links), "quarantine": bad, "stats": stats.crossJoin(merges)}

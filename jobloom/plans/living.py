@@ -97,8 +97,8 @@ def diff(spark, sf):
 @query("JN-3", S + "SELECT group_key AS job_key, id AS raw_id FROM grouped WHERE id % 3 <> 0")
 def links(spark, sf):
     grouped = R.group_into_jobs(printed(spark, sf))
-    packed = grouped.groupBy(F.col("group_key").alias("job_key")).agg(F.collect_set("id").alias("raw_ids"))
-    return R.new_links(packed, grouped.filter("id % 3 = 0").select(F.col("group_key").alias("job_key"), F.col("id").alias("raw_id")))
+    pairs = grouped.select(F.col("group_key").alias("job_key"), F.col("id").alias("raw_id"))
+    return R.new_links(pairs, pairs.filter("raw_id % 3 = 0"))
 
 
 @query("RES-5", S + """, good AS (SELECT c.*, (SELECT count(DISTINCT source_id) FROM grouped g WHERE g.group_key = c.group_key) AS sources FROM canonical c WHERE place = 1 AND source_job_id IS NOT NULL)
@@ -263,6 +263,12 @@ def digest(spark, sf):
     return out.withColumn("jobs", F.array_join(F.transform("jobs", lambda j: j.cast("string")), ","))
 
 
+@query("DIG-2-rows", AW + f", {MATCH} SELECT alert_id, row_number() OVER (PARTITION BY alert_id ORDER BY posted_at DESC, job_id) AS rank, job_id FROM hits")
+def digest_lines(spark, sf):
+    """DIG-2's lists as rows, so that an alert that takes every job is no single value."""
+    return A.digest_rows(A.match_alerts(alerts(spark, sf), jobs(spark, sf)))[0].select("alert_id", "rank", "job_id")
+
+
 @query("LIF-5", AW + "SELECT alert_id, (CASE WHEN is_active AND alert_id % 6 = 0 THEN coalesce(confirmed_at, TIMESTAMP '2001-08-01') ELSE confirmed_at END)::VARCHAR AS confirmed_at, is_active AND alert_id % 6 <> 1 AS is_active FROM alerts")
 def tokens(spark, sf):
     a = alerts(spark, sf)

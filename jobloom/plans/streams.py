@@ -66,7 +66,7 @@ def unseen(spark, sf):
 @query("STM-4", LIVING["LIF-4"])
 def signups(spark, sf):
     rows = events(spark, sf).select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("email"), F.col("event_type").alias("city"), F.lit(None).cast("string").alias("category"), "ts", F.col("event_id").cast("string").alias("token"))
-    return S.run_to_table(S.signup_stream(rows), folder(spark, "signups"))
+    return S.signup_stream(rows, folder(spark, "signups"))
 
 
 @query("STM-5", "SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS n FROM events WHERE ts::DATE + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.alerts import request_steps
+from ..operators.alerts import FOLDED, fold_requests
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -78,22 +78,22 @@ def unseen_stream(stream: DataFrame, key: str, ts: str, days: int, delay: str =
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def signup_stream(stream: DataFrame) -> DataFrame:
-    """(request_id, outcome) of sign-up requests, folded by address and criteria over all batches."""
+def signup_stream(stream: DataFrame, folder: str) -> DataFrame:
+    """(request_id, outcome) of sign-up requests, folded by address and criteria over all batches.
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = None
-        if state.exists:
-            token, sent, confirmed, active = state.get
-            now = (token, pd.Timestamp(sent, unit="us"), None if confirmed < 0 else pd.Timestamp(confirmed, unit="us"), active)
-        pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        now, out = request_steps(now, list(pdf["ts"]), list(pdf["token"]))
-        micros = lambda t: -1 if t is None else t.value // 1000
-        state.update((now[0], micros(now[1]), micros(now[2]), now[3]))
-        yield pd.DataFrame({"request_id": pdf["request_id"], "outcome": out})
-
-    keyed = stream.withColumns({"city": F.coalesce("city", F.lit("")), "category": F.coalesce("category", F.lit(""))})
-    return keyed.groupBy("email", "city", "category").applyInPandasWithState(step, "request_id long, outcome string", "token string, sent long, confirmed long, active boolean", "append", GroupStateTimeout.NoTimeout)
+    A batch writes its outcomes and all states as the version of its own number; it starts from the version before.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        old = spark.read.schema(FOLDED).parquet(f"{folder}/folded/v={number - 1}") if number else None
+        fold_requests(batch, old).write.mode("overwrite").parquet(f"{folder}/folded/v={number}")
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not _exists(spark, f"{folder}/folded"):
+        return spark.createDataFrame([], "request_id long, outcome string")
+    return spark.read.schema(FOLDED).parquet(f"{folder}/folded").filter("NOT is_state").select("request_id", "outcome")
 
 
 def daily_counts(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

@@ -3,12 +3,13 @@
 import unicodedata
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from jobloom import plans
 from jobloom.functions import text
-from jobloom.operators import serve
+from jobloom.operators import alerts, resolve, serve
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
@@ -62,3 +63,40 @@ def test_orders_and_ages_keep_every_row(spark):
     active = q["SRC-1"](spark, SF).count()
     assert [q[n](spark, SF).count() for n in ("SRT-1-all", "SRT-2-all")] == [active, active]
     assert q["DT-1-all"](spark, SF).filter("posted IS NOT NULL").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_links_are_rows_not_sets(spark):
+    raw = spark.range(400).selectExpr("id", "'a:' || (id % 2) AS source_id", "'f' AS fingerprint")
+    pairs = raw.selectExpr("'j' AS job_key", "id AS raw_id")
+    out = resolve.new_links(pairs.union(pairs), pairs.filter("raw_id < 100"))
+    assert sorted(r["raw_id"] for r in out.collect()) == list(range(100, 400))
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "collect_" not in plan(out)
+    assert "collect_" not in plan(plans.queries()["JN-3"](spark, SF)) if Path(SF).is_dir() else True
+
+
+def test_digest_rows_rank_every_match(spark):
+    matches = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN 7 ELSE id % 5 END AS alert_id", "id AS job_id", "timestamp_seconds(id % 17) AS posted_at").repartition(6)
+    rows, heads = alerts.digest_rows(matches)
+    want = {}
+    for r in sorted(matches.collect(), key=lambda r: (r["alert_id"], -r["posted_at"].timestamp(), r["job_id"])):
+        want.setdefault(r["alert_id"], []).append(r["job_id"])
+    assert {(r["alert_id"], r["rank"]): r["job_id"] for r in rows.collect()} == {(a, n): j for a, js in want.items() for n, j in enumerate(js, 1)}
+    assert {r["alert_id"]: (r["n"], r["subject"]) for r in heads.collect()} == {a: (len(js), f"{len(js)} new jobs") for a, js in want.items()}
+
+
+def test_signups_fold_over_many_batches_and_from_states(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(300).selectExpr("id AS request_id", "CASE WHEN id % 3 > 0 THEN 'a' ELSE 'b' || id % 4 END AS email", "CAST(NULL AS string) AS city", "CAST(NULL AS string) AS category", "timestamp_seconds(id * 97) AS ts", "'t' || id AS token")
+        rows = [r.asDict() for r in df.collect()]
+        want, states = {}, {}
+        for r in sorted(rows, key=lambda r: (r["ts"], r["request_id"])):
+            states[r["email"]], (want[r["request_id"]],) = alerts.request_steps(states.get(r["email"]), [pd.Timestamp(r["ts"])], [r["token"]])
+        assert {r["request_id"]: r["outcome"] for r in alerts.apply_signups(df).collect()} == want
+        first = alerts.fold_requests(df.filter("request_id < 150"))
+        second = alerts.fold_requests(df.filter("request_id >= 150"), first)
+        assert {r["request_id"]: r["outcome"] for r in first.union(second).filter("NOT is_state").collect()} == want
+        assert {r["email"]: r["token"] for r in second.filter("is_state").collect()} == {e: s[0] for e, s in states.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
