@@ -167,9 +167,17 @@ def jsonld_source(spark, sf):
 
 @query("SRC-5", "SELECT p_partkey::VARCHAR AS id, '2001-06-02 00:00:00' AS lastmod FROM part WHERE p_partkey % 3 <> 0")
 def sitemap_source(spark, sf):
+    return X.parse_sitemap(sitemap_files(parts(spark, sf)), r"/job/(\d+)/", True).select("id", F.col("lastmod").cast("string").alias("lastmod"))
+
+
+#: Fixed value: the most addresses that the sitemap protocol lets one file have.
+SITEMAP_ADDRESSES = 50_000
+
+
+def sitemap_files(rows):
+    """Sitemap files of the parts; their number grows with the table, each stays below the protocol's bound."""
     entry = cat("<url><loc>https://jobs.example.org/job/", F.col("id"), "/x</loc>", F.when(key() % 3 != 0, "<lastmod>2001-06-02T00:00:00Z</lastmod>").otherwise(""), "</url>")
-    files = parts(spark, sf).groupBy((key() % 20).alias("file")).agg(F.array_join(F.collect_list(entry), "").alias("content"))
-    return X.parse_sitemap(files, r"/job/(\d+)/", True).select("id", F.col("lastmod").cast("string").alias("lastmod"))
+    return rows.groupBy(F.floor(key() / SITEMAP_ADDRESSES).alias("file")).agg(F.array_join(F.collect_list(entry), "").alias("content"))
 
 
 @query("SRC-6", r"SELECT page_id, regexp_extract(x, '^([^<]*)</a>', 1) AS word, count(*) > 0 AS listed FROM (SELECT page_id, unnest(string_split_regex(html, '<li><a href=[^>]*>')[2:]) AS x FROM pages) WHERE regexp_extract(x, '^([^<]*)</a>', 1) <> '' GROUP BY 1, 2")

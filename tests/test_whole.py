@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobloom import plans
 from jobloom.functions import text
 from jobloom.operators import alerts, resolve, serve
+from jobloom.plans import extracting
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).is_dir(), reason="no tables here")
@@ -100,3 +101,9 @@ def test_signups_fold_over_many_batches_and_from_states(spark):
         assert {r["email"]: r["token"] for r in second.filter("is_state").collect()} == {e: s[0] for e, s in states.items()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sitemap_files_grow_in_number_not_in_size(spark):
+    rows = spark.range(1, 1_500_001).selectExpr("id AS p_partkey", "CAST(id AS string) AS id")
+    sizes = [r["n"] for r in extracting.sitemap_files(rows).select((F.size(F.split("content", "</url>")) - 1).alias("n")).collect()]
+    assert max(sizes) <= 50_000 and sum(sizes) == 1_500_000 and len(sizes) == 31
