@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -27,39 +28,24 @@ ACRONYMS = ("RN", "LPN", "RPN", "NP", "PSW", "HCA", "MLT", "MRT", "SLP", "ICU",
 SMALL = ("a", "an", "and", "at", "by", "de", "for", "in", "of", "on", "or", "the", "to", "with")
 
 
-# The combining marks that deaccenting removes, U+0300 to U+036F.
-FIRST_MARK, LAST_MARK = 0x300, 0x36F
+# Fixed value: the combining marks that deaccenting removes.
+MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def decomposed(v: str) -> str:
     """Canonical decomposition without the combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", v) if not FIRST_MARK <= ord(c) <= LAST_MARK)
+    return MARKS.sub("", unicodedata.normalize("NFD", v))
 
 
-def _accents() -> tuple[str, str, str]:
-    """All characters that become one other, those they become, and a pattern of the characters that need the exact path.
+def _accents() -> tuple[str, str]:
+    """Characters of all scripts that become one other, with that one; marks that go are last and have none."""
+    chars = [chr(n) for n in range(0x80, 0x30000) if not 0xD800 <= n <= 0xDFFF]  # the planes above hold none
+    pairs = [(c, decomposed(c)) for c in chars]
+    kept = [(c, d) for c, d in pairs if len(d) == 1 and d != c] + [(c, d) for c, d in pairs if not d]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
 
-    That path is for characters that become several, and for marks outside the removed ones, which can change places.
-    """
-    pairs, gone, hard = [], [], []
-    for n in range(0x80, 0x30000):  # no character of the planes above decomposes or combines
-        if 0xD800 <= n <= 0xDFFF:
-            continue
-        c = chr(n)
-        d = decomposed(c)
-        if len(d) > 1 or d and any(map(unicodedata.combining, d)):
-            hard.append(n)
-        elif not d:
-            gone.append(c)
-        elif d != c:
-            pairs.append((c, d))
-    starts = [n for i, n in enumerate(hard) if not i or hard[i - 1] != n - 1]
-    ends = [n for i, n in enumerate(hard) if i + 1 == len(hard) or hard[i + 1] != n + 1]
-    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
-    return "".join([c for c, _ in pairs] + gone), "".join(d for _, d in pairs), f"[{ranges}]"
-
-
-_FROM, _TO, _HARD = _accents()
+
+_FROM, _TO = _accents()
 
 
 def deaccent(c: Column) -> Column:
@@ -71,13 +57,13 @@ def deaccent(c: Column) -> Column:
 
 
 def deaccent_exact(c: Column) -> Column:
-    """Canonical decomposition of any text without U+0300 to U+036F; only rows that need it are sent to Python."""
+    """Canonical decomposition of any text without U+0300 to U+036F; text beyond ASCII goes through Arrow."""
 
     @F.pandas_udf("string")
     def exact(v: pd.Series) -> pd.Series:
         return v.map(decomposed, na_action="ignore")
 
-    return F.coalesce(exact(F.when(c.rlike(_HARD), c)), deaccent(c))
+    return F.coalesce(exact(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def normalize_title(c: Column) -> Column:
