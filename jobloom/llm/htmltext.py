@@ -10,8 +10,9 @@ label itself says that tags are content, so they cost next to nothing.
 Words of boilerplate elements inside the region are left out. Text blocks are joined in page order; white space
 inside a block becomes one space; character references are decoded; nothing else is dropped or cut.
 
-Defined results: null or empty html gives empty text; unclosed and stray tags are tolerated; a page without a
-positive word gives empty text; rows are independent, so repeated rows give repeated results.
+Defined results: null or empty html gives empty text; end tags that HTML lets authors leave out are
+understood, other unclosed and stray tags tolerated; a page without a positive word gives empty text; rows are
+independent, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -37,6 +38,19 @@ BOILERPLATE = frozenset("nav header footer aside form dialog menu button fieldse
 REGIONS = frozenset("article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Fixed values of the HTML standard: elements whose end tag may be left out, with the start tags that end them, and
+# the elements inside them within which such a start tag belongs to something else.
+_CELLS, _ROWS = frozenset("td th".split()), frozenset("tr tbody thead tfoot".split())
+ENDED_BY = {
+    "p": frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": _CELLS | _ROWS, "th": _CELLS | _ROWS, "tr": _ROWS,
+    "tbody": _ROWS - {"tr"}, "thead": _ROWS - {"tr"}, "tfoot": _ROWS - {"tr"}, "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]),
+}
+WITHIN = dict.fromkeys(ENDED_BY, frozenset(["table"])) | {
+    "p": frozenset("table button object".split()), "li": frozenset("ul ol menu dir".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
+    "option": frozenset(["datalist"]), "optgroup": frozenset(["datalist"]),
+}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes head html".split())
 #: Class, id and role tokens that mark boilerplate on any page, before anything is learnt.
 HINTS = re.compile(
     r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent\w*|gdpr|notices?|popup|modal|newsletter|subscri\w+|nav\w*|menu\w*|breadcrumbs?"
@@ -63,6 +77,27 @@ def _is_boilerplate(tag: str, names: list[str], in_region: bool, learnt: frozens
     return tag not in REGIONS and tag not in ("html", "body") and any(HINTS.match(n) or n in learnt for n in names)
 
 
+def _ends(skip: str, tag: str, closing: bool, void: bool, opened: list[str], around: dict[str, int]) -> bool:
+    """Whether a tag ends the boilerplate element ``skip``, whose end tag may be left out.
+
+    Its own end tag does, the start of a sibling, and the end of an element ``around`` it. ``opened`` has the elements
+    inside it and is kept up to date here.
+    """
+    if closing:
+        if tag in opened:
+            while opened.pop() != tag:
+                pass
+            return False
+        return tag == skip or (tag not in INLINE and tag != "p" and around.get(tag, 0) > 0)
+    if skip == "head":
+        return tag not in IN_HEAD
+    if tag in ENDED_BY[skip] and WITHIN[skip].isdisjoint(opened):
+        return True
+    if not void and tag not in INLINE:
+        opened.append(tag)
+    return False
+
+
 def parse(html: str, weights: dict[str, float], learnt: frozenset) -> tuple[list[tuple[int, str, float, int]], dict[int, int]]:
     """Items (kind, text, score, region) in page order and the words of each region; kind 0 text, 1 break, 2 inline tag.
 
@@ -72,6 +107,8 @@ def parse(html: str, weights: dict[str, float], learnt: frozenset) -> tuple[list
     words: dict[int, int] = {}
     region, inside, regions = 0, 0, 0  # number, depth and count of article elements
     skip, depth, soft = "", 0, False  # open boilerplate element, its nesting, and whether only its names say so
+    opened: list[str] = []  # elements inside an open boilerplate element whose end tag may be left out
+    around: dict[str, int] = {}  # open elements outside boilerplate
     for m in TOKEN.finditer(html):
         text, tag = m[5], m[3]
         if text is not None:
@@ -83,19 +120,28 @@ def parse(html: str, weights: dict[str, float], learnt: frozenset) -> tuple[list
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m[2])
+        void, own = tag in VOID or m[4].endswith("/"), False
+        if (skip in ENDED_BY or skip == "head") and _ends(skip, tag, closing, void, opened, around):
+            skip, own = "", closing and tag == skip
         items.append((2 if tag in INLINE and not skip else 1, "", NAMED_TAG if region else weights.get(tag, 0.0), region))
-        if tag in VOID or m[4].endswith("/"):
+        if void or own:
             continue
         if skip and soft and tag in REGIONS and not closing and not regions:
             skip = ""  # a wrapper around the page's first article is no boilerplate, whatever its names
         if skip:
-            if tag == skip:
+            if tag == skip and skip not in ENDED_BY and skip != "head":
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
-        elif not closing and _is_boilerplate(tag, tokens_of(m[4]), inside > 0, learnt):
-            skip, depth, soft = tag, 1, tag not in BOILERPLATE
-        elif tag in REGIONS:
+            continue
+        if closing:
+            around[tag] = max(0, around.get(tag, 0) - 1)
+        elif _is_boilerplate(tag, tokens_of(m[4]), inside > 0, learnt):
+            skip, depth, soft, opened = tag, 1, tag not in BOILERPLATE, []
+            continue
+        else:
+            around[tag] = around.get(tag, 0) + 1
+        if tag in REGIONS:
             if closing and inside:
                 inside -= 1
                 region = region if inside else 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom import plans
 from jobloom.functions import text
+from jobloom.llm import htmltext
 from jobloom.operators import alerts, resolve, serve
 from jobloom.plans import extracting
 
@@ -107,3 +108,21 @@ def test_sitemap_files_grow_in_number_not_in_size(spark):
     rows = spark.range(1, 1_500_001).selectExpr("id AS p_partkey", "CAST(id AS string) AS id")
     sizes = [r["n"] for r in extracting.sitemap_files(rows).select((F.size(F.split("content", "</url>")) - 1).alias("n")).collect()]
     assert max(sizes) <= 50_000 and sum(sizes) == 1_500_000 and len(sizes) == 31
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>one two<p class=share>Share it<p>three four five<p>six seven</article>", "one two three four five six seven"),
+        ("<article><p>one<p class=share>Share it<hr>two<p class=share>Share it<ul><li>three</ul></article>", "one two three"),
+        ("<article><p>one</p><ul><li class=nav-item>Home<li>two three<li class=nav-item>Out</ul><p>four</article>", "one two three four"),
+        ("<article><ul><li class=nav-item>Home<ul><li>in<li>side</ul>more<li>two</ul></article>", "two"),
+        ("<article><div><p class=share>Share it</div>one two<div class=share><p>Share</div>three</article>", "one two three"),
+        ("<article><dl><dt class=share>Share<dd>one<dd class=share>Share</dl>two</article>", "one two"),
+        ("<article><table><tr><td class=ads>Buy<td>one<tr class=ads><td>Buy<tr><td>two<td class=ads>Buy<table><tr><td>Now</table>it</table>three</article>", "one two three"),
+        ("<article><p>one</p><p class=share>Share <b>it</b></p> two <p class=share>x</i></p>three</article>", "one two three"),
+        ("<html><head><meta charset=utf-8><title>t</title><body><article><p>one two</article>", "one two"),
+    ],
+)
+def test_left_out_end_tags_lose_no_text(page, want):
+    assert htmltext.main_text(page, {}) == want
