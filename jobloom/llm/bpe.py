@@ -5,7 +5,8 @@ are the pieces' ids in order, which is what encoding each match separately means
 in the byte-to-character alphabet, in which every byte is one printable character.
 
 Defined results: null text is the empty text (no ids, empty bytes); rows are independent, so repeated rows
-give repeated results; a token that holds part of a character has the offsets of that whole character.
+give repeated results; a token that holds part of a character has the offsets of that whole character; columns of
+``keep`` named like a result are left out.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import os
 import re
 import unicodedata
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import ddl, map_texts, read_table
 
 #: Pieces a worker remembers; beyond it the memory is emptied, which changes speed only.
 MEMORY = 100_000
@@ -110,15 +112,15 @@ class Codec:
         return char[ends[:-1]], char[ends[1:] - 1] + 1
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    key = (hash(frozenset(ranks.items())), pattern)
-    if key not in _CODECS:
+def codec(source: Source) -> Codec:
+    """The worker's codec of a rank table, known by the table's digest."""
+    if source.key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
+        _CODECS[source.key] = Codec(source.ranks, source.pattern)
+    return _CODECS[source.key]
 
 
 def forget() -> None:
@@ -127,21 +129,32 @@ def forget() -> None:
         own.known.clear()
 
 
-def _source(path: str | None, pattern: str | None) -> tuple[dict[bytes, int], str]:
+class Source(NamedTuple):
+    """A rank table as tasks get it: Spark broadcasts functions of this size once to each executor."""
+
+    key: str
+    ranks: dict[bytes, int]
+    pattern: str
+
+
+def _source(path: str | None, pattern: str | None) -> Source:
     if path is None or pattern is None:
         import public_tokenizers
 
         path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
         pattern = pattern or public_tokenizers.PATTERN
-    return read_ranks(path), pattern
+    with open(path, "rb") as lines:
+        key = hashlib.sha256(lines.read() + pattern.encode()).hexdigest()
+    return Source(key, read_ranks(path), pattern)
 
 
 def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``keep`` columns, ``ids`` array<int> and ``starts``, ``ends`` array<int>, each token's code points."""
-    ranks, pattern = _source(path, pattern)
+    source = _source(path, pattern)
+    keep = tuple(k for k in keep if k not in ("ids", "starts", "ends"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = codec(ranks, pattern)
+        own = codec(source)
         ids = own.encode([t or "" for t in batch.column("__text").to_pylist()])
         spans = [own.offsets(x) for x in ids]
         ints = pa.list_(pa.int32())
@@ -152,31 +165,32 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
         }
 
     own = df.select(*keep, df[text_col].cast("string").alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "__text")
+    kinds = ddl(own)
     return map_texts(own, run, kinds + "ids array<int>, starts array<int>, ends array<int>", "__text", SLICE, forget)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``keep`` columns and ``decoded`` binary: the bytes of the ids; null ids give empty bytes."""
-    ranks, pattern = _source(path, pattern)
+    source = _source(path, pattern)
+    keep = tuple(k for k in keep if k != "decoded")
 
     def run(batches):
-        own = codec(ranks, pattern)
+        own = codec(source)
         for batch in batches:
             raw = [own.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keep} | {"decoded": pa.array(raw, pa.binary())})
 
     own = df.select(*keep, df[ids_col].alias("__ids"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "__ids")
+    kinds = ddl(own, "__ids")
     return own.mapInArrow(run, kinds + "decoded binary")
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again in one pass."""
-    ranks, pattern = _source(path, pattern)
+    source = _source(path, pattern)
 
     def run(batch: pa.RecordBatch) -> dict:
-        own = codec(ranks, pattern)
+        own = codec(source)
         ids = own.encode([t or "" for t in batch.column("__text").to_pylist()])
         return {
             "doc_id": batch.column("doc_id"),
@@ -190,6 +204,4 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
 
 def op10(spark, sf_dir):
-    from .common import read_table
-
     return digest(read_table(spark, sf_dir, "documents"))

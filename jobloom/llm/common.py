@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of one block. A block is what a task holds in memory at a time, so this bounds its arrays.
 BLOCK_WORDS = 500_000
@@ -26,9 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="jobloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, a small table of numbers that can be counted cheaply, to be broadcast only if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -139,6 +148,26 @@ def offsets(lengths: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(lengths)].astype(np.int64)
 
 
-def text_key(text_col: str):
-    """A 64-bit key of a text that tells null from empty."""
-    return F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+def row_key(*columns) -> F.Column:
+    """128 bits that stand for a row's values in joins."""
+    return F.struct(F.xxhash64(F.lit(1), *columns).alias("k1"), F.xxhash64(F.lit(2), *columns).alias("k2"))
+
+
+def ddl(df: DataFrame, but: str = "__text") -> str:
+    """The columns of ``df`` but one as a schema for Arrow functions, each followed by a comma."""
+    return "".join(f"{_quoted(f.name)} {type_name(f.dataType)}, " for f in df.schema if f.name != but)
+
+
+def type_name(kind: T.DataType) -> str:
+    """A type's name in a schema, with every field name quoted."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ", ".join(f"{_quoted(f.name)}: {type_name(f.dataType)}" for f in kind) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{type_name(kind.elementType)}>"
+    if isinstance(kind, T.MapType):
+        return f"map<{type_name(kind.keyType)}, {type_name(kind.valueType)}>"
+    return kind.simpleString()
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -2,10 +2,15 @@
 
 Vectors are scaled to length 1; a cosine of at least ``least`` is then a distance of at most
 epsilon = sqrt(2 - 2 * least). The leading principal dimensions, from second moments summed over all vectors, carry
-a grid of cells epsilon wide. Vectors sort by their cells; the sequence of a cell is cut into chunks, and chunks
-of cells that differ by at most one in each dimension form the groups that meet. Within a group the two sequences
-are ordered by their places and halved recursively: two intervals whose bounding boxes are farther apart than
-epsilon are skipped, small ones are compared. Single precision screens, double precision decides near the limit.
+a grid of cells epsilon wide, and Spark sorts the vectors by their cells into one sequence, the epsilon grid order.
+The sequence is cut into intervals of equal length. An interval meets another only if their bounding boxes on the
+leading dimensions are at most epsilon apart: boxes of intervals are joined first, and vectors are sent to the pairs
+of intervals that remain. Within such a pair both sequences are halved recursively, and what lies in boxes farther
+apart than epsilon is skipped. Single precision screens, double precision decides near the limit.
+
+A vector is sent once for each interval near its own. Where vectors gather in clusters these are few; vectors spread
+evenly over many dimensions have no provably distant blocks, and an exact join then has to bring each vector to each
+of the n / ``interval`` intervals: intervals are as long as memory allows so that this number is small.
 
 Equal vectors are one from the start, with their number as weight. A group gives each vector's count of links and
 a forest of links, so no pairs of a dense group are written out.
@@ -18,17 +23,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table, stored
+from .common import checked, partitions, read_table, stored
 from .components import components
-from .ngram_join import forest
+from .ngram_join import classes
 
 LEAST = 0.9
-#: Grid dimensions, dimensions of the bounding boxes, vectors of a chunk, and of an interval compared as a whole.
-GRID, BOX, CHUNK, LEAF = 4, 16, 2048, 256
-#: Margin of single precision around the limit.
+#: Grid and box dimensions, and vectors of an interval compared as a whole.
+GRID, BOX, LEAF = 16, 16, 256
+#: Vectors of an interval: 8192 at most, and fewer where they would take more bytes than this in double precision.
+INTERVAL, INTERVAL_BYTES = 8192, 16 << 20
+#: Margin of single precision around the limit, and of the boxes.
 MARGIN = 1e-4
 
 
@@ -40,23 +49,28 @@ def usable(vec) -> F.Column:
 
 
 def principal(rows: DataFrame, dims: int) -> np.ndarray:
-    """Directions of largest variance of the unit vectors, from moments that each task sums over its rows."""
+    """Directions of largest variance of the unit vectors, from moments that each task sums over its rows.
+
+    The dims + 1 rows of sums that reach the driver depend on the vectors' length alone.
+    """
 
     def moments(batches):
         total, one, n = np.zeros((dims, dims)), np.zeros(dims), 0
         for batch in batches:
             x = matrix(batch.column("vec"), dims)
             total, one, n = total + x.T @ x, one + x.sum(0), n + len(x)
-        both = np.r_[total.reshape(-1), one, n]
-        yield pa.RecordBatch.from_pydict({"at": np.arange(len(both)), "x": both})
-
-    sums = rows.select("vec").mapInArrow(moments, "at long, x double").groupBy("at").agg(F.sum("x").alias("x"))
-    flat = np.zeros(dims * dims + dims + 1)
-    for r in sums.collect():  # dims * dims + dims + 1 numbers, whatever the number of vectors
-        flat[r["at"]] = r["x"]
-    n = max(flat[-1], 1)
-    mean = flat[-1 - dims : -1] / n
-    _, directions = np.linalg.eigh(flat[: dims * dims].reshape(dims, dims) / n - np.outer(mean, mean))
+        yield pa.RecordBatch.from_pydict({"at": np.arange(dims + 1), "x": pa.array([*np.c_[total, np.zeros(dims)], np.r_[one, n]], pa.list_(pa.float64()))})
+
+    def added(group: pa.Table) -> pa.Table:
+        x = group.column("x").combine_chunks().flatten().to_numpy().reshape(-1, dims + 1)
+        return pa.table({"at": group.column("at").slice(0, 1), "x": pa.array([x.sum(0)], pa.list_(pa.float64()))})
+
+    sums = np.zeros((dims + 1, dims + 1))
+    for r in rows.select("vec").mapInArrow(moments, "at long, x array<double>").groupBy("at").applyInArrow(added, "at long, x array<double>").collect():
+        sums[r["at"]] = r["x"]
+    n = max(sums[dims, dims], 1)
+    mean = sums[dims, :dims] / n
+    _, directions = np.linalg.eigh(sums[:dims, :dims] / n - np.outer(mean, mean))
     return directions[:, ::-1]
 
 
@@ -73,15 +87,21 @@ def _compare(x, single, a, b, least, out):
     """Links between the rows a and b (index arrays) into ``out``; double precision decides near the limit."""
     cos = single[a] @ single[b].T
     i, j = np.nonzero(cos >= least - MARGIN)
+    if a is b:
+        i, j = i[i < j], j[i < j]
     near = cos[i, j] < least + MARGIN
     i, j = a[i], b[j]
     keep = ~near
     keep[near] = np.einsum("ij,ij->i", x[i[near]], x[j[near]]) >= least
-    out.append((i[keep], j[keep]))
+    if keep.any():
+        out.append((i[keep], j[keep]))
 
 
 def _recurse(x, single, box, a, b, eps, least, out):
-    """Joins two intervals of the sequence, skipping those whose boxes are farther apart than epsilon."""
+    """Joins two intervals of the sequence, skipping those whose boxes are farther apart than epsilon.
+
+    The same array twice stands for an interval and itself: each of its pairs is met once.
+    """
     low_a, high_a, low_b, high_b = box[a].min(0), box[a].max(0), box[b].min(0), box[b].max(0)
     gap = np.maximum(0, np.maximum(low_a - high_b, low_b - high_a))
     if gap @ gap > eps * eps:
@@ -90,77 +110,114 @@ def _recurse(x, single, box, a, b, eps, least, out):
         _compare(x, single, a, b, least, out)
         return
     halves = lambda s: [s] if len(s) <= LEAF else [s[: len(s) // 2], s[len(s) // 2 :]]
-    for p in halves(a):
-        for q in halves(b):
+    mine = halves(a)
+    theirs = mine if a is b else halves(b)
+    for k, p in enumerate(mine):
+        for q in theirs[k:] if a is b else theirs:
             _recurse(x, single, box, p, q, eps, least, out)
 
 
+class Links:
+    """Counts of links by row and the classes that they join, without the links themselves."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.n, self.root = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
+
+    def append(self, links: tuple[np.ndarray, np.ndarray]) -> None:
+        i, j = links
+        np.add.at(self.n, i, self.weight[j])
+        np.add.at(self.n, j, self.weight[i])
+        i, j = self.root[i], self.root[j]
+        new = i != j
+        if new.any():
+            self.root = classes(len(self.root), i[new], j[new])[self.root]
+
+
 def linked(rows: pa.Table, dims: int, directions: np.ndarray, least: float) -> pa.Table:
     """(id, n, root) of vectors with links in one group: n other vectors, by weight, and a forest of links."""
     ids, side, weight = (rows.column(c).to_numpy() for c in ("id", "side", "weight"))
-    none = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     alone = not side.any()
     if len(ids) < 2 or (not alone and side.all()):
-        return none
+        return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
     x = matrix(rows.column("vec"), dims)
     places = x @ directions
     eps = np.sqrt(2 - 2 * least) * (1 + 1e-9)
-    cells = np.floor(places[:, : GRID + 2] / eps).astype(np.int64)
+    cells = np.floor(places[:, :GRID] / eps).astype(np.int64)
     order = np.lexsort([places[:, 0], *cells.T[::-1]])  # epsilon grid order
-    single, box, out = x.astype(np.float32), places[:, :BOX], []
-    first, second = order[side[order] == 0], order[side[order] == 1]
-    _recurse(x, single, box, first, first if alone else second, eps, least, out)
-    i, j = (np.concatenate([np.zeros(0, np.int64), *p]) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    if alone:
-        once = i < j
-        i, j = i[once], j[once]
-    n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-    tree = forest(ids, i, j)
-    root = dict(zip(tree.column("a").to_pylist(), tree.column("b").to_pylist(), strict=True))
-    at = np.flatnonzero(n)
-    return pa.table({"id": ids[at], "n": n[at].astype(np.int64), "root": pa.array([root.get(k, k) for k in ids[at].tolist()], pa.int64())})
-
-
-def _join_length(rows: DataFrame, dims: int, least: float) -> DataFrame:
-    directions = principal(rows, dims)
-    eps = float(np.sqrt(2 - 2 * least))
-    grid = min(GRID, dims)
+    first, second, out = order[side[order] == 0], order[side[order] == 1], Links(weight)
+    _recurse(x, x.astype(np.float32), places[:, :BOX], first, first if alone else second, eps, least, out)
+    at = np.flatnonzero(out.n)
+    return pa.table({"id": ids[at], "n": out.n[at], "root": ids[out.root[at]]})
+
 
-    def cells(batches):
+def ordered(rows: DataFrame, dims: int, directions: np.ndarray, eps: float, interval: int) -> DataFrame:
+    """id, weight, vec, ``at`` (leading coordinates) and ``no``, the number of its interval of the epsilon grid order."""
+    kind = rows.schema["vec"].dataType.simpleString()
+    lead = np.ascontiguousarray(directions[:, : max(min(GRID, dims), min(BOX, dims))])
+
+    def place(batches):
         for batch in batches:
-            at = np.floor(matrix(batch.column("vec"), dims) @ directions[:, :grid] / eps).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "weight": batch.column("weight"), "vec": batch.column("vec"), "cell": pa.array(at.tolist(), pa.list_(pa.int32()))})
-
-    placed = rows.mapInArrow(cells, "id long, weight long, vec array<double>, cell array<int>")
-    placed = stored(placed, "cells")
-    # Occupied cells: at most (2 / epsilon + 2) ** GRID, so their pairs are a small table as well.
-    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    counts = stored(counts.withColumn("no", F.xxhash64("cell")), "grid")
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    around = counts
-    for d in range(grid):
-        around = around.withColumn(f"s{d}", F.explode(steps))
-    around = around.withColumn("near", F.array(*[F.col("cell")[d] + F.col(f"s{d}") for d in range(grid)]))
-    other = counts.select(F.col("cell").alias("near"), F.col("chunks").alias("others"), F.col("no").alias("near_no"))
-    around = around.join(other, "near").select("cell", "no", "near_no", "others")
-    chunked = placed.join(F.broadcast(counts), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    sent = chunked.select("id", "weight", "vec", "no", "chunk").join(F.broadcast(around.drop("cell")), "no")
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    mine, theirs = F.struct(F.col("no"), F.col("chunk")), F.struct(F.col("near_no").alias("no"), F.col("other").alias("chunk"))
-    sent = sent.select("id", "weight", "vec", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), (mine > theirs).cast("int").alias("side"))
+            at = matrix(batch.column("vec"), dims) @ lead
+            cells = np.floor(at[:, :GRID] / eps).astype(np.int32)
+            lists = {"at": pa.array([*at[:, :BOX]], pa.list_(pa.float64())), "cell": pa.array([*cells], pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "weight": batch.column("weight"), "vec": batch.column("vec")} | lists)
+
+    def number(batches):
+        part, start = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("id", "weight", "vec", "at")} | {"part": np.full(n, part, np.int32), "place": np.arange(start, start + n)})
+            start += n
+
+    fields = f"id long, weight long, vec {kind}, at array<double>"
+    spread = rows.mapInArrow(place, f"{fields}, cell array<int>").repartitionByRange(partitions(rows.sparkSession), "cell", "id").sortWithinPartitions("cell", "id")
+    numbered = stored(spread.mapInArrow(number, f"{fields}, part int, place long"), "order")
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return numbered.join(F.broadcast(before), "part").select("id", "weight", "vec", "at", F.floor((F.col("before") + F.col("place")) / interval).alias("no"))
+
+
+def near_intervals(placed: DataFrame, dims: int, eps: float) -> DataFrame:
+    """(no, low, high): pairs low <= high of intervals with boxes at most epsilon apart, for each of the two.
+
+    Boxes are joined on the cells, epsilon wide, that they touch in the first dimension.
+    """
+    box = min(BOX, dims)
+    edges = lambda f: F.array(*[f(F.col("at")[d]) for d in range(box)])
+    boxes = placed.groupBy("no").agg(edges(F.min).alias("lo"), edges(F.max).alias("hi"))
+    boxes = stored(boxes, "boxes")
+    cells = lambda more: F.explode(F.sequence(F.floor(F.col("lo")[0] / eps) - more, F.floor(F.col("hi")[0] / eps) + more))
+    mine = boxes.select(F.col("no").alias("low"), "lo", "hi", cells(0).alias("cell"))
+    theirs = boxes.select(F.col("no").alias("high"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), cells(1).alias("cell"))
+    gaps = F.zip_with(F.zip_with("lo", "hi2", lambda x, y: x - y), F.zip_with("lo2", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    far = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+    met = mine.join(theirs, "cell").filter((F.col("low") <= F.col("high")) & (far <= eps * eps + MARGIN)).select("low", "high").distinct()
+    both = met.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("no"), "low", "high")
+    return stored(both, "near")
+
+
+def _join_length(rows: DataFrame, dims: int, least: float, interval: int) -> DataFrame:
+    directions = principal(rows, dims)
+    eps = float(np.sqrt(2 - 2 * least))
+    placed = ordered(rows, dims, directions, eps, max(LEAF, min(interval, INTERVAL_BYTES // (8 * dims))))
+    near = near_intervals(placed, dims, eps)
+    sent = placed.select("id", "weight", "vec", "no").join(checked(near), "no").withColumn("side", (F.col("no") > F.col("low")).cast("int")).drop("no")
     return sent.groupBy("low", "high").applyInArrow(lambda t: linked(t, dims, directions, least), "id long, n long, root long")
 
 
-def join(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", least: float = LEAST) -> DataFrame:
+def join(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", least: float = LEAST, interval: int = INTERVAL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; see the module for the method."""
-    own = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast("array<double>").alias("vec"))
-    own = own.withColumn("ok", usable(F.col("vec"))).withColumn("key", F.when(F.col("ok"), F.transform("vec", lambda v: v + 0.0)))
-    distinct = own.filter("ok AND vec_id IS NOT NULL").groupBy(F.col("key").alias("vec")).agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight"))
+    kind = df.schema[vec_col].dataType
+    kind = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    own = df.select(df[id_col].cast("long").alias("vec_id"), df[vec_col].cast(kind).alias("vec"))
+    plus = F.lit(0).cast(kind[6:-1])  # makes -0.0 the same as 0.0
+    own = own.withColumn("key", F.when(usable(F.col("vec")), F.transform("vec", lambda v: v + plus))).drop("vec")
+    distinct = own.filter("key IS NOT NULL AND vec_id IS NOT NULL").groupBy(F.col("key").alias("vec")).agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("weight"))
     distinct = stored(distinct.select("id", "weight", "vec"), "vectors")
     lengths = [r[0] for r in distinct.select(F.size("vec")).distinct().collect()]
     found = None
     for dims in sorted(lengths):
-        one = _join_length(distinct.filter(F.size("vec") == dims), dims, least)
+        one = _join_length(distinct.filter(F.size("vec") == dims), dims, least, interval)
         found = one if found is None else found.union(one)
     if found is None:
         found = distinct.select("id", F.col("weight").alias("n"), F.col("id").alias("root")).limit(0)

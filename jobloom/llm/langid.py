@@ -9,17 +9,20 @@ Bundling is linear, so a text's dot product with a prototype is the sum over its
 computed once; the norm of the text comes from its bundle, taken over its different n-grams.
 
 Defined results: text that is null or has no letter gives ``und`` and score 0; with no labelled text every
-text gives ``und``; equal cosines go to the language first by code point; rows are independent.
+text gives ``und``; equal cosines go to the language first by code point; columns of ``keep`` named like a result are
+left out; rows are independent.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table
+from .common import ddl, map_texts, read_table
 
 #: Dimensions, n-gram length and letters told apart. Letters beyond the table share codes by remainder.
 DIMENSIONS, GRAM, LETTERS = 512, 3, 128
@@ -167,8 +170,9 @@ _MODELS: dict[bytes, Model] = {}
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score``: the best cosine, 0 where it is negative."""
     langs, protos = model
-    key = repr(langs).encode() + protos.tobytes()[:4096]
-    name = text_col if text_col in keep else "__text"
+    key = hashlib.sha256(repr((langs, protos.shape)).encode() + protos.tobytes()).digest()
+    keep = tuple(k for k in keep if k not in ("lang_pred", "score"))
+    name = text_col if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else "__text"
 
     def run(batch: pa.RecordBatch) -> dict:
         if key not in _MODELS:
@@ -183,8 +187,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
         return {k: batch.column(k) for k in keep} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
     own = df.select(*keep) if name in keep else df.select(*keep, df[text_col].cast("string").alias(name))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name in keep)
-    return map_texts(own, run, kinds + "lang_pred string, score double", name)
+    return map_texts(own, run, ddl(own) + "lang_pred string, score double", name)
 
 
 def is_held_out(id_col: str = "doc_id") -> F.Column:

@@ -3,10 +3,16 @@
 One pass over the texts sends the hashes of every document's distinct word n-grams to be counted over the corpus
 (see ``packed``); each document gets back those that other documents share, with their frequencies. N-grams are
 ordered by (frequency, hash), rarest first, so a document's prefix is first used up by n-grams of its own, which
-join with nothing. Documents that share a prefix n-gram are put into one family; a family is dealt into chunks by
-hash, and each pair of chunks is one group, so each pair of documents meets once. Within a group the prefix n-grams
-are joined under the length and positional filters, the suffix filter bounds the overlap by counts of n-grams in
-ranges of hashes, and what remains is verified exactly.
+join with nothing.
+
+The sets are joined on their prefix n-grams: not set by set, which would write out all pairs of a group of copies, but
+set by chunk. A set belongs to the chunk of a frequent n-gram of its prefix, so similar sets mostly share one; chunks
+are bounded, larger ones are dealt by hash. Each n-gram has a row for each chunk that holds it, with the range of sizes
+and of places there, and joins with the sets that have it under the length and positional filters. So a set goes to
+those chunks, once each, in which some set has an n-gram of its prefix at a place that leaves room for the overlap, and
+each pair of sets meets in one pair of chunks. There the prefix n-grams are joined set by set under the same filters,
+the suffix filter bounds the overlap by counts of n-grams in ranges of hashes, and what remains is verified exactly,
+once a pair.
 
 Documents with equal sets are one from the start. Only links that join something new leave a group, as a forest,
 so no pairs of a group of copies are ever written out.
@@ -23,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_WORDS, give_back, mixed, powers, read_table, rolling, stored, utf8, word_hashes
+from .common import BLOCK_WORDS, checked, give_back, mixed, powers, read_table, rolling, stored, utf8, word_hashes
 from .components import components
-from .packed import SCHEMA, Bucket, block_number, block_rows, buckets, exchanged, packed_gaps, table, unpacked_gaps
+from .packed import SCHEMA, Answers, Bucket, Buckets, block_number, exchanged, sent, table
 
 WIDTH, PERCENT = 5, 75
-#: Documents of a chunk of a family; a group holds two chunks.
-CHUNK = 1024
+#: Sets of a chunk and n-grams of a chunk, about; a group holds two chunks.
+CHUNK, CHUNK_GRAMS = 1024, 2_000_000
 #: Hash ranges of the suffix filter.
 RANGES = 32
 
@@ -64,12 +70,13 @@ def shingle_sets(raws: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def shared_sets(df: DataFrame, text_col: str, id_col: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n, key of its set; ``grams`` (shared ones, rarest first) and ``prefix``.
+def shared_sets(df: DataFrame, text_col: str, id_col: str, width: int = WIDTH, percent: int = PERCENT, buckets: Buckets | None = None) -> DataFrame:
+    """One row per document: doc_id, n, key of its set; ``grams`` (shared ones, rarest first), ``prefix`` and ``cell``.
 
-    ``prefix`` of the ``grams`` lie in the set's prefix. A block gives the grams of equal sets once.
+    ``prefix`` of the ``grams`` lie in the set's prefix. ``cell`` is the one of these with the least hash among the
+    most frequent, by powers of two. A block gives the grams of equal sets once.
     """
-    n_buckets = buckets(df.sparkSession, df)
+    n_buckets = buckets or Buckets.of(df)
 
     def send(batches):
         count = 0
@@ -87,47 +94,44 @@ def shared_sets(df: DataFrame, text_col: str, id_col: str, width: int = WIDTH, p
                 count += 1
             give_back()
 
-    def answer(rows: pa.Table) -> pa.Table:
-        own = Bucket(rows, n_buckets)
+    def choose(own: Bucket) -> tuple:
         totals = own.totals()
-        chosen = totals > 1
         # Frequencies only order n-grams, so they may stop at a largest value, which is the same everywhere.
-        some, hashes = np.minimum(totals[chosen], 65535).astype(np.uint16), own.hashes[chosen]
-        out = [(block, 0, 2, packed_gaps(places.astype(np.int64), True), some[at].tobytes(), hashes[at].tobytes(), b"") for block, places, at in own.answers(chosen)]
-        return pa.concat_tables([own.directory, pa.Table.from_batches([table(out)])])
-
-    def assemble(rows: pa.Table) -> pa.Table:
-        kinds = rows.column("kind").to_numpy()
-        (head,) = rows.filter(pa.array(kinds == 1)).to_pylist()
-        told = rows.filter(pa.array(kinds == 2))
-        gather = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in told.column(c).to_pylist())])
+        return totals > 1, [np.minimum(totals, 65535).astype(np.uint16), own.hashes]
+
+    def assemble(head: dict, told: Answers) -> pa.Table:
         docs = np.frombuffer(head["a"], np.int64).reshape(-1, 4)  # id, id is null, size, key
         first = np.frombuffer(head["b"], np.int64)  # first place of the set, -1 if an earlier row has it
         others, firsts = np.frombuffer(head["c"], np.uint32).reshape(2, -1).astype(np.int64)
         total = int(docs[first >= 0, 2].sum())
         counts, hashes = np.zeros(total, np.int64), np.zeros(total, np.uint64)
-        at = np.concatenate([np.zeros(0, np.int64), *(unpacked_gaps(x, True) for x in told.column("a").to_pylist())])
-        counts[at], hashes[at] = gather("b", np.uint16), gather("c", np.uint64)
+        counts[told.places], hashes[told.places] = told.known
         counts[others], hashes[others] = counts[firsts], hashes[firsts]
-        grams, prefix = [], []
+        grams, prefix, cell = [], [], []
         for (_, _, n, _), start in zip(docs.tolist(), first.tolist(), strict=True):
             if start < 0 or not n:
                 grams.append(None)
                 prefix.append(0)
+                cell.append(0)
                 continue
             mine = slice(start, start + n)
             some = np.flatnonzero(counts[mine] > 1)
             c, h = counts[mine][some], hashes[mine][some]
-            grams.append(h[np.lexsort((h, c))].tobytes())
-            prefix.append(min(len(some), max(0, prefix_length(n, percent) - (n - len(some)))))
+            order = np.lexsort((h, c))
+            length = min(len(some), max(0, prefix_length(n, percent) - (n - len(some))))
+            grams.append(h[order].tobytes())
+            prefix.append(length)
+            level = np.log2(c[order[:length]]).astype(int)
+            cell.append(int(h[order[:length]][level == level[-1]].min().astype(np.int64)) if length else 0)
         ids = pa.array(docs[:, 0], mask=docs[:, 1] == 1)
-        return pa.table({"doc_id": ids, "n": docs[:, 2], "key": docs[:, 3], "grams": pa.array(grams, pa.binary()), "prefix": pa.array(prefix, pa.int64())})
+        return pa.table({"doc_id": ids, "n": docs[:, 2], "key": docs[:, 3], "grams": pa.array(grams, pa.binary()), "prefix": pa.array(prefix, pa.int64()), "cell": pa.array(cell, pa.int64())})
 
     own = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("__text"))
-    return exchanged(own.mapInArrow(send, SCHEMA), answer, assemble, "doc_id long, n long, key long, grams binary, prefix long")
+    rows = own.mapInArrow(send, SCHEMA)
+    return exchanged(rows, n_buckets, choose, [np.uint16, np.uint64], assemble, "doc_id long, n long, key long, grams binary, prefix long, cell long")
 
 
-def _block(block: int, ids: list, raws: list[bytes], width: int, n_buckets: int) -> list[tuple]:
+def _block(block: int, ids: list, raws: list[bytes], width: int, n_buckets: Buckets) -> list[tuple]:
     sets = shingle_sets(raws, width)
     keys = [int((mixed(s) * (s | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(s))) for s in sets]
     first, seen, at = [], set(), 0
@@ -145,34 +149,48 @@ def _block(block: int, ids: list, raws: list[bytes], width: int, n_buckets: int)
     other = order != repeated
     pairs = np.stack([order[other], repeated[other]]).astype(np.uint32)
     docs = np.array([[i if i is not None else 0, i is None, len(s), k - (1 << 64) if k >> 63 else k] for i, s, k in zip(ids, sets, keys, strict=True)], np.int64)
-    head = (block, block % n_buckets, 1, docs.tobytes(), np.array(first, np.int64).tobytes(), pairs.tobytes(), b"")
-    return [head, *block_rows(block, hashes[firsts[up]], firsts[up], n_buckets, counts[up])]
+    head = (block, n_buckets.home(block), 1, docs.tobytes(), np.array(first, np.int64).tobytes(), pairs.tobytes(), b"")
+    return [head, *sent(block, hashes[firsts[up]], firsts[up], n_buckets, counts[up])]
 
 
-def families(sets: DataFrame) -> DataFrame:
-    """(key, family): sets that share a prefix n-gram, directly or over others, are one family."""
+def routes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, low, high, side): the pairs of chunks in which a set may meet a similar one; side 1 if it is of ``high``.
+
+    ``sets`` have ``cell`` and ``sub``, which name their chunk. Rows grow with the sets' prefixes and, of a set, with
+    the chunks that share them.
+    """
 
     def spread(batches):
         for batch in batches:
-            rows = list(zip(batch.column("key").to_pylist(), batch.column("grams").to_pylist(), batch.column("prefix").to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([np.repeat(np.array([k for k, _, _ in rows], np.int64), [p for _, _, p in rows]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(g, np.int64)[:p] for _, g, p in rows)])], ["key", "gram"])
-
-    pre = sets.select("key", "grams", "prefix").mapInArrow(spread, "key long, gram long")
-    met = pre.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high")
-    star = pre.join(met, "gram").filter("key != low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    return components(star).select(F.col("node").alias("key"), F.col("root").alias("family"))
+            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+            prefix = batch.column("prefix").to_numpy()
+            rest = [np.arange(len(g), len(g) - p, -1) for g, p in zip(grams, prefix.tolist(), strict=True)]
+            flat = {"gram": np.concatenate([np.zeros(0, np.int64), *(g[:p] for g, p in zip(grams, prefix.tolist(), strict=True))]), "rest": np.concatenate([np.zeros(0, np.int64), *rest]).astype(np.int32)}
+            flat |= {c: np.repeat(batch.column(c).to_numpy().astype(t), prefix) for c, t in (("key", np.int64), ("n", np.int32), ("cell", np.int64), ("sub", np.int32))}
+            yield pa.RecordBatch.from_pydict(flat)
+
+    posts = sets.select("key", "n", "grams", "prefix", "cell", "sub").mapInArrow(spread, "gram long, rest int, key long, n int, cell long, sub int")
+    held = posts.groupBy("gram", "cell", "sub").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("room"))
+    held = held.withColumnsRenamed({"cell": "cell2", "sub": "sub2"})
+    own = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    overlap = F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-9)
+    met = posts.join(held, "gram").filter((~own | (F.col("sets") > 1)) & (F.col("n") * percent <= F.col("most") * 100) & (F.col("least") * percent <= F.col("n") * 100))
+    met = met.filter((F.col("rest") >= overlap) & (F.col("room") >= overlap))
+    mine, theirs = F.struct("cell", "sub"), F.struct(F.col("cell2").alias("cell"), F.col("sub2").alias("sub"))
+    return met.select("key", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), (mine > theirs).cast("int").alias("side")).distinct()
 
 
 def linked(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Links (a, b) of keys within one group, as a forest. Columns side 0 and 1 are two chunks, or side 0 alone."""
+    """Links (a, b) of keys within one group, as a forest: of one chunk with itself, or of side 0 with side 1."""
+    alone = rows.column("low")[0] == rows.column("high")[0]
     rows = rows.sort_by([("side", "ascending"), ("key", "ascending")])
     keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
     side, prefix = rows.column("side").to_numpy(), rows.column("prefix").to_numpy()
     grams = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
     sizes = np.array([len(g) for g in grams])
     total, cut = len(keys), int((side == 0).sum())
-    alone = cut == total
-    if total < 2 or not cut:
+    if total < 2 or (not alone and cut in (0, total)):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     doc = np.repeat(np.arange(total), sizes)
     flat, gram = np.unique(np.concatenate(grams), return_inverse=True)
@@ -219,9 +237,9 @@ def linked(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
     return forest(keys, left[good], right[good])
 
 
-def forest(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
-    """A link from each node to the least node that it reaches by the given links."""
-    root = np.arange(len(keys))
+def classes(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of 0 to n - 1 that each of them reaches by the given links."""
+    root = np.arange(n)
     while len(left):
         low = np.minimum(root[left], root[right])
         new = root.copy()
@@ -234,28 +252,39 @@ def forest(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
         if (new == root).all():
             break
         root = new
+    return root
+
+
+def forest(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
+    """A link from each node to the least node that it reaches by the given links."""
+    root = classes(len(keys), left, right)
     at = np.flatnonzero(root != np.arange(len(keys)))
     return pa.table({"a": keys[at], "b": keys[root[at]]})
 
 
-def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def chunked(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``sets`` with ``sub``: sets of a cell with more than a chunk of sets, or of n-grams, are dealt by hash."""
+    size = F.greatest(F.count("*") / chunk, F.sum(F.length("grams")) / (8 * CHUNK_GRAMS))
+    large = stored(sets.groupBy("cell").agg(F.ceil(size).cast("int").alias("chunks")).filter("chunks > 1"), "cells")
+    dealt = sets.join(checked(large), "cell", "left")
+    return dealt.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)).cast("int")).drop("chunks")
+
+
+def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, chunk: int = CHUNK, buckets: Buckets | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest doc_id reachable by links, itself included."""
-    docs = stored(shared_sets(df, text_col, id_col, width, percent), "sets")
-    sets = docs.filter("prefix > 0 AND grams IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.max("prefix").alias("prefix"), F.first("grams").alias("grams"))
-    sets = stored(sets, "distinct")
-    family = stored(families(sets), "families")
-    chunks = family.groupBy("family").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = family.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("key", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("key", "family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    pairs = dealt.join(sets, "key").groupBy("family", "low", "high").applyInArrow(lambda rows: linked(rows, percent), "a long, b long")
-    roots = components(pairs)
-    with_root = docs.select("doc_id", "n", "key").join(roots, F.col("key") == F.col("node"), "left")
-    group = F.when(F.col("n") > 0, F.coalesce("root", "key"))
-    with_root = with_root.select("doc_id", "n", group.alias("group"))
-    least = with_root.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = with_root.join(least, "group", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    docs = stored(shared_sets(df, text_col, id_col, width, percent, buckets), "sets")
+    sets = docs.filter("prefix > 0 AND grams IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "grams", "cell")])
+    sets = chunked(stored(sets, "distinct"), chunk)
+    met = routes(sets, percent).join(sets.select("key", "n", "prefix", "grams"), "key")
+    roots = components(met.groupBy("low", "high").applyInArrow(lambda rows: linked(rows, percent), "a long, b long"))
+    # The least id of each set, then of each class of sets; documents meet the sets that have a class or several rows.
+    keys = docs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    keys = keys.join(roots, F.col("key") == F.col("node"), "left").filter("rows > 1 OR root IS NOT NULL")
+    keys = stored(keys.select("key", "least", F.coalesce("root", "key").alias("root")), "keys")
+    lowest = stored(keys.groupBy("root").agg(F.min("least").alias("component")), "classes")
+    named = stored(keys.join(checked(lowest), "root").select("key", "component"), "named")
+    out = docs.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(checked(named), "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9(spark, sf_dir):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table, stored
+from .common import ddl, map_texts, read_table, row_key, stored, type_name
 
 # The base patterns and the least lengths that the contract of the scan states.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -68,9 +68,8 @@ def parts(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
         return {k: batch.column(k) for k in keep} | {"base": named(base), "weak": named(weak)}
 
     own = df.select(*keep, df[text_col].cast("string").alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema if f.name != "__text")
     span = "array<struct<start: long, kind: long, end: long>>"
-    return map_texts(own, run, f"{kinds}base {span}, weak {span}", "__text")
+    return map_texts(own, run, f"{ddl(own)}base {span}, weak {span}", "__text")
 
 
 def linked(found: DataFrame, key: str, reach: int = REACH) -> DataFrame:
@@ -95,10 +94,10 @@ def linked(found: DataFrame, key: str, reach: int = REACH) -> DataFrame:
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", reach: int = REACH) -> DataFrame:
     """One row per input row: ``doc_id``, ``base`` and ``linked`` arrays of (start, kind, end).
 
-    A row is known by its id and a hash of its text: rows that agree in both have the same spans, so they
+    A row is known by hashes of its id and text: rows that agree in both have the same spans, so they
     enter the join once and each of them gets its result.
     """
-    own = df.select(df[id_col].alias("doc_id"), F.xxhash64(df[id_col], df[text_col]).alias("key"), df[text_col].alias("__text"))
+    own = df.select(df[id_col].alias("doc_id"), row_key(df[id_col], df[text_col]).alias("key"), df[text_col].alias("__text"))
     found = stored(parts(own, "__text", ("doc_id", "key")), "secrets")
     return found.join(linked(found, "key", reach), "key", "left").select("doc_id", "key", "base", F.coalesce("linked", F.filter("base", lambda _: F.lit(False))).alias("linked"))
 
@@ -112,17 +111,28 @@ def listing(spans) -> F.Column:
 
 def masked(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", reach: int = REACH, mask: str = "[secret]") -> DataFrame:
     """``df`` with every reported span of its text replaced; all rows stay. Overlapping spans become one mask."""
-    keyed = df.withColumn("__key", F.xxhash64(df[id_col], df[text_col]))
-    found = scan(df, text_col, id_col, reach).select(F.col("key").alias("__key"), F.array_sort(F.concat("base", "linked")).alias("__spans"))
-    some = found.filter(F.size("__spans") > 0).dropDuplicates(["__key"])
-    step = lambda done, s: F.when(
-        s["start"] >= done["at"],
-        F.struct(F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, s["start"] - done["at"]), F.lit(mask)).alias("out"), s["end"].alias("at")),
-    ).otherwise(F.struct(done["out"].alias("out"), F.greatest(done["at"], s["end"]).alias("at")))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    end = lambda done: F.concat(done["out"], F.substring(F.col(text_col), done["at"] + 1, F.length(text_col)))
-    text = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", first, step, end)).otherwise(F.col(text_col))
-    return keyed.join(some, "__key", "left").withColumn(text_col, text).select(*df.columns)
+    rest = F.struct(*([df[c] for c in df.columns if c != text_col] or [F.lit(0).alias("none")]))
+    keyed = df.select(row_key(df[id_col], df[text_col]).alias("key"), df[text_col].cast("string").alias("text"), rest.alias("row"))
+    found = scan(df, text_col, id_col, reach).select("key", F.array_sort(F.concat("base", "linked")).alias("spans"))
+    some = found.filter(F.size("spans") > 0).dropDuplicates(["key"])
+    both = keyed.join(some, "key", "left").select("row", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = batch.column("text").to_pylist()
+        spans = zip(texts, batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)
+        return {"row": batch.column("row"), "text": pa.array([t if not s else _masked(t, s, e, mask) for t, s, e in spans], pa.string())}
+
+    out = map_texts(both, run, f"row {type_name(both.schema['row'].dataType)}, text string", "text")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def _masked(text: str, starts: list[int], ends: list[int], mask: str) -> str:
+    out, at = [], 0
+    for start, end in zip(starts, ends, strict=True):
+        if start >= at:
+            out += [text[at:start], mask]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def op7(spark, sf_dir):

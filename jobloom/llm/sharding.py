@@ -2,9 +2,11 @@
 
 Rows are ranged by a key. A sample drawn with a chance in proportion to size gives the splitters: quantiles of
 the sampled keys cut the keys into ranges of near equal bytes. Ranges that hold more than ``CELL_ROWS`` rows are
-subdivided by a second hash of the key, and keys that alone hold more than ``HEAVY`` of a shard by row. Sums of
-bytes over these cells, in order, and within each cell over its rows, place every row on one line of bytes; the
-shard is the stretch of the line that holds it. Rows of one key stay in one shard unless the key is heavy.
+subdivided by a second hash of the key, and keys that alone hold more than ``HEAVY`` of a shard, or more than
+``CELL_ROWS`` rows, by row. Sums of bytes over these cells, in order, and within each cell over its rows, place every
+row on one line of bytes; the shard is the stretch of the line that holds it. Rows of one key stay in one shard unless
+the key alone holds more than ``HEAVY`` of a shard. Key, size and tie are worked out once and written; all passes read
+these alone.
 
 Law ``bytes``: the shards' sizes come near equal. Defined results: null text has 8 bytes and crc32 0; equal
 texts are one key; repeated rows keep a place each; fewer rows than shards leave shards empty.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import checked, read_table, stored
 
 SHARDS, OVERHEAD = 24, 8
 #: Splitters and the rows sampled for them: both bounded, whatever the input's size.
@@ -47,30 +49,37 @@ def splitters(rows: DataFrame, total: int, ranges: int = RANGES, sample: int = S
     return sorted(set(found or []))
 
 
-def shard(df: DataFrame, key: Column, size: Column, tie: Column, keep: list[Column], shards: int = SHARDS) -> DataFrame:
+def shard(df: DataFrame, key: Column, size: Column, tie: Column, keep: list[Column], shards: int = SHARDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``keep`` columns with ``size``, ``shard`` (0 to shards - 1) and ``slot`` (from 0, without gaps, in a shard)."""
     rows = df.select(F.struct(*keep).alias("row"), key.alias("key"), size.cast("long").alias("size"), tie.alias("tie"))
+    rows = stored(rows, "keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = rows.groupBy("key").agg(F.sum("size").alias("own")).filter(F.col("own") * shards > HEAVY * total)  # at most shards / HEAVY keys
+    # Keys of more than a share of a shard (at most shards / HEAVY), or of more rows than a cell (rows / CELL_ROWS).
+    heavy = rows.groupBy("key").agg((F.sum("size") * shards > HEAVY * total).alias("large"), F.count("*").alias("n"))
+    heavy = stored(heavy.filter(F.col("large") | (F.col("n") > cell_rows)).select("key", "large"), "heavy")
     ranged = rows.withColumn("range", range_of(F.col("key"), splitters(rows, total)))
-    many = ranged.groupBy("range").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"))  # one row a range
-    ranged = ranged.join(F.broadcast(heavy.select("key", F.lit(True).alias("heavy"))), "key", "left").join(F.broadcast(many), "range")
+    many = ranged.groupBy("range").agg(F.ceil(F.count("*") / cell_rows).alias("cells"))  # one row a range
+    ranged = ranged.join(checked(heavy), "key", "left").join(F.broadcast(many), "range")
     # Cells: heavy keys by row, the rest by a second hash of the key, so that a key stays whole.
-    own = F.when(F.col("heavy"), F.pmod(F.xxhash64("tie", F.lit(1)), F.col("cells") * 16)).otherwise(F.pmod(F.xxhash64("key", F.lit(2)), F.col("cells")))
-    placed = stored(ranged.select("row", "size", "tie", "range", F.coalesce("heavy", F.lit(False)).alias("heavy"), F.when(F.col("heavy"), F.col("key")).alias("alone"), own.alias("cell"), F.col("key").alias("group")), "shards")
-    # Sums over cells, then within a cell over keys (or rows, of heavy keys).
+    alone = F.col("large").isNotNull()
+    own = F.when(alone, F.pmod(F.xxhash64("tie", F.lit(1)), F.col("cells") * 16)).otherwise(F.pmod(F.xxhash64("key", F.lit(2)), F.col("cells")))
+    placed = stored(ranged.select("row", "size", "tie", "range", F.coalesce("large", F.lit(False)).alias("large"), F.when(alone, F.col("key")).alias("alone"), own.alias("cell"), F.col("key").alias("group")), "shards")
+    # Sums over cells, then within a cell over keys (or rows, of heavy keys). Cells of one key follow one another.
     cell = ["range", "alone", "cell"]
     sums = placed.groupBy(*cell).agg(F.sum("size").alias("bytes"))
     line = Window.orderBy("range", F.col("alone").isNotNull(), "alone", "cell")
-    starts = sums.withColumn("start", F.sum("bytes").over(line) - F.col("bytes")).drop("bytes")
+    whole = Window.partitionBy("range", "alone")
+    starts = sums.withColumn("start", F.sum("bytes").over(line) - F.col("bytes"))
+    starts = starts.withColumn("key_middle", F.min("start").over(whole) + F.sum("bytes").over(whole) / 2).drop("bytes")
     same = [placed[c].eqNullSafe(starts[c]) for c in cell]
     inside = Window.partitionBy("range", "alone", "cell")
-    laid = placed.join(starts, same[0] & same[1] & same[2]).select(placed["*"], "start")
+    laid = placed.join(starts, same[0] & same[1] & same[2]).select(placed["*"], "start", "key_middle")
     upto = F.sum("size").over(inside.orderBy("group", "tie", "row.doc_key").rowsBetween(Window.unboundedPreceding, 0))
     laid = laid.withColumn("upto", upto)
     one = Window.partitionBy("range", "alone", "cell", "group")
-    middle = F.when(F.col("heavy"), F.col("upto") - F.col("size") / 2).otherwise((F.max("upto").over(one) + F.min(F.col("upto") - F.col("size")).over(one)) / 2)
-    laid = laid.withColumn("shard", F.least(F.lit(shards - 1), F.floor((F.col("start") + middle) * shards / F.lit(float(max(total, 1))))).cast("int"))
+    middle = F.when(F.col("large"), F.col("start") + F.col("upto") - F.col("size") / 2).when(F.col("alone").isNotNull(), F.col("key_middle"))
+    middle = middle.otherwise(F.col("start") + (F.max("upto").over(one) + F.min(F.col("upto") - F.col("size")).over(one)) / 2)
+    laid = laid.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(max(total, 1))))).cast("int"))
     # Slots: a cell's rows within a shard follow those of the cells before it.
     counts = laid.groupBy(*cell, "shard").agg(F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("range", F.col("alone").isNotNull(), "alone", "cell")

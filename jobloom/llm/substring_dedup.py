@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_WORDS, give_back, map_texts, read_table, rolling, utf8, word_hashes
-from .packed import SCHEMA, Bucket, block_number, block_rows, buckets, exchanged, table
+from .packed import SCHEMA, Answers, Bucket, Buckets, block_number, exchanged, packed_gaps, sent, table, unpacked_gaps
 
 WIDTH = 35
 
@@ -29,9 +29,9 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("doc_id"), df[text_col].alias("__text"), F.xxhash64(F.lit(1), *both).alias("k1"), F.xxhash64(F.lit(2), *both).alias("k2"))
 
 
-def removals(df: DataFrame, width: int = WIDTH) -> DataFrame:
+def removals(df: DataFrame, width: int = WIDTH, buckets: Buckets | None = None) -> DataFrame:
     """(k1, k2, spans) of the keyed rows that lose words: spans are [first, last) word numbers, ascending."""
-    n = buckets(df.sparkSession, df)
+    n = buckets or Buckets.of(df)
 
     def send(batches):
         count = 0
@@ -53,16 +53,11 @@ def removals(df: DataFrame, width: int = WIDTH) -> DataFrame:
                 count += 1
             give_back()
 
-    def answer(rows: pa.Table) -> pa.Table:
-        own = Bucket(rows, n)
-        out = [(block, 0, 2, places.tobytes(), b"", b"", b"") for block, places, _ in own.answers(own.totals() > 1)]
-        return pa.concat_tables([own.directory, pa.Table.from_batches([table(out)])])
+    def choose(own: Bucket) -> tuple:
+        return own.totals() > 1, []
 
-    def assemble(rows: pa.Table) -> pa.Table:
-        kinds = rows.column("kind").to_numpy()
-        (head,) = rows.filter(pa.array(kinds == 1)).to_pylist()
-        places = [np.frombuffer(x, np.uint32) for x in rows.filter(pa.array(kinds == 2)).column("a").to_pylist()]
-        at = np.unique(np.concatenate([np.frombuffer(head["c"], np.uint32), *places])).astype(np.int64)
+    def assemble(head: dict, told: Answers) -> pa.Table:
+        at = np.unique(np.r_[unpacked_gaps(head["c"]), told.places])
         keys, starts = np.frombuffer(head["a"], np.int64).reshape(-1, 2), np.frombuffer(head["b"], np.int64)
         doc = np.searchsorted(starts, at, "right") - 1
         new = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + width) | (doc[1:] != doc[:-1])]) if len(at) else np.zeros(0, np.int64)
@@ -73,12 +68,12 @@ def removals(df: DataFrame, width: int = WIDTH) -> DataFrame:
         parts = np.split(spans, edge[1:]) if len(of) else []
         return pa.table({"k1": keys[of[edge], 0], "k2": keys[of[edge], 1], "spans": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-    sent = df.select("k1", "k2", "__text").filter(F.col("__text").isNotNull()).mapInArrow(send, SCHEMA)
-    found = exchanged(sent, answer, assemble, "k1 long, k2 long, spans binary")
+    rows = df.select("k1", "k2", "__text").filter(F.col("__text").isNotNull()).mapInArrow(send, SCHEMA)
+    found = exchanged(rows, n, choose, [], assemble, "k1 long, k2 long, spans binary")
     return found.groupBy("k1", "k2").agg(F.max("spans").alias("spans"))  # rows that agree in id and text
 
 
-def _block(block: int, words: list[bytes], docs: list[int], keys: list[np.ndarray], width: int, n: int) -> list[tuple]:
+def _block(block: int, words: list[bytes], docs: list[int], keys: list[np.ndarray], width: int, n: Buckets) -> list[tuple]:
     """Rows of one block: all windows, of a hash the first two, and the directory with the others' places."""
     starts = np.array(docs, np.int64)
     hashes = rolling(word_hashes(words), width)
@@ -92,13 +87,13 @@ def _block(block: int, words: list[bytes], docs: list[int], keys: list[np.ndarra
     same = np.r_[False, hashes[order][1:] == hashes[order][:-1]]
     third = np.zeros(len(hashes), bool)
     third[order] = same & np.r_[False, same[:-1]]
-    head = (block, block % n, 1, np.array(keys, np.int64).tobytes(), starts.tobytes(), places[third].astype(np.uint32).tobytes(), b"")
-    return [head, *block_rows(block, hashes[~third], places[~third], n)]
+    head = (block, n.home(block), 1, np.array(keys, np.int64).tobytes(), starts.tobytes(), packed_gaps(places[third]), b"")
+    return [head, *sent(block, hashes[~third], places[~third], n)]
 
 
-def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
+def dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, buckets: Buckets | None = None) -> DataFrame:
     """doc_id, ``n_words``, ``spans`` array of removed [first, last) word numbers, ``kept`` text of every row."""
-    return _applied(df, text_col, id_col, width, lambda words, spans: {"kept": b" ".join(_kept(words, spans)).decode()}, "kept string")
+    return _applied(df, text_col, id_col, width, lambda words, spans: {"kept": b" ".join(_kept(words, spans)).decode()}, "kept string", buckets)
 
 
 def _kept(words: list[bytes], spans: np.ndarray) -> list[bytes]:
@@ -109,9 +104,9 @@ def _kept(words: list[bytes], spans: np.ndarray) -> list[bytes]:
     return out + words[at:]
 
 
-def _applied(df: DataFrame, text_col: str, id_col: str, width: int, fn, schema: str) -> DataFrame:
+def _applied(df: DataFrame, text_col: str, id_col: str, width: int, fn, schema: str, buckets: Buckets | None = None) -> DataFrame:
     own = _keyed(df, id_col, text_col)
-    gone = removals(own, width)
+    gone = removals(own, width, buckets)
     both = own.join(gone, ["k1", "k2"], "left").select("doc_id", "__text", "spans")
     kind = own.schema["doc_id"].dataType.simpleString()
 
