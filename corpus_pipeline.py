@@ -19,20 +19,26 @@ from jobloom.llm.common import read_table, stored
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in which no language can be told (null, or without a letter); fills a missing language.
 
-    The cosine itself rejects nothing: it is low for short clean texts too.
+    The cosine itself rejects nothing: it is low for short clean texts too. Where no document has both text and a
+    language nothing can be learnt, so nothing is judged and all documents stay.
     """
-    judged = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    kept = judged.filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    model = langid.fit(docs)
+    if not model[0]:
+        return docs
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    kept = langid.predict(rows, model, keep=("row",)).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    column = lambda c: F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row").getField(c)
+    return kept.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near duplicates."""
     classes = ngram_join.join(docs)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    named = docs.join(first, "doc_id").withColumn("__row", F.row_number().over(once)).filter("__row = 1")
-    return named.select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+    once = Window.partitionBy("row.doc_id").orderBy("row.text", "row.source", "row.lang")
+    named = docs.join(first, "doc_id").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    named = named.withColumn("nth", F.row_number().over(once)).filter("nth = 1")
+    return named.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.filter("doc_id IS NULL"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +48,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    taken = mixing.mix(rows).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
