@@ -11,6 +11,20 @@ AMOUNT = r"(?:\$|CAD)\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
 RANGE_TAIL = r"(?:\$|CAD)\s*[0-9][0-9,.]*\s*(?:-|–|to)\s*\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
 
 
+#: Two amounts with a dash or "to" between them, each with or without its currency.
+BETWEEN = r"(?:CAD\s*)?\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:to|[-–])\s*(?:CAD\s*)?\$?\s*([0-9][0-9,]*(?:\.[0-9]+)?)"
+
+
+def stated_range(text: Column, before: str = "", after: str = "()") -> Column:
+    """(low, high, unit) of the first two amounts that stand between the given words, in any case; nulls without any.
+
+    ``after`` has one group, the unit.
+    """
+    part = lambda i: F.nullif(F.regexp_extract(text, rf"(?im){before}\s*{BETWEEN}{after}", i), F.lit(""))
+    number = lambda i: F.replace(part(i), F.lit(","), F.lit("")).try_cast("double")
+    return F.struct(number(1).alias("low"), number(2).alias("high"), F.lower(part(3)).alias("unit"))
+
+
 def pay_range(text: Column) -> Column:
     """(low, high, period) of all amounts in a text; null where there is none, or where they make no range."""
     number = lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("double")

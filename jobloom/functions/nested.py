@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` added, each worked out once a row.
+
+    The optimizer puts a plain column's expression into filters and other places that use it. It leaves alone what
+    depends on the partition at hand, which is why a condition on its number, always true, stands around each column.
+    """
+    return df.withColumns({name: F.when(F.spark_partition_id() >= 0, c) for name, c in columns.items()})
+
+
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
@@ -27,9 +36,9 @@ def normal_label(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{Cf}", ""), ":", ""), r"\s+", " ")))
 
 
-def pick(fields: Column, *labels: str) -> Column:
-    """Value of the first of the labels that a map has, whatever its case."""
-    low = F.transform_keys(F.map_filter(fields, lambda k, v: k.isNotNull()), lambda k, v: normal_label(k))
+def pick(fields: Column, *labels: str, normal: bool = False) -> Column:
+    """Value of the first of the labels that a map has, whatever its case; ``normal`` maps have ``normal_label`` keys."""
+    low = fields if normal else F.transform_keys(F.map_filter(fields, lambda k, v: k.isNotNull()), lambda k, v: normal_label(k))
     return F.coalesce(*[F.try_element_at(low, F.lit(label.lower())) for label in labels])
 
 

@@ -222,6 +222,21 @@ def split_location(c: Column) -> Column:
     return F.struct(F.when(city.rlike(r"^\d"), F.lit(None).cast("string")).otherwise(city).alias("city"), code.alias("province"))
 
 
+def town_of_line(location: Column, aliases: Column) -> Column:
+    """(city, province) of a hand-written location: an alias of the whole, else its last line without a bracket note.
+
+    The town stands before a closing province, behind any "Name - "; both are null where the province is unknown or
+    the town is empty or has a digit, which makes it an address.
+    """
+    line = F.regexp_replace(squeeze(F.element_at(F.split(location, "\n"), -1)), r"\s*\([^)]*\)$", "")
+    parts = F.split(F.coalesce(F.try_element_at(aliases, squeeze(location)), line), ",")
+    parts = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    town = F.trim(F.element_at(F.split(F.try_element_at(parts, F.lit(-2)), " - "), -1))
+    code = province_code(F.try_element_at(parts, F.lit(-1)))
+    good = code.isNotNull() & (town != "") & ~town.rlike("[0-9]")
+    return F.when(good, F.struct(town.alias("city"), code.alias("province")))
+
+
 def category_slug(c: Column) -> Column:
     return F.replace(c, F.lit("_"), F.lit("-"))
 

@@ -28,16 +28,25 @@ def eligible(alerts: DataFrame) -> DataFrame:
     return alerts.filter("is_active AND confirmed_at IS NOT NULL")
 
 
-def match_alerts(alerts: DataFrame, jobs: DataFrame) -> DataFrame:
+#: Parts into which jobs are dealt for alerts that name no criterion, all of which would meet on one key.
+SALTS = 64
+
+
+def match_alerts(alerts: DataFrame, jobs: DataFrame, salts: int = SALTS) -> DataFrame:
     """(alert_id, job_id) of eligible alerts and active jobs newer than the alert's mark; a null criterion takes all.
 
     A job enters under the four patterns of (city or any, category or any), so the join is one equi-join on null-safe
-    criteria and the mark a condition on its matches; an OR of conditions would be a nested loop over all pairs.
+    criteria and the mark a condition on its matches; an OR of conditions would be a nested loop over all pairs. Every
+    job enters under the pattern without criteria: there jobs are dealt into ``salts`` parts by hash, and an alert
+    without criteria stands in each.
     """
+    none = F.col("city").isNull() & F.col("category").isNull()
     marks = eligible(alerts).select("alert_id", "city", "category", F.coalesce("last_sent_at", "confirmed_at").alias("mark"))
+    marks = marks.withColumn("salt", F.explode(F.when(none, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     patterns = F.array_distinct(F.array(*[F.struct(c.alias("city"), k.alias("category")) for c in (F.col("city"), F.lit(None).cast("string")) for k in (F.col("category"), F.lit(None).cast("string"))]))
     keyed = jobs.filter("is_active").select(F.col("id").alias("job_id"), "posted_at", F.explode(patterns).alias("p")).select("job_id", "posted_at", F.col("p.city").alias("c"), F.col("p.category").alias("k"))
-    hit = F.col("city").eqNullSafe(F.col("c")) & F.col("category").eqNullSafe(F.col("k")) & (F.col("posted_at") > F.col("mark"))
+    keyed = keyed.withColumn("part", F.when(F.col("c").isNull() & F.col("k").isNull(), F.pmod(F.xxhash64("job_id"), F.lit(salts)).cast("int")).otherwise(0))
+    hit = F.col("city").eqNullSafe(F.col("c")) & F.col("category").eqNullSafe(F.col("k")) & (F.col("salt") == F.col("part")) & (F.col("posted_at") > F.col("mark"))
     return marks.join(keyed, hit).select("alert_id", "job_id", "posted_at")
 
 
@@ -57,16 +66,18 @@ def _subject() -> Column:
 
 
 def digests(matches: DataFrame, top: int | None = None) -> DataFrame:
-    """(alert_id, n, jobs): each alert's jobs, newest first; ``top`` keeps the first of a long list.
+    """(alert_id, n, jobs, subject): each alert's jobs, newest first; ``top`` keeps the first of a long list.
 
-    A list is one value; without ``top``, ``digest_rows`` is the form for alerts that match without bound.
+    Number and list come from one pass over the matches. A list is one value; without ``top``, ``digest_rows`` is the
+    form for alerts that match without bound.
     """
-    rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("posted_at"), "job_id"))
-    rows = matches.withColumn("rank", rank)
-    listed = rows.filter(F.col("rank") <= top) if top else rows
-    counts = rows.groupBy("alert_id").agg(F.count("*").alias("n"))
-    lists = listed.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "job_id"))), lambda s: s["job_id"]).alias("jobs"))
-    return counts.join(lists, "alert_id").withColumn("subject", _subject())
+    place = F.struct((-F.unix_micros("posted_at")).alias("age"), "job_id")
+    if top:
+        rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("posted_at"), "job_id"))
+        matches = matches.withColumn("rank", rank)
+        place = F.when(F.col("rank") <= top, place)
+    lists = matches.groupBy("alert_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(place)).alias("listed"))
+    return lists.select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
 
 
 def advance_watermark(alerts: DataFrame, delivered: DataFrame, sent_at: Column) -> DataFrame:

@@ -27,10 +27,15 @@ def split_known(stubs: DataFrame, known: DataFrame, key: list[str], refresh: boo
     return stubs.join(known, key, "left_anti"), stubs.join(known.select(*key), key, "left_semi")
 
 
+def with_error(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows with ``error``, the names of the rules they break; empty where they keep all."""
+    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda e: e.isNotNull())
+    return df.withColumn("error", F.array_join(broken, ","))
+
+
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep every rule, and the others with the names of the rules they break."""
-    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda e: e.isNotNull())
-    checked = df.withColumn("error", F.array_join(broken, ","))
+    checked = with_error(df, rules)
     return checked.filter("error = ''").drop("error"), checked.filter("error != ''")
 
 

@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# English words that an index leaves out.
-STOP_WORDS = (
-    "a", "about", "after", "all", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "did", "do", "does",
-    "for", "from", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "me", "more", "my", "no",
-    "nor", "not", "of", "off", "on", "or", "our", "out", "over", "own", "s", "she", "so", "some", "such", "t", "than", "that", "the",
-    "their", "them", "then", "there", "these", "they", "this", "those", "to", "too", "under", "until", "up", "very", "was", "we", "were",
-    "what", "when", "where", "which", "while", "who", "why", "will", "with", "you", "your",
-)
+from ..functions.stemming import stem
+
+# The English stop words that text indexes commonly leave out.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that"
+    " these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during"
+    " before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own"
+    " same so than too very s t can will just don should now".split()
+)
 WEIGHTS = {"title": "A", "employer": "B", "description": "C"}
 
 
@@ -23,21 +24,8 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
-# Endings of a light English stem, with what replaces them, tried in order.
-ENDINGS = (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
-
-
-def stem(c: Column) -> Column:
-    """A light English stem, in native expressions: the first ending that leaves three letters or more goes."""
-    chain = F.when(F.length(c) < 4, c)
-    for end, put in ENDINGS:
-        fits = c.endswith(end) & (F.length(c) - len(end) >= 3)
-        chain = chain.when(fits & ~c.endswith("ss") if end == "s" else fits, F.concat(F.substr(c, F.lit(1), F.length(c) - len(end)), F.lit(put)))
-    return chain.otherwise(c)
-
-
 def build_index(df: DataFrame, fields: dict[str, str], id_col: str = "id", stemmed: bool = False) -> DataFrame:
-    """(term, id, weight, pos) of all fields; ``fields`` gives a column for each weight."""
+    """(term, id, weight, pos) of all fields; ``fields`` gives a column for each weight. ``stemmed`` terms are English stems."""
     parts = [df.select(F.col(id_col).alias("id"), F.lit(w).alias("weight"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for w, c in fields.items()]
     rows = reduce(DataFrame.union, parts).filter(~F.col("term").isin(*STOP_WORDS))
     return rows.withColumn("term", stem(F.col("term"))) if stemmed else rows
@@ -52,14 +40,17 @@ def parse_clauses(queries: DataFrame) -> DataFrame:
     return clauses.withColumn("words", F.filter("all", lambda w: ~w.isin(*STOP_WORDS))).filter(F.size("words") > 0).drop("all")
 
 
-def web_search(index: DataFrame, queries: DataFrame) -> DataFrame:
+def web_search(index: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(qid, id) of documents that match: all clauses of some branch, none of its negated ones.
 
+    ``stemmed`` says how the index was built: the queries' words are then stemmed too.
+
     A clause's words join the index by term; a phrase needs its words in one field at consecutive places, found as
     starts that all words agree on. A branch matches where its number of positive clauses does.
     """
     clauses = parse_clauses(queries)
     words = clauses.select("qid", "branch", "clause", "negative", F.size("words").alias("size"), F.posexplode("words").alias("nth", "term"))
+    words = words.withColumn("term", stem(F.col("term"))) if stemmed else words
     hits = words.join(index, "term").select("qid", "branch", "clause", "negative", "size", "id", "weight", (F.col("pos") - F.col("nth")).alias("start"), "nth")
     met = hits.groupBy("qid", "branch", "clause", "negative", "size", "id", "weight", "start").agg(F.countDistinct("nth").alias("n")).filter("n = size")
     met = met.select("qid", "branch", "clause", "negative", "id").distinct()
@@ -69,9 +60,9 @@ def web_search(index: DataFrame, queries: DataFrame) -> DataFrame:
     return yes.join(no, ["qid", "branch", "id"], "left_anti").select("qid", "id").distinct()
 
 
-def search(feed: DataFrame, index: DataFrame, text: DataFrame, filters: dict[str, list], number: int, size: int) -> dict[str, DataFrame]:
+def search(feed: DataFrame, index: DataFrame, text: DataFrame, filters: dict[str, list], number: int, size: int, stemmed: bool = False) -> dict[str, DataFrame]:
     """Text hits, facet filters, order and one page, with facet counts under the text filter."""
     from .serve import apply_facets, facet_counts, page
 
-    hits = feed.join(web_search(index, text).select("id").distinct(), "id", "left_semi")
+    hits = feed.join(web_search(index, text, stemmed).select("id").distinct(), "id", "left_semi")
     return {"page": page(apply_facets(hits, filters), number, size), "facets": facet_counts(hits, filters, list(filters))}

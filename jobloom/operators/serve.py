@@ -74,16 +74,29 @@ def landing_sets(jobs: DataFrame, sets: dict[str, list[str]], least: dict[str, i
     return out.withColumn("at", F.coalesce(*kinds)).filter("at IS NOT NULL").select("at.kind", "at.path", "n", "last")
 
 
+QUARTERS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+
+
 def summarize_pay(df: DataFrame, by: list[str]) -> DataFrame:
-    """Pay by group from plausible bands of the group's majority period (a tie goes to the hour)."""
-    good = df.filter(is_plausible_band(F.col("salary_min"), F.col("salary_max"), F.col("salary_period")))
-    mid = (F.col("salary_min") + F.col("salary_max")) / 2
-    per = good.groupBy(*by, "salary_period").agg(
-        F.count("*").alias("n"), F.percentile(mid, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high")
-    )
+    """Pay by group from plausible bands of the group's majority period (a tie goes to the hour).
+
+    Quantiles come from counts of equal amounts, added up in their order: a group's task streams over its different
+    amounts and holds none of them.
+    """
+    good = df.filter(is_plausible_band(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))).withColumn("_mid", (F.col("salary_min") + F.col("salary_max")) / 2)
+    per = good.groupBy(*by, "salary_period").agg(F.count("*").alias("n"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), F.col("salary_period") != "hour"))
-    top = per.withColumn("rank", rank).filter("rank = 1")
-    return top.select(*by, F.col("salary_period").alias("period"), "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "low", "high")
+    top = per.withColumn("rank", rank).filter("rank = 1").drop("rank")
+    amounts = good.groupBy(*by, "salary_period", "_mid").agg(F.count("*").alias("_rows"))
+    keys = [*by, "salary_period"]
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+    upto = F.sum("_rows").over(Window.partitionBy(*[F.col(f"a.{k}") for k in keys]).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0))
+    rows = amounts.alias("a").join(top.alias("t"), same).select("t.*", "_mid", upto.alias("_upto"))
+    at = {name: (F.col("n") - 1) * q for name, q in QUARTERS.items()}
+    ends = [F.min(F.when(F.col("_upto") > side(x), F.col("_mid"))).alias(f"_{name}_{i}") for name, x in at.items() for i, side in enumerate((F.floor, F.ceil))]
+    found = rows.groupBy(*keys, "n", "low", "high").agg(*ends)
+    value = lambda name: F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (at[name] - F.floor(at[name]))
+    return found.select(*by, F.col("salary_period").alias("period"), "n", *[value(name).alias(name) for name in ("median", "p25", "p75")], "low", "high")
 
 
 def pay_guide(df: DataFrame, role: str, province: str, least: int) -> DataFrame:

@@ -6,12 +6,16 @@ on a foreign host, so both the good rows and the quarantine have something to sh
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import province_name
 from ..schema import PROVINCES
 from ..sources import extract as X
 from ..sources import normalize as N
+from ..sources.lists import LISTS, list_stubs
 from .bindings import as_of, table
 
 QUERIES, ORACLE = {}, {}
@@ -57,8 +61,9 @@ def body():
     return cat("<p>", F.col("p_brand"), "</p>")
 
 
-def landed(df, payload, url):
-    reg = F.struct(F.lit("Example Health").alias("name"), F.lit("ex").alias("key"), F.lit("jobs.example.org").alias("host"), F.lit("Sudbury").alias("default_city"), F.lit("ON").alias("province"), F.lit(None).cast("map<string,string>").alias("aliases"))
+def landed(df, payload, url, place_from_posting=None, header_fields=None):
+    aliases = F.create_map(F.lit("Home Site"), F.lit("Alias Town, ON"))
+    reg = F.struct(F.lit("Example Health").alias("name"), F.lit("ex").alias("key"), F.lit("jobs.example.org").alias("host"), F.lit("Sudbury").alias("default_city"), F.lit("ON").alias("province"), aliases.alias("aliases"), *[(F.lit(False) if c is None else c).alias(n) for n, c in (("place_from_posting", place_from_posting), ("header_fields", header_fields))])
     return df.select(payload.alias("payload"), url.alias("url"), F.lit("2001-07-01").cast("timestamp").alias("last_modified"), reg.alias("reg"), F.to_json(F.struct(F.lit("").alias("employer"), F.lit("Permanent").alias("status"))).alias("list_fields"))
 
 
@@ -70,8 +75,6 @@ def ld(record):
     return cat("<html><script type=\"application/ld+json\">", F.to_json(record), "</script></html>")
 
 
-
-
 def s(**k):
     return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in k.items()])
 
@@ -92,8 +95,15 @@ def micro(text):
     return cat('<link rel="canonical" href="', page("/job/x/"), '"><meta property="og:title" content="', title(), '"><meta itemprop="datePosted" content="', F.col("day"), '"><meta itemprop="addressLocality" content="', F.col("town"), '"><span class="jobdescription">', text, "</span>")
 
 
+#: Places as employers write them: plain, behind a name, on a last line with a note, an address, a name with an alias.
+def written_place():
+    plain = cat(F.col("town"), ", ", F.col("prov"))
+    kinds = F.array(plain, cat("LTC - ", plain), cat("Home 12\n", plain, " (Annex)"), cat("12 King Street, ", F.col("prov")), F.lit(" Home  Site"))
+    return F.element_at(kinds, (key() % 5 + 1).cast("int"))
+
+
 PAYLOADS = {
-    "workday": lambda: (F.to_json(s(jobPostingInfo=s(title=F.col("title"), jobDescription=cat("Job Number: 1&#xa;Minimum - Maximum Hourly Rate: $", F.col("low").cast("string"), " - $", F.col("high").cast("string"), "&#xa;Hours: Nights&#xa;Job Type: Part-Time<p>", F.col("p_brand"), "</p>"), location=cat(F.col("town"), ", ", F.col("prov")), startDate=F.col("day"), jobReqId=F.col("id"), externalUrl=page("/j/")))), page("/j/")),
+    "workday": lambda: (F.to_json(s(jobPostingInfo=s(title=F.col("title"), jobDescription=cat("Job Number: 1&#xa;Minimum - Maximum Hourly Rate: $", F.col("low").cast("string"), " - $", F.col("high").cast("string"), "&#xa;Hours: Nights&#xa;Job Type: Part-Time<p>", F.col("p_brand"), "</p>"), location=written_place(), timeType="Full time", startDate=F.col("day"), jobReqId=F.col("id"), externalUrl=page("/j/")))), page("/j/")),
     "oraclecloud": lambda: (F.to_json(s(Id=F.col("id"), Title=F.col("title"), ExternalPostedStartDate=F.col("day"), PrimaryLocation=cat(F.col("town"), ", ", F.col("prov"), ", Canada"), ExternalDescriptionStr=cat("<p>Type: Part-Time Shift Information: Nights Salary or Pay Band: $", F.col("low").cast("string"), " to $", F.col("high").cast("string"), "</p>"))), page("/j/")),
     "jibe": lambda: (F.to_json(s(slug=F.col("id"), title=F.col("title"), description=cat("The salary range for this position is CAD $", F.col("low").cast("string"), " - CAD $", F.col("high").cast("string"), " / hour"), city=F.col("town"), state=F.col("prov"), posted_date=F.col("day"), tags1=F.array(F.lit("Part Time")))), page("/j/")),
     "smartrecruiters": lambda: (F.to_json(s(id=F.col("id"), name=F.col("title"), releasedDate=F.col("day"), location=s(city=F.col("town"), region=F.col("prov")), typeOfEmployment=s(label="Part-time"), applyUrl=F.when(F.col("host") == "jobs.example.org", cat("https://jobs.smartrecruiters.com/", F.col("id"))).otherwise(page("/j/")), jobAd=s(sections=s(jobDescription=s(text=F.col("p_brand")))))), page("/j/")),
@@ -137,8 +147,9 @@ def _silkroad(sql: str) -> str:
 def _query(platform: str):
     def run(spark, sf):
         payload, url = PAYLOADS[platform]()
-        good, bad = N.normalize(platform, landed(parts(spark, sf), payload, url), as_of())
-        both = good.withColumn("good", F.lit(True)).unionByName(bad.drop("error").withColumn("good", F.lit(False)))
+        rows = parts(spark, sf)
+        options = (key() % 3 == 0, key() % 2 == 0) if platform == "workday" else ()
+        both = N.checked(platform, landed(rows, payload, url, *options), as_of()).withColumn("good", F.col("error") == "")
         return both.select(
             "source_id", "source_job_id", F.nullif("title", F.lit("")).alias("title"), "city", "province", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"), "employment_type", "shift_type",
             F.col("salary_min").cast("double").alias("salary_min"), F.col("salary_max").cast("double").alias("salary_max"), "good",
@@ -150,6 +161,13 @@ def _query(platform: str):
 for _n, _platform in enumerate(("workday", "taleo", "icims", "jibe", "successfactors", "successfactors_mb", "bchealthjobs", "wpjobmanager", "talentpoolbuilder", "phenom", "oraclecloud", "smartrecruiters", "silkroad", "sehc"), 1):
     QUERIES[f"NRM-{_n}"], ORACLE[f"NRM-{_n}"] = _query(_platform), _oracle(_platform)
 ORACLE["NRM-13"] = _silkroad(ORACLE["NRM-13"])
+#: A third of the employers let the posting name its place, half of them open descriptions with a header.
+ORACLE["NRM-1"] = f"""SELECT 'workday:ex' AS source_id, p_partkey::VARCHAR AS source_job_id, CASE WHEN p_partkey % 7 <> 0 THEN 'RN ' || p_name END AS title,
+CASE WHEN p_partkey % 3 <> 0 THEN 'Sudbury' WHEN p_partkey % 5 < 3 THEN 'Town ' || upper(p_type[1]) || lower(p_type[2:10]) WHEN p_partkey % 5 = 4 THEN 'Alias Town' END AS city,
+CASE WHEN p_partkey % 3 <> 0 OR p_partkey % 5 = 4 THEN 'ON' WHEN p_partkey % 5 < 3 THEN {CODES_SQL}[(p_partkey % 13 + 1)::INT] END AS province, strftime(TIMESTAMP '2001-06-01' + to_days((p_partkey % 50)::INT), '%Y-%m-%d') AS posted,
+CASE WHEN p_partkey % 2 = 0 THEN 'part_time' ELSE 'full_time' END AS employment_type, CASE WHEN p_partkey % 2 = 0 THEN 'night' END AS shift_type,
+CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 30 + 20)::DOUBLE END AS salary_min, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 30 + 30)::DOUBLE END AS salary_max,
+p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND (p_partkey % 3 <> 0 OR p_partkey % 5 <> 3) AS good FROM part"""
 
 
 @query("SRC-3", "SELECT event_id AS id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -158,6 +176,47 @@ def json_source(spark, sf):
     return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
 
 
+#: Postings on a list page, and what pages say of their age.
+PAGE = 20
+
+
+def list_pages(rows, platform):
+    """Each platform's list pages of the parts, ``PAGE`` of them a page."""
+    age = (key() % 33).cast("int")
+    said = F.when(age == 0, "Posted Today").when(age == 1, "Posted Yesterday").when(age > 30, "Posted 30+ Days Ago").otherwise(cat("Posted ", age.cast("string"), " Days Ago"))
+    name, place = F.col("p_name").alias("t"), s(city=F.col("town"), region=F.col("code"))
+    entry = {
+        "workday": s(title=name, externalPath=cat("/job/x/", F.col("id")), locationsText=F.col("town"), postedOn=said, bulletFields=F.when(key() % 4 != 0, F.array(F.col("id"))).otherwise(F.array().cast("array<string>"))),
+        "oraclecloud": s(Id=F.col("id"), Title=name, PostedDate=F.col("day"), PrimaryLocation=F.col("town")),
+        "smartrecruiters": s(id=F.col("id"), name=name, releasedDate=F.col("day"), location=place),
+        "jibe": s(data=s(slug=F.col("id"), req_id=F.when(key() % 2 == 0, cat("R", F.col("id"))).otherwise(""), title=name, posted_date=F.col("day"), location_name="", city=F.col("town"))),
+        "talentpoolbuilder": s(campaign_id=key(), job_title=name, status=F.when(key() % 5 == 0, "Closed").otherwise("Hiring"), created=cat(F.col("day"), " 00:00:00"), city=F.col("town"), state=F.col("code")),
+    }[platform]
+    entries = F.collect_list(entry).alias("e")  # PAGE entries
+    pages = rows.groupBy(F.floor(key() / PAGE).alias("page")).agg(entries)
+    wrapped = {"workday": s(jobPostings=F.col("e")), "oraclecloud": s(items=F.array(s(requisitionList=F.col("e")))), "smartrecruiters": s(content=F.col("e"))}.get(platform, s(jobs=F.col("e")))
+    return pages.select(F.to_json(wrapped).alias("payload"))
+
+
+def _stubs_sql(platform: str) -> str:
+    town = "'Town ' || upper(p_type[1]) || lower(p_type[2:10])"
+    code = f"{CODES_SQL}[(p_partkey % 13 + 1)::INT]"
+    job = {"workday": "CASE WHEN p_partkey % 4 <> 0 THEN p_partkey::VARCHAR ELSE '/job/x/' || p_partkey END", "jibe": "CASE WHEN p_partkey % 2 = 0 THEN 'R' || p_partkey ELSE p_partkey::VARCHAR END"}.get(platform, "p_partkey::VARCHAR")
+    path = {"workday": "/job/x/", "smartrecruiters": "/postings/", "jibe": "/jobs/"}.get(platform, "/job/")
+    place = f"{town} || ', ' || {code}" if platform in ("smartrecruiters", "talentpoolbuilder") else town
+    day = "DATE '2001-08-02' - least(p_partkey % 33, 31)::INT" if platform == "workday" else "DATE '2001-06-01' + (p_partkey % 50)::INT"
+    only = "p_partkey % 5 <> 0" if platform == "talentpoolbuilder" else "true"
+    return f"SELECT '{platform}' AS platform, {job} AS source_job_id, '{path}' || p_partkey AS path, p_name AS title, {place} AS location, ({day})::VARCHAR AS posted FROM part WHERE {only}"
+
+
+@query("SRC-3-lists", " UNION ALL ".join(map(_stubs_sql, LISTS)))
+def list_feeds(spark, sf):
+    """Stubs of the list pages of all JSON platforms."""
+    rows = parts(spark, sf)
+    stubs = [list_stubs(p, list_pages(rows, p), as_of()).withColumn("platform", F.lit(p)) for p in LISTS]
+    return reduce(DataFrame.unionByName, stubs).select("platform", "source_job_id", "path", "title", "location", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"))
+
+
 @query("SRC-4", "SELECT p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN 'RN ' || p_name END AS title FROM part")
 def jsonld_source(spark, sf):
     payload, _ = PAYLOADS["phenom"]()

@@ -186,28 +186,13 @@ def novelty(spark, sf):
 ORDERED = "ORDER BY posted_day DESC, employer_day_rank, posted_at DESC, id"
 
 
-@query("SRT-1", FEED + f"SELECT id, row_number() OVER ({ORDERED}) AS place FROM feed {ORDERED} LIMIT 500")
+@query("SRT-1", FEED + f"SELECT id, row_number() OVER ({ORDERED}) AS place FROM feed")
 def newest_feed(spark, sf):
-    from pyspark.sql import Window
-
-    rows = S.order_feed(S.feed_rank(jobs(spark, sf))).limit(500)
-    return rows.select("id", F.row_number().over(Window.orderBy(*S.newest_order())).cast("long").alias("place"))
-
-
-@query("SRT-2", FEED + "SELECT id, salary_min FROM feed ORDER BY salary_min DESC NULLS LAST, id LIMIT 500")
-def salary_feed(spark, sf):
-    return S.order_salary(S.feed_rank(jobs(spark, sf))).limit(500).select("id", "salary_min")
-
-
-@query("SRT-1-all", FEED + f"SELECT id, row_number() OVER ({ORDERED}) AS place FROM feed")
-def newest_whole(spark, sf):
-    """SRT-1 over every active job."""
     return S.placed(S.feed_rank(jobs(spark, sf)), S.newest_order()).select("id", "place")
 
 
-@query("SRT-2-all", FEED + "SELECT id, salary_min, row_number() OVER (ORDER BY salary_min DESC NULLS LAST, id) AS place FROM feed")
-def salary_whole(spark, sf):
-    """SRT-2 over every active job."""
+@query("SRT-2", FEED + "SELECT id, salary_min, row_number() OVER (ORDER BY salary_min DESC NULLS LAST, id) AS place FROM feed")
+def salary_feed(spark, sf):
     return S.placed(S.feed_rank(jobs(spark, sf)), S.salary_order()).select("id", "salary_min", "place")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,8 @@ from ..operators import lifecycle as L
 from ..operators.export import write_run_metrics
 from ..operators.resolve import content_hash
 from ..streaming import streams as S
-from .bindings import as_of, table
+from .bindings import SIGHTINGS, as_of, table
+from .living import NOW
 from .living import ORACLE as LIVING
 
 QUERIES, ORACLE = {}, {}
@@ -28,8 +30,12 @@ def query(name: str, sql: str | None = None):
 
 
 def folder(spark, name: str) -> str:
-    """A new folder below the shared one; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="jobloom-")
+    """A new folder below the shared one; a temporary one only where none is set and all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="jobloom-")
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 
@@ -47,7 +53,7 @@ def ingest(spark, sf):
         before = old if old is not None else rows.limit(0).withColumns({"first_seen_at": as_of(), "last_seen_at": as_of()})
         return L.merge_raw(before, rows, as_of(), ["source_id", "source_job_id"])
 
-    raw = S.ingest_stream(events(spark, sf), folder(spark, "ingest"), step)
+    raw = S.ingest_stream(events(spark, sf), folder(spark, "ingest"), step, ["event_type", "user_id"], ["source_id", "source_job_id"])
     return raw.groupBy("source_id").agg(F.count("*").alias("postings"), F.max("last_seen_at").cast("string").alias("seen"))
 
 
@@ -84,7 +90,14 @@ def run_table(spark, sf):
     return spark.read.parquet(path).select("source_id", "fetched", "status")
 
 
-@query("SNK-5")
+#: Sightings young enough to be read, resolved; all are seen now, so a job ends by its date alone and none is purged.
+FRESH = f"""fresh AS (SELECT * FROM printed WHERE source_job_id IS NOT NULL AND posted_at >= {NOW} - to_days(30)),
+wide AS (SELECT fingerprint, count(DISTINCT source_id) > 1 AS spans FROM fresh GROUP BY 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN spans THEN fingerprint ELSE fingerprint || ':' || id END ORDER BY CASE split_part(source_id, ':', 1) WHEN 'jobbank' THEN 1 WHEN 'adzuna' THEN 2 ELSE 0 END, id) AS place FROM fresh JOIN wide USING (fingerprint)),
+ended AS (SELECT least(coalesce(closes_at, posted_at + to_days(60)), posted_at + to_days(60)) <= {NOW} AS ended FROM best WHERE place = 1)"""
+
+
+@query("SNK-5", f"WITH {SIGHTINGS}, {FRESH} SELECT NOT ended AS is_active, CASE WHEN ended THEN 'hard' END AS cause, count(*) AS n FROM ended GROUP BY ended")
 def whole_pipeline(spark, sf):
     """Jobs that stay after all stages over the sightings, by activity and cause."""
     from .bindings import printed

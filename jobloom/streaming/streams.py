@@ -27,23 +27,52 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
-def ingest_stream(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+#: Slices of a snapshot by key; a batch rewrites those that it touches.
+SLICES = 64
+
+
+def ingest_stream(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], stream_key: list[str], key: list[str], slices: int = SLICES) -> DataFrame:
     """Merges each batch into a snapshot by the batch operator ``step(batch, snapshot or None)``.
 
-    A batch writes the version of its own number, so a batch that runs again writes the same version again.
+    The snapshot is cut into slices by a hash of the key, which is ``stream_key`` in a batch and ``key`` in the
+    snapshot. A batch reads and writes the slices that it touches, each as a version of the batch's own number, so a
+    batch that runs again reads the same versions before it and writes the same ones again.
     """
     spark = stream.sparkSession
+    cut = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{folder}/snapshot/v={number - 1}") if number else None
-        step(batch, old).write.mode("overwrite").parquet(f"{folder}/snapshot/v={number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    while last > 0 and not _exists(spark, f"{folder}/snapshot/v={last}"):
-        last -= 1
-    return spark.read.parquet(f"{folder}/snapshot/v={last}")
+        touched = [r[0] for r in batch.select(cut(stream_key)).distinct().collect()]  # at most ``slices`` numbers
+        if not touched:
+            return
+        versions = _latest(spark, folder, number)
+        before = [f"{folder}/slice={n}/v={versions[n]}" for n in touched if n in versions]
+        old = spark.read.parquet(*before) if before else None
+        merged = step(batch, old)
+        for column in ("slice", "v"):
+            assert column not in merged.columns
+        new = merged.withColumn("slice", cut(key)).withColumn("v", F.lit(number))
+        new.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "v").parquet(folder)
+
+    progress = f"{folder.rstrip('/')}-progress"
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    found = _latest(spark, folder)
+    if not found:
+        return step(stream.sparkSession.createDataFrame([], stream.schema), None)
+    return spark.read.parquet(*[f"{folder}/slice={n}/v={v}" for n, v in sorted(found.items())])
+
+
+def _latest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each slice, or the newest below a batch's number: at most a folder a slice and batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, int] = {}
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/slice=*/v=*")) or []:
+        path = status.getPath()
+        n, v = int(path.getParent().getName().split("=")[1]), int(path.getName().split("=")[1])
+        if before is None or v < before:
+            found[n] = max(v, found.get(n, -1))
+    return found
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
