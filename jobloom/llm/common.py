@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,20 @@ def checked(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def numbered(df: DataFrame, order: list, name: str, place: str = "place") -> DataFrame:
+    """``df``, written, with ``place``: a row's number from 0 in the order, which must tell all rows apart.
+
+    Rows are range-sorted; a row's number is its place in its partition and the rows of all partitions before, of which
+    there is one count each.
+    """
+    spread = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = stored(spread.withColumn("__at", F.monotonically_increasing_id()), name)
+    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # one row a partition
+    return rows.join(F.broadcast(before), part == F.col("__part")).select(*df.columns, (F.col("__before") + at).alias(place))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, read_table, stored
+from .common import checked, numbered, read_table, stored
 
 # The weights of sources in order, and the cap on repetition.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -36,23 +36,21 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """(source, source_size) -> with ``weight`` and ``target``; one row a source.
 
-    Capping and resharing until none is above its cap ends at targets of min(level * weight, cap) for one
-    level. Sources are ranked by cap / weight; those before the level's place are at their caps, and the rest
-    of the whole, shared by weight, gives the level. Sources with no size are at their cap of 0.
+    Sources share the whole by weight. Those whose share is above their cap get the cap, and the others share what is
+    left; this goes on until no share is above its cap, each time over two sums. A source at its cap stays there, as
+    the level only rises.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    rows = numbered(sizes, [F.col("source").isNull(), F.col("source")], "sources")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    whole = F.sum("source_size").over(every)
-    level = (whole - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    # The level that holds is that of the first source whose cap is not below its share.
-    ranked = ranked.withColumn("level", level).withColumn("fits", F.col("ratio") >= F.col("level"))
-    final = F.min(F.when(F.col("fits"), F.struct("ratio", "level"))).over(every)["level"]
-    return ranked.withColumn("target", F.least(F.col("cap"), F.coalesce(final, F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "weight", "target")
+    rows = rows.withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("weight")
+        n, whole, given, open_weight = rows.agg(F.count_if(full), F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped or not open_weight:
+            break
+        level, capped = ((whole or 0) - (given or 0.0)) / open_weight, n
+    return rows.select("source", "source_size", "weight", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def thresholds(rows: DataFrame, rates: DataFrame) -> DataFrame:
