@@ -22,4 +22,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; ``tests/llm`` holds the others against brute force, round trips or held-out rows."""
-    return {"op4_substring_dedup": oracles.OP4, "op6_embedding_join": oracles.OP6, "op9_ngram_join": oracles.OP9}
+    return {"op3_html_text": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op6_embedding_join": oracles.OP6, "op9_ngram_join": oracles.OP9}
