@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_WORDS, checked, give_back, mixed, powers, read_table, rolling, stored, utf8, word_hashes
+from .common import BLOCK_WORDS, checked, give_back, mixed, pieces, powers, read_table, rolling, stored, utf8, word_hashes
 from .components import components
 from .packed import SCHEMA, Answers, Bucket, Buckets, block_number, exchanged, sent, table
 
@@ -161,7 +161,7 @@ def routes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
 
     def spread(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "grams", 4 << 20)):
             grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
             prefix = batch.column("prefix").to_numpy()
             rest = [np.arange(len(g), len(g) - p, -1) for g, p in zip(grams, prefix.tolist(), strict=True)]
