@@ -68,7 +68,7 @@ PRIOR = {"none": (20.0, 20.0), "weak": (1.0, 8.0), "strong": (1.0, 55.0)}
 DEEPEST = -4.0
 # Sectioning and interactive elements of the HTML standard that hold no article text.
 ELEMENTS = frozenset("nav header footer aside form dialog menu button fieldset head noscript template svg select option".split())
-#: Name parts that the prior takes for signs of boilerplate, and those that void a sign beside them.
+#: Name parts that the prior takes for signs of boilerplate; parts of headers, of states and of what a story is called.
 SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription"
     " nav navbar navigation topnav subnav menu menus submenu breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar comment comments commentlist disqus respond reply replies share shares"
@@ -76,7 +76,7 @@ SIGNS = frozenset(
     " toast overlay lightbox siteheader".split()
 )
 HEADERS = frozenset("header heading".split())
-VOIDS = frozenset("with has no not is without show hide open article post entry story".split())
+STATES, STORIES = frozenset("with has no not is without show hide open".split()), frozenset("article post entry story".split())
 #: Tags whose cost is known before learning, by (in content, elsewhere) occurrences; others start even.
 TAG_PRIOR = {"a": (5.0, 20.0), "li": (5.0, 20.0)}
 TAG_EVEN, TAG_LEAST, TAG_DEEPEST = (10.0, 10.0), -0.01, -0.75
@@ -98,15 +98,18 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def sign(name: str) -> str:
-    """What the prior knows of a name: strong if its last part is a sign, weak if another is, else none."""
+    """What the prior knows of a name: strong if its last part is a sign, weak if another is, header, or none.
+
+    A first part such as "with" makes it the name of a state of something else.
+    """
     parts = [p.lower() for p in PARTS.findall(name)]
-    if not parts:
+    if not parts or (len(parts) > 1 and parts[0] in STATES):
         return "none"
     if parts[-1] in SIGNS:
-        return "none" if len(parts) > 1 and parts[0] in VOIDS and parts[0] in ("with", "has", "no", "not", "is", "without", "show", "hide", "open") else "strong"
+        return "strong"
     if parts[-1] in HEADERS:
-        return "none" if VOIDS & set(parts) else "header"
-    return "weak" if SIGNS & set(parts) and not VOIDS & {parts[0]} else "none"
+        return "none" if STORIES & set(parts) else "header"
+    return "weak" if SIGNS & set(parts) else "none"
 
 
 class Model:
