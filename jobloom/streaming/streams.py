@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,39 +27,45 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
-#: Slices of a snapshot by key; a batch rewrites those that it touches.
-SLICES = 64
+#: Slices of a snapshot by key; a batch reads and rewrites those that it touches.
+SLICES = 16
 
 
 def ingest_stream(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], stream_key: list[str], key: list[str], slices: int = SLICES) -> DataFrame:
     """Merges each batch into a snapshot by the batch operator ``step(batch, snapshot or None)``.
 
-    The snapshot is cut into slices by a hash of the key, which is ``stream_key`` in a batch and ``key`` in the
-    snapshot. A batch reads and writes the slices that it touches, each as a version of the batch's own number, so a
-    batch that runs again reads the same versions before it and writes the same ones again.
+    The key is ``stream_key`` in a batch and ``key`` in the snapshot.
+    """
+    _merge_slices(stream, folder, step, [F.col(c) for c in stream_key], [F.col(c) for c in key], slices)
+    found = _latest(stream.sparkSession, folder)
+    if not found:
+        return step(stream.sparkSession.createDataFrame([], stream.schema), None)
+    return stream.sparkSession.read.parquet(*_paths(folder, found))
+
+
+def _merge_slices(stream: DataFrame, folder: str, step: Callable, stream_key: list[Column], key: list[Column], slices: int) -> None:
+    """Runs ``step`` over the batches, each against the slices of the folder's table that it touches.
+
+    A slice holds keys of one hash. A batch writes its slices as versions of its own number and starts from the versions
+    before it, so a batch that runs again writes the same ones again.
     """
     spark = stream.sparkSession
     cut = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        touched = [r[0] for r in batch.select(cut(stream_key)).distinct().collect()]  # at most ``slices`` numbers
-        if not touched:
-            return
-        versions = _latest(spark, folder, number)
-        before = [f"{folder}/slice={n}/v={versions[n]}" for n in touched if n in versions]
-        old = spark.read.parquet(*before) if before else None
-        merged = step(batch, old)
-        for column in ("slice", "v"):
-            assert column not in merged.columns
-        new = merged.withColumn("slice", cut(key)).withColumn("v", F.lit(number))
-        new.repartition("slice").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "v").parquet(folder)
+        touched = {r[0] for r in batch.select(cut(stream_key)).distinct().collect()}  # at most ``slices`` numbers
+        before = {n: v for n, v in _latest(spark, folder, number).items() if n in touched}
+        if touched:
+            new = step(batch, spark.read.parquet(*_paths(folder, before)) if before else None)
+            new = new.withColumns({"slice": cut(key), "v": F.lit(number)}).repartition("slice")
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "v").parquet(folder)
 
     progress = f"{folder.rstrip('/')}-progress"
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-    found = _latest(spark, folder)
-    if not found:
-        return step(stream.sparkSession.createDataFrame([], stream.schema), None)
-    return spark.read.parquet(*[f"{folder}/slice={n}/v={v}" for n, v in sorted(found.items())])
+
+
+def _paths(folder: str, versions: dict[int, int]) -> list[str]:
+    return [f"{folder}/slice={n}/v={v}" for n, v in sorted(versions.items())]
 
 
 def _latest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
@@ -75,11 +81,6 @@ def _latest(spark: SparkSession, folder: str, before: int | None = None) -> dict
     return found
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def first_sightings(stream: DataFrame, key: list[str], ts: str, within: str) -> DataFrame:
     """The first row of each key; a key is remembered for as long as the watermark allows."""
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(key)
@@ -107,22 +108,17 @@ def unseen_stream(stream: DataFrame, key: str, ts: str, days: int, delay: str =
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def signup_stream(stream: DataFrame, folder: str) -> DataFrame:
+def signup_stream(stream: DataFrame, folder: str, slices: int = SLICES) -> DataFrame:
     """(request_id, outcome) of sign-up requests, folded by address and criteria over all batches.
 
-    A batch writes its outcomes and all states as the version of its own number; it starts from the version before.
+    A batch writes its outcomes and the states of the slices of subscriptions that it touches.
     """
     spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(FOLDED).parquet(f"{folder}/folded/v={number - 1}") if number else None
-        fold_requests(batch, old).write.mode("overwrite").parquet(f"{folder}/folded/v={number}")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not _exists(spark, f"{folder}/folded"):
+    key = [F.col("email"), *[F.coalesce(c, F.lit("")) for c in ("city", "category")]]
+    _merge_slices(stream, folder, fold_requests, key, key, slices)
+    if not _latest(spark, folder):
         return spark.createDataFrame([], "request_id long, outcome string")
-    return spark.read.schema(FOLDED).parquet(f"{folder}/folded").filter("NOT is_state").select("request_id", "outcome")
+    return spark.read.schema(FOLDED).parquet(folder).filter("NOT is_state").select("request_id", "outcome")
 
 
 def daily_counts(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

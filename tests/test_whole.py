@@ -143,3 +143,15 @@ def test_a_stream_that_starts_again_without_new_files_keeps_its_snapshot(spark,
     assert run() == run() == {i: i for i in range(40)}
     spark.range(35, 45).selectExpr("id AS k", "id * 2 AS x").coalesce(1).write.mode("append").parquet(source)
     assert run() == {i: i * 2 if i >= 35 else i for i in range(45)}
+
+
+def test_signups_over_many_files_are_folded_as_in_one_batch(spark, tmp_path):
+    from jobloom.streaming import streams
+
+    df = spark.range(120).selectExpr("id AS request_id", "'e' || id % 5 AS email", "CASE WHEN id % 2 > 0 THEN 'c' END AS city", "CAST(NULL AS string) AS category", "timestamp_seconds(id * 40) AS ts", "'t' || id AS token")
+    want = {r["request_id"]: r["outcome"] for r in alerts.apply_signups(df).collect()}
+    for first in range(0, 120, 40):
+        df.filter(f"request_id >= {first} AND request_id < {first + 40}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = streams.signup_stream(streams.read_stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", slices=3).collect()
+        assert {r["request_id"]: r["outcome"] for r in got} == {k: v for k, v in want.items() if k < first + 40}
+    assert {"send", "throttled"} <= set(want.values())
