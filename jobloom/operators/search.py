@@ -43,12 +43,13 @@ def parse_clauses(queries: DataFrame) -> DataFrame:
 def web_search(index: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(qid, id) of documents that match: all clauses of some branch, none of its negated ones.
 
-    ``stemmed`` says how the index was built: the queries' words are then stemmed too.
+    ``queries`` are (qid, q) in web syntax, or a table of clauses as ``parse_clauses`` gives. ``stemmed`` says how the
+    index was built: the queries' words are then stemmed too.
 
     A clause's words join the index by term; a phrase needs its words in one field at consecutive places, found as
     starts that all words agree on. A branch matches where its number of positive clauses does.
     """
-    clauses = parse_clauses(queries)
+    clauses = queries if "words" in queries.columns else parse_clauses(queries)
     words = clauses.select("qid", "branch", "clause", "negative", F.size("words").alias("size"), F.posexplode("words").alias("nth", "term"))
     words = words.withColumn("term", stem(F.col("term"))) if stemmed else words
     hits = words.join(index, "term").select("qid", "branch", "clause", "negative", "size", "id", "weight", (F.col("pos") - F.col("nth")).alias("start"), "nth")
