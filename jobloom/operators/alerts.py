@@ -76,7 +76,7 @@ def digests(matches: DataFrame, top: int | None = None) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("posted_at"), "job_id"))
         matches = matches.withColumn("rank", rank)
         place = F.when(F.col("rank") <= top, place)
-    lists = matches.groupBy("alert_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(place)).alias("listed"))
+    lists = matches.groupBy("alert_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("listed"))
     return lists.select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
 
 
