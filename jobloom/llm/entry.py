@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_join, htmltext, langid, media, merkle, mixing, ngram_join, oracles, secrets, sharding, substring_dedup
+from . import bpe, embed_join, htmltext, langid, media, merkle, mixing, ngram_join, oracles, phrases, secrets, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_shards": sharding.op8,
         "op9_ngram_join": ngram_join.op9,
         "op10_byte_bpe": bpe.op10,
+        "op12_phrases": phrases.op12,
         "op13_merkle_manifest": merkle.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; ``tests/llm`` holds the others against brute force, round trips or held-out rows."""
-    return {"op3_html_text": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op6_embedding_join": oracles.OP6, "op9_ngram_join": oracles.OP9, "op13_merkle_manifest": oracles.OP13}
+    return {"op3_html_text": oracles.OP3, "op4_substring_dedup": oracles.OP4, "op6_embedding_join": oracles.OP6, "op9_ngram_join": oracles.OP9, "op12_phrases": oracles.OP12, "op13_merkle_manifest": oracles.OP13}

@@ -34,6 +34,17 @@ pairs AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 {_REACH}, c AS (SELECT node, min(other) AS c FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id"""
 
+OP12 = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, x.k AS cut, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.k < c.k AND x.phrase = array_to_string(c.w[1 : x.k], ' ') JOIN g y ON y.lang = c.lang AND y.k = c.k - x.k AND y.phrase = array_to_string(c.w[x.k + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c JOIN (SELECT unnest([1, 2]) AS s) ON true WHERE c.k = 3 AND b.k = 2 AND c.lang = b.lang AND array_to_string(c.w[s : s + 1], ' ') = b.phrase AND 100 * c.a >= 50 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
 OP13 = r"""WITH RECURSIVE f AS (SELECT doc_id, lang, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars::VARCHAR AS d, (n_chars + 1)::VARCHAR AS d1, text AS e FROM documents),
 g AS (SELECT doc_id, lang, list_reduce(flatten([[4294967295], flatten(list_transform(range(1, strlen(a) + 1), lambda k: [ascii(a[k]), -1, -1, -1, -1, -1, -1, -1, -1]))])::BIGINT[], lambda x, y: CASE WHEN y < 0 THEN xor(x >> 1, 3988292384 * (x & 1)) ELSE xor(x, y) END) AS crc,
   concat(coalesce(strlen(a) || ':' || a, '-'), coalesce(strlen(b) || ':' || b, '-'), coalesce(strlen(c) || ':' || c, '-')) AS h, coalesce(strlen(d) || ':' || d, '-') AS m, coalesce(strlen(d1) || ':' || d1, '-') AS m1, coalesce(strlen(e) || ':' || e, '-') AS t FROM f),
