@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_join, htmltext, langid, media, merkle, mixing, ngram_join, oracles, phrases, secrets, sharding, substring_dedup
+from . import bpe, embed_join, htmltext, langid, media, merkle, mixing, ngram_join, oracles, phrases, secrets, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_shards": sharding.op8,
         "op9_ngram_join": ngram_join.op9,
         "op10_byte_bpe": bpe.op10,
+        "op11_toxicity": toxicity.op11,
         "op12_phrases": phrases.op12,
         "op13_merkle_manifest": merkle.op13,
     }
