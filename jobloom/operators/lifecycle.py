@@ -13,11 +13,15 @@ def _days(n: int) -> Column:
     return F.make_interval(days=F.lit(n))
 
 
+def too_old(as_of: Column, days: int = CUTOFF_DAYS) -> Column:
+    """Whether a posting has a date and is older than ``days`` (exactly that age is not)."""
+    return F.coalesce(F.col("posted_at") < as_of - _days(days), F.lit(False))
+
+
 def drop_too_old(stubs: DataFrame, known: DataFrame, as_of: Column, key: list[str], days: int = CUTOFF_DAYS) -> DataFrame:
-    """Known stubs, and unknown ones without a date or not older than ``days`` (exactly that age stays)."""
+    """Known stubs, and unknown ones that are not too old."""
     seen = known.select(*key).distinct().withColumn("_known", F.lit(True))
-    keep = F.col("_known").isNotNull() | F.col("posted_at").isNull() | (F.col("posted_at") >= as_of - _days(days))
-    return stubs.join(seen, key, "left").filter(keep).drop("_known")
+    return stubs.join(seen, key, "left").filter(F.col("_known").isNotNull() | ~too_old(as_of, days)).drop("_known")
 
 
 def split_known(stubs: DataFrame, known: DataFrame, key: list[str], refresh: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -39,12 +43,15 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     return checked.filter("error = ''").drop("error"), checked.filter("error != ''")
 
 
-def merge_raw(existing: DataFrame, incoming: DataFrame, as_of: Column, key: list[str]) -> DataFrame:
-    """A new snapshot: incoming rows over existing ones, first sight kept, last sight moved to ``as_of``."""
+def merge_raw(existing: DataFrame, incoming: DataFrame, as_of: Column, key: list[str], stay: tuple[str, ...] = ()) -> DataFrame:
+    """A new snapshot: incoming rows over existing ones, first sight kept, last sight moved to ``as_of``.
+
+    The columns ``stay`` keep the values that an existing row has.
+    """
     cols = [c for c in incoming.columns if c not in key]
     old, new = existing.alias("o"), incoming.withColumn("_in", F.lit(True)).alias("n")
     both = old.join(new, key, "full")
-    put = [F.when(F.col("_in"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols]
+    put = [(F.coalesce(f"o.{c}", f"n.{c}") if c in stay else F.when(F.col("_in"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c) for c in cols]
     return both.select(*key, *put, F.coalesce("o.first_seen_at", as_of).alias("first_seen_at"), F.when(F.col("_in"), as_of).otherwise(F.col("o.last_seen_at")).alias("last_seen_at"))
 
 
@@ -54,16 +61,26 @@ def touch_complete(raw: DataFrame, seen: DataFrame, complete: DataFrame, as_of:
     return raw.join(touched, key, "left").withColumn("last_seen_at", F.when(F.col("_touch"), as_of).otherwise(F.col("last_seen_at"))).drop("_touch")
 
 
+#: What can become of a landed row.
+OUTCOMES = ("inserted", "updated", "unchanged", "skipped_old")
+
+
+def classify_batch(landed: DataFrame, raw: DataFrame, as_of: Column, key: list[str]) -> DataFrame:
+    """Landed rows with ``status``; unknown ones that are too old are ``skipped_old`` and still count as fetched."""
+    classified = classify_change(raw, landed, key)
+    return classified.withColumn("status", F.when((F.col("status") == "inserted") & too_old(as_of), "skipped_old").otherwise(F.col("status")))
+
+
 def ingest_counts(classified: DataFrame) -> DataFrame:
     """Rows by source and outcome, one row a source."""
-    return classified.groupBy("source_id").agg(F.count("*").alias("fetched"), *[F.count_if(F.col("status") == s).alias(s) for s in ("inserted", "updated", "unchanged")])
+    return classified.groupBy("source_id").agg(F.count("*").alias("fetched"), *[F.count_if(F.col("status") == s).alias(s) for s in OUTCOMES])
 
 
-def ingest_batch(landed: DataFrame, raw: DataFrame, as_of: Column, key: list[str]) -> dict[str, DataFrame]:
-    """One landed batch: cutoff, change classes, new snapshot and counts. ``landed`` has ``content_hash``."""
-    kept = drop_too_old(landed, raw, as_of, key)
-    classified = classify_change(raw, kept, key)
-    return {"raw": merge_raw(raw, kept, as_of, key), "classified": classified, "counts": ingest_counts(classified)}
+def ingest_batch(landed: DataFrame, raw: DataFrame, as_of: Column, key: list[str], stay: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """One landed batch: change classes, cutoff, new snapshot and counts. ``landed`` has ``content_hash``."""
+    classified = classify_batch(landed, raw, as_of, key)
+    kept = classified.filter("status != 'skipped_old'").select(*landed.columns)
+    return {"raw": merge_raw(raw, kept, as_of, key, stay), "classified": classified, "counts": ingest_counts(classified)}
 
 
 def seen_jobs(links: DataFrame, raw: DataFrame, as_of: Column, days: int) -> DataFrame:

@@ -77,6 +77,19 @@ def diff_snapshot(old: DataFrame, new: DataFrame, key: list[str], cols: list[str
     return new.join(before, same, "left").select(new["*"], change.alias("change"))
 
 
+def merge_jobs(old: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """The next jobs: rows with ``change`` over old ones by ``dedupe_key``, stamped where they are new or changed.
+
+    Jobs without a row stay as they are; unchanged ones keep both stamps, changed ones the first.
+    """
+    cols = [c for c in changes.columns if c not in ("dedupe_key", "change")]
+    both = old.alias("o").join(changes.alias("n"), "dedupe_key", "full")
+    put = [F.when(F.col("change").isNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in cols]
+    moved = F.when(F.col("change").isin("new", "changed"), as_of).otherwise(F.col("o.updated_at"))
+    rows = both.select(*put[:2], "dedupe_key", *put[2:], F.coalesce("o.created_at", as_of).alias("created_at"), moved.alias("updated_at"), F.when(F.col("change").isNull(), F.col("o.cause")).alias("cause"))
+    return rows.select(*old.columns)
+
+
 def new_links(links: DataFrame, existing: DataFrame) -> DataFrame:
     """The different (job_key, raw_id) that the link table lacks; a pair is a row, so no group is held in one value."""
     return links.select("job_key", "raw_id").distinct().join(existing, ["job_key", "raw_id"], "left_anti")

@@ -101,14 +101,41 @@ def links(spark, sf):
     return R.new_links(pairs, pairs.filter("raw_id % 3 = 0"))
 
 
-@query("RES-5", S + """, good AS (SELECT c.*, (SELECT count(DISTINCT source_id) FROM grouped g WHERE g.group_key = c.group_key) AS sources FROM canonical c WHERE place = 1 AND source_job_id IS NOT NULL)
-SELECT count(*) AS jobs, 0 AS unchanged, count(*) AS written, count(*) FILTER (sources > 1) AS merges FROM good""")
+#: Two landed states of the same sightings: the first lacks some and has others with another closing date.
+LANDED = """landed AS (SELECT *, CASE WHEN id % 7 <> 0 THEN closes_at END AS closed_before FROM printed)"""
+
+
+def first_landed(rows):
+    return rows.filter("id % 5 != 0").withColumn("closes_at", F.when(F.col("id") % 7 != 0, F.col("closes_at")))
+
+
+def job_sql(name: str, rows: str, closes: str) -> str:
+    """Groups, jobs and links of the rows ``rows`` in SQL, as tables ``name`` with an ending."""
+    return f"""{name}_wide AS (SELECT fingerprint, count(DISTINCT source_id) > 1 AS spans FROM {rows} GROUP BY 1),
+{name}_group AS (SELECT r.*, CASE WHEN spans THEN fingerprint ELSE fingerprint || ':' || id END AS group_key, {closes} AS closes FROM {rows} r JOIN {name}_wide USING (fingerprint)),
+{name}_best AS (SELECT * FROM {name}_group QUALIFY row_number() OVER (PARTITION BY group_key ORDER BY CASE split_part(source_id, ':', 1) WHEN 'jobbank' THEN 1 WHEN 'adzuna' THEN 2 ELSE 0 END, id) = 1),
+{name}_jobs AS (SELECT group_key, fingerprint || ':' || source_job_id AS dedupe_key, title, employer_name, province, source_id, posted_at, closes, least(coalesce(closes, posted_at + to_days(60)), posted_at + to_days(60)) AS ends FROM {name}_best WHERE source_job_id IS NOT NULL),
+{name}_links AS (SELECT DISTINCT dedupe_key, id FROM {name}_group JOIN {name}_jobs USING (group_key))"""
+
+
+DIFFERS = "j.title IS DISTINCT FROM o.title OR j.employer_name IS DISTINCT FROM o.employer_name OR j.province IS DISTINCT FROM o.province OR j.source_id <> o.source_id OR j.posted_at <> o.posted_at OR j.closes IS DISTINCT FROM o.closes"
+
+
+@query("RES-5", S + f""", {LANDED}, one AS (SELECT * FROM landed WHERE id % 5 <> 0), two AS (SELECT * FROM landed), {job_sql("a", "one", "closed_before")}, {job_sql("b", "two", "closes_at")}
+SELECT 1 AS run, count(*) AS jobs, 0 AS unchanged, count(*) AS written, (SELECT count(*) FROM (SELECT group_key FROM a_group SEMI JOIN a_jobs USING (group_key) GROUP BY 1 HAVING count(DISTINCT source_id) > 1)) AS merges, (SELECT count(*) FROM a_links) AS links FROM a_jobs UNION ALL
+SELECT 2, count(*), count(*) FILTER (o.dedupe_key IS NOT NULL AND NOT ({DIFFERS})), count(*) FILTER (o.dedupe_key IS NULL OR {DIFFERS}), (SELECT count(*) FROM (SELECT group_key FROM b_group SEMI JOIN b_jobs USING (group_key) GROUP BY 1 HAVING count(DISTINCT source_id) > 1)),
+  (SELECT count(*) FROM b_links ANTI JOIN a_links USING (dedupe_key, id)) FROM b_jobs j LEFT JOIN a_jobs o USING (dedupe_key) UNION ALL
+SELECT 3, count(*), count(*), 0, (SELECT count(*) FROM (SELECT group_key FROM b_group SEMI JOIN b_jobs USING (group_key) GROUP BY 1 HAVING count(DISTINCT source_id) > 1)), 0 FROM b_jobs""")
 def resolved(spark, sf):
+    """Three resolutions, each from the jobs and links of the one before: some rows, all rows, all rows again."""
     raw, reg = printed(spark, sf), registry(spark, sf)
-    good, _ = R.split_identified(R.pick_canonical(R.group_into_jobs(raw)))
-    none = R.build_job_rows(good, reg).limit(0)
-    no_links = raw.select(F.col("fingerprint").alias("job_key"), F.col("id").alias("raw_id")).limit(0)
-    return R.resolve(raw, reg, none, no_links)["stats"]
+    jobs = R.build_job_rows(raw.limit(0), reg)
+    links, out = raw.select(F.col("fingerprint").alias("job_key"), F.col("id").alias("raw_id")).limit(0), []
+    for run, rows in enumerate((first_landed(raw), raw, raw), 1):
+        found = R.resolve(rows, reg, jobs, links)
+        out.append(found["stats"].crossJoin(found["links"].agg(F.count("*").alias("links"))).withColumn("run", F.lit(run)))  # one row each
+        jobs, links = found["jobs"].drop("change"), links.union(found["links"])
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("LIF-3", S + EARLIER + " SELECT s.id, CASE WHEN o.id IS NULL THEN 'inserted' WHEN s.n_chars IS DISTINCT FROM o.n_chars THEN 'updated' ELSE 'unchanged' END AS status FROM sightings s LEFT JOIN old o ON s.id = o.id")
@@ -118,12 +145,15 @@ def change_classes(spark, sf):
     return R.classify_change(hashed(earlier(rows)).select("id", "content_hash"), hashed(rows), ["id"]).select("id", "status")
 
 
-@query("AGG-12", S + EARLIER + """, c AS (SELECT source_id, CASE WHEN o.id IS NULL THEN 'inserted' WHEN s.n_chars IS DISTINCT FROM o.n_chars THEN 'updated' ELSE 'unchanged' END AS status FROM sightings s LEFT JOIN old o ON s.id = o.id)
-SELECT source_id, count(*) AS fetched, count(*) FILTER (status = 'inserted') AS inserted, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged FROM c GROUP BY 1""")
+OUTCOME = EARLIER + f""", c AS (SELECT source_id, CASE WHEN o.id IS NULL THEN CASE WHEN posted_at < {NOW} - to_days(30) THEN 'skipped_old' ELSE 'inserted' END WHEN s.n_chars IS DISTINCT FROM o.n_chars THEN 'updated' ELSE 'unchanged' END AS status FROM sightings s LEFT JOIN old o ON s.id = o.id)
+SELECT source_id, count(*) AS fetched, count(*) FILTER (status = 'inserted') AS inserted, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'skipped_old') AS skipped_old FROM c GROUP BY 1"""
+
+
+@query("AGG-12", S + OUTCOME)
 def accounting(spark, sf):
     hashed = lambda df: df.withColumn("content_hash", R.content_hash(["title", "n_chars"]))
     rows = printed(spark, sf)
-    return L.ingest_counts(R.classify_change(hashed(earlier(rows)).select("id", "content_hash"), hashed(rows), ["id"]))
+    return L.ingest_counts(L.classify_batch(hashed(rows), hashed(earlier(rows)).select("id", "content_hash"), as_of(), ["id"]))
 
 
 @query("SNK-1", S + EARLIER + f" SELECT coalesce(s.id, o.id) AS id, CASE WHEN s.id IS NOT NULL THEN s.n_chars ELSE o.n_chars END AS n_chars, CASE WHEN o.id IS NOT NULL THEN '2001-07-01 00:00:00' ELSE '{AS_OF} 00:00:00' END AS first_seen_at, CASE WHEN s.id IS NOT NULL THEN '{AS_OF} 00:00:00' ELSE '2001-07-01 00:00:00' END AS last_seen_at FROM (SELECT * FROM sightings WHERE id % 4 <> 0) s FULL JOIN old o ON s.id = o.id")
@@ -151,8 +181,7 @@ def known(spark, sf):
     return read.withColumn("step", F.lit("read")).union(touch.withColumn("step", F.lit("touch")))
 
 
-@query("ING-1", S + EARLIER + f""", kept AS (SELECT s.*, o.id AS oid, o.n_chars AS oc FROM sightings s LEFT JOIN old o ON s.id = o.id WHERE o.id IS NOT NULL OR posted_at >= {NOW} - to_days(30))
-SELECT source_id, count(*) AS fetched, count(*) FILTER (oid IS NULL) AS inserted, count(*) FILTER (oid IS NOT NULL AND n_chars IS DISTINCT FROM oc) AS updated, count(*) FILTER (oid IS NOT NULL AND n_chars IS NOT DISTINCT FROM oc) AS unchanged FROM kept GROUP BY 1""")
+@query("ING-1", S + OUTCOME)
 def ingest(spark, sf):
     hashed = lambda df: df.withColumn("content_hash", R.content_hash(["title", "n_chars"]))
     rows = printed(spark, sf)

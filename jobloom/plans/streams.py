@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..operators import lifecycle as L
 from ..operators.export import write_run_metrics
 from ..operators.resolve import content_hash
+from ..operators.snapshots import Snapshots
 from ..streaming import streams as S
-from .bindings import SIGHTINGS, as_of, table
-from .living import NOW
+from .bindings import SIGHTINGS, as_of, printed, table
+from .living import DIFFERS, LANDED, NOW, first_landed, job_sql, registry
 from .living import ORACLE as LIVING
+from .pipeline import run_pipeline
 
 QUERIES, ORACLE = {}, {}
 
@@ -100,10 +102,39 @@ ended AS (SELECT least(coalesce(closes_at, posted_at + to_days(60)), posted_at +
 @query("SNK-5", f"WITH {SIGHTINGS}, {FRESH} SELECT NOT ended AS is_active, CASE WHEN ended THEN 'hard' END AS cause, count(*) AS n FROM ended GROUP BY ended")
 def whole_pipeline(spark, sf):
     """Jobs that stay after all stages over the sightings, by activity and cause."""
-    from .bindings import printed
-    from .living import registry
-    from .pipeline import run_pipeline
-
-    landed = printed(spark, sf).filter("source_job_id IS NOT NULL")
-    out = run_pipeline(spark, landed, registry(spark, sf), folder(spark, "pipeline"), as_of())
-    return out["jobs"].groupBy("is_active", "cause").agg(F.count("*").alias("n"))
+    state = Snapshots(spark, folder(spark, "pipeline"))
+    run_pipeline(state, printed(spark, sf).filter("source_job_id IS NOT NULL"), registry(spark, sf), as_of())
+    return state.read("jobs").groupBy("is_active", "cause").agg(F.count("*").alias("n"))
+
+
+THEN = f"{NOW} - to_days(1)"
+SUMS = "count(*) AS fetched, count(*) FILTER (status = 'inserted') AS inserted, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'skipped_old') AS skipped_old"
+RUNS = f"""named AS (SELECT * FROM landed WHERE source_job_id IS NOT NULL), one AS (SELECT * FROM named WHERE id % 5 <> 0 AND posted_at >= {THEN} - to_days(30)),
+two AS (SELECT * FROM named WHERE posted_at >= {NOW} - to_days(30) OR id IN (SELECT id FROM one)), {job_sql("a", "one", "closed_before")}, {job_sql("b", "two", "closes_at")},
+again AS (SELECT j.*, o.dedupe_key IS NULL AS is_new, o.dedupe_key IS NULL OR o.ends <= {THEN} OR {DIFFERS} AS written, j.ends <= {NOW} AS ended FROM b_jobs j LEFT JOIN a_jobs o USING (dedupe_key)),
+rest AS (SELECT ends <= {THEN} AS before, ends <= {NOW} AS ended FROM a_jobs ANTI JOIN b_jobs USING (dedupe_key)),
+in1 AS (SELECT CASE WHEN posted_at < {THEN} - to_days(30) THEN 'skipped_old' ELSE 'inserted' END AS status FROM named WHERE id % 5 <> 0),
+in2 AS (SELECT CASE WHEN o.id IS NOT NULL THEN CASE WHEN o.closes_at IS DISTINCT FROM o.closed_before THEN 'updated' ELSE 'unchanged' END WHEN n.posted_at < {NOW} - to_days(30) THEN 'skipped_old' ELSE 'inserted' END AS status FROM named n LEFT JOIN one o USING (id)),
+sum1 AS (SELECT {SUMS} FROM in1), sum2 AS (SELECT {SUMS} FROM in2), sum3 AS (SELECT count(*) AS fetched, 0 AS inserted, 0 AS updated, count(*) FILTER (id IN (SELECT id FROM two)) AS unchanged, count(*) FILTER (id NOT IN (SELECT id FROM two)) AS skipped_old FROM named),
+q AS (SELECT 1 AS run, count(*) FILTER (ends > {THEN}) AS x, count(*) FILTER (ends <= {THEN}) AS y FROM a_jobs UNION ALL
+SELECT 2, count(*) FILTER (NOT ended), count(*) FILTER (ended) FROM (SELECT ended FROM again UNION ALL SELECT ended FROM rest) UNION ALL
+SELECT 3, count(*) FILTER (o), count(*) FILTER (c) FROM (SELECT is_new AND NOT ended AS o, ended AS c FROM again UNION ALL SELECT false, ended AND NOT before FROM rest)),
+told AS (SELECT run, least(45, x) AS opened, least(45 - least(45, x), y) AS closed FROM q)"""
+
+
+@query("SNK-5-again", f"""WITH {SIGHTINGS}, {LANDED}, {RUNS} SELECT * FROM (
+SELECT 1 AS run, sum1.*, (SELECT count(*) FROM a_jobs) AS jobs, (SELECT count(*) FROM a_jobs) AS written, 0 AS kept, (SELECT count(*) FROM a_links) AS new_links, (SELECT count(*) FILTER (ends <= {THEN}) FROM a_jobs) AS hard_expired FROM sum1 UNION ALL
+SELECT 2, sum2.*, (SELECT count(*) FROM again), (SELECT count(*) FILTER (written) FROM again), (SELECT count(*) FILTER (NOT written) FROM again), (SELECT count(*) FROM b_links ANTI JOIN a_links USING (dedupe_key, id)),
+  (SELECT count(*) FILTER (ended) FROM again) + (SELECT count(*) FILTER (ended AND NOT before) FROM rest) FROM sum2 UNION ALL
+SELECT 3, sum3.*, (SELECT count(*) FROM again), (SELECT count(*) FILTER (ended) FROM again), (SELECT count(*) FILTER (NOT ended) FROM again), 0, (SELECT count(*) FILTER (ended) FROM again) FROM sum3) JOIN told USING (run)""")
+def pipeline_again(spark, sf):
+    """Reports of three runs: some sightings a day before, then all, then all again, each from the state of the last."""
+    reports = _three_runs(spark, sf)
+    return reports.select("run", "fetched", "inserted", "updated", "unchanged", "skipped_old", "jobs", "written", "kept", "new_links", "hard_expired", "opened", "closed")
+
+
+def _three_runs(spark, sf):
+    state, rows, reg = Snapshots(spark, folder(spark, "again")), printed(spark, sf).filter("source_job_id IS NOT NULL"), registry(spark, sf)
+    day = F.make_interval(days=F.lit(1))
+    reports = [run_pipeline(state, landed, reg, at).withColumn("run", F.lit(n)) for n, (landed, at) in enumerate([(first_landed(rows), as_of() - day), (rows, as_of()), (rows, as_of())], 1)]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])
