@@ -226,7 +226,8 @@ def join(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id", leas
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = distinct.join(links, "id", "left").join(roots, F.col("id") == F.col("node"), "left")
     classes = classes.select("vec", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    out = own.join(classes.withColumnRenamed("vec", "key"), "key", "left")
+    plain = own.filter("key IS NULL").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))  # they meet nothing
+    out = own.filter("key IS NOT NULL").join(classes.withColumnRenamed("vec", "key"), "key", "left").select("vec_id", "n_links", "root").union(plain)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("root", "vec_id"))
     n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

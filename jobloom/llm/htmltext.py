@@ -59,6 +59,7 @@ WITHIN = dict.fromkeys(ENDED_BY, frozenset(["table"])) | {
 }
 ENDS = {t: [e for e, by in ENDED_BY.items() if t in by] for t in frozenset().union(*ENDED_BY.values())}
 REGIONS = frozenset("article main".split())
+HEADINGS, UNSEEN = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("head noscript template script style".split())
 #: End tags that reach through cells and named articles; all others stop there.
 FAR = frozenset("article main body html table tr tbody thead tfoot td th".split())
 
@@ -75,6 +76,8 @@ SIGNS = frozenset(
     " sharing sharebar social related recommended recommendations widget widgets login signup signin search contentinfo complementary skip responses discussion guestbook alert alerts disclaimer paywall"
     " toast overlay lightbox siteheader".split()
 )
+#: Signs of remarks, which no labelled page makes content: readers write them below an article, often inside its element.
+REMARKS = frozenset("comment comments commentlist disqus respond reply replies discussion guestbook".split())
 HEADERS = frozenset("header heading".split())
 STATES, STORIES = frozenset("with has no not is without show hide open".split()), frozenset("article post entry story".split())
 #: Tags whose cost is known before learning, by (in content, elsewhere) occurrences; others start even.
@@ -85,6 +88,9 @@ TAG_EVEN, TAG_LEAST, TAG_DEEPEST = (10.0, 10.0), -0.01, -0.75
 SKIPPED = -0.05
 #: Share of a page's words that must be free of evidence for it to count against the others.
 LEVEL = 0.05
+#: A form that holds this share of a page's words is a wrapper; a named element that holds this share of a labelled
+#: article's words is its text, whatever the prior takes its name for.
+WRAPPED, BULK = 0.75, 0.5
 #: Names of the model, those with most words outside articles, each on at least so many labelled pages. This bounds
 #: the model, not the pages it is learnt from or applied to.
 MODEL_NAMES, LEAST_PAGES = 50_000, 3
@@ -240,15 +246,23 @@ def scored(page: Page, model: Model) -> tuple[list[float], list[float], list[boo
         if parent[i]:
             holds[parent[i]] = holds[parent[i]] or holds[i]
             sections[parent[i]] = sections[parent[i]] or sections[i]
+    words = [len(text.split()) if kind == 0 else 0 for kind, _, text in page.items]
+    held = [0] * n  # words of an element; of the whole page in held[0], but for those that are never shown
+    for (_, at, _), k in zip(page.items, words, strict=True):
+        held[at] += k
+    for i in range(n - 1, 0, -1):
+        if tags[i] not in UNSEEN:
+            held[parent[i]] += held[i]
     # Hard evidence comes from elements, soft evidence from names and from elements that were never closed.
-    hard, soft, inside, nested = [0.0] * n, [0.0] * n, [False] * n, [False] * n
+    hard, soft, inside, nested, heads = [0.0] * n, [0.0] * n, [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, tag = parent[i], tags[i]
+        heads[i] = heads[up] or tag in HEADINGS  # a heading alone does not tell which words are free of evidence
         inside[i] = inside[up] or region[i]
         nested[i] = nested[up] or tag == "article"
         element = 0.0 if tag == "header" and inside[up] else model.element(tag)
-        if tag == "form" and sections[i]:
-            element = 0.0  # a form around the page's sections is a wrapper
+        if tag == "form" and (sections[i] or held[i] >= WRAPPED * held[0] > 0):
+            element = 0.0  # a form around the page's sections or nearly all of its words is a wrapper
         strong, weak, header = (0.0, 0.0, False) if tag in ("html", "body") else own[i]
         if header and not inside[up] and not holds[i]:
             strong = min(strong, weight("strong"))
@@ -260,13 +274,9 @@ def scored(page: Page, model: Model) -> tuple[list[float], list[float], list[boo
             hard[i], strong = hard[up], strong + element
         soft[i] = soft[up] + strong + (0.0 if holds[i] and not region[i] else weak)
     by: Counter = Counter()
-    words = [len(text.split()) if kind == 0 else 0 for kind, _, text in page.items]
-    held = [0] * n
     for (_, at, _), k in zip(page.items, words, strict=True):
-        if k:
-            held[at] += k
-            if hard[at] > -1:
-                by[soft[at]] += k
+        if k and hard[at] > -1 and not heads[at]:
+            by[soft[at]] += k
     level, so_far, total = 0.0, 0, sum(by.values())
     for value in sorted(by, reverse=True):
         level, so_far = value, so_far + by[value]
@@ -274,9 +284,6 @@ def scored(page: Page, model: Model) -> tuple[list[float], list[float], list[boo
             break
     if any(region) and not any(k and holder for k, holder in zip(words, (inside[at] for _, at, _ in page.items), strict=True)):
         level = 0.0  # the page names its article, which has no words
-    for i in range(n - 1, 0, -1):
-        if parent[i]:
-            held[parent[i]] += held[i]
     within = [False] * n
     for i in range(1, n):
         within[i] = within[parent[i]] or (region[i] and held[i] > 0 and hard[i] > -1 and soft[i] - level > -1)
@@ -340,6 +347,7 @@ def _evidence(html: str, model: Model) -> list[tuple[str, bool, str, int, int]]:
             if within[at] and good:  # elsewhere a tag is judged by content against all that is around it
                 found.append(("tag", False, text, 1, 0))
     found.append(("word", False, "outside", 0, sum(o for o, w in zip(other, within, strict=True) if not w)))
+    article = sum(c + o for c, o, w in zip(content, other, within, strict=True) if w)
     for i in range(n - 1, 0, -1):
         content[page.parent[i]] += content[i]
         other[page.parent[i]] += other[i]
@@ -352,8 +360,10 @@ def _evidence(html: str, model: Model) -> list[tuple[str, bool, str, int, int]]:
             continue
         if page.tag[i] in ELEMENTS and not (page.tag[i] == "header" and within[i]):
             found.append(("word", False, f"element {page.tag[i]}", content[i], other[i]))
+        bulk = within[i] and content[i] + other[i] >= BULK * article
         for name in set(names_of(page.attributes[i])):
-            found.append(("word", False, f"name {name.lower()}", content[i], other[i]))
+            good = bulk and not REMARKS & {p.lower() for p in PARTS.findall(name)}
+            found.append(("word", False, f"name {name.lower()}", content[i] + other[i] if good else content[i], 0 if good else other[i]))
     return found
 
 
@@ -361,7 +371,8 @@ def fit(df: DataFrame, html_col: str = "html", most: int = MODEL_NAMES) -> Model
     """Weights from every labelled page of ``df``, counted in Spark; at most ``most`` names come to the driver.
 
     A labelled page's words are content inside its article and outside what the prior knows as boilerplate. Elements
-    around the article say nothing, nor do elements inside ones already known.
+    around the article say nothing, nor do elements inside ones already known. An element that holds most of its
+    article is content even where the prior takes its name for boilerplate, so labelled pages can outvote the prior.
     """
     kinds = "kind string, inside boolean, feature string, content long, other long, pages long"
 
@@ -389,9 +400,11 @@ def fit(df: DataFrame, html_col: str = "html", most: int = MODEL_NAMES) -> Model
 
     sums = df.select(F.col(html_col).cast("string").alias("__html")).mapInArrow(run, kinds).groupBy("kind", "inside", "feature")
     sums = sums.agg(F.sum("content").alias("content"), F.sum("other").alias("other"), F.sum("pages").alias("pages"))
-    some = sums.filter((F.col("pages") >= LEAST_PAGES) & ((F.col("kind") == "tag") | (F.col("content") < F.col("other"))))
+    parts = F.regexp_extract_all(F.lower("feature"), F.lit("[a-z]+"), 0)
+    told = (F.col("content") < F.col("other")) | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(SIGNS)]))  # names of which the prior says something
+    some = sums.filter((F.col("pages") >= LEAST_PAGES) & ((F.col("kind") == "tag") | told))
     words, tags = {}, {}
-    for r in some.orderBy(F.desc("other"), "kind", "inside", "feature").limit(most).collect():
+    for r in some.orderBy(F.desc(F.col("content") + F.col("other")), "kind", "inside", "feature").limit(most).collect():
         if r["kind"] == "tag":
             tags[r["inside"], r["feature"]] = tag_weight(r["inside"], r["feature"], r["content"], r["other"])
         else:

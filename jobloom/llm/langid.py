@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import ddl, map_texts, read_table
 
-#: Dimensions, n-gram length and letters told apart. Letters beyond the table share codes by remainder.
-DIMENSIONS, GRAM, LETTERS = 512, 3, 128
+#: Dimensions, n-gram length and codes of letters. Lower-case letters up to TABLED (all of Latin) have a code each; the
+#: others share all codes by remainder, so letters of another script that lie LETTERS - 1 apart are one.
+DIMENSIONS, GRAM, LETTERS, TABLED = 512, 3, 256, 0x24F
+#: N-grams that a task holds before it adds them up.
+HELD = 4_000_000
 SEED = 20240607
 UNDETERMINED = "und"
 
@@ -49,7 +52,10 @@ def letter_codes() -> np.ndarray:
     """Code of every code point: 0 for all but letters, which take 1 to LETTERS - 1 by remainder."""
     points = np.arange(0x110000)
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return np.where(letter, 1 + points % (LETTERS - 1), 0).astype(np.uint8)
+    codes = np.where(letter, 1 + points % (LETTERS - 1), 0)
+    own = [c for c in range(TABLED + 1) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    codes[own] = np.arange(1, len(own) + 1)
+    return codes.astype(np.uint8)
 
 
 _CODES: list[np.ndarray] = []
@@ -73,22 +79,22 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) over all given rows; each task adds up its own rows before Spark adds the tasks'."""
 
     def run(batches):
-        totals: dict[str, np.ndarray] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
             for text, lang in zip(batch.column("__text").to_pylist(), batch.column("__lang").to_pylist(), strict=True):
                 codes = grams(text or "")
-                if lang not in totals:
-                    totals[lang] = np.zeros(LETTERS**GRAM, np.int64)
-                np.add.at(totals[lang], codes, 1)
-            if len(totals) > 8:  # many labels: hand on what has been added up
-                yield from _rows(totals)
-                totals = {}
-        yield from _rows(totals)
-
-    def _rows(totals):
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": at, "n": total[at]})
+                held.setdefault(lang, []).append(codes.astype(np.int32))
+                size += len(codes)
+                if size > HELD:
+                    yield from _rows(held)
+                    held, size = {}, 0
+        yield from _rows(held)
+
+    def _rows(held):
+        for lang, codes in held.items():
+            gram, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": gram.astype(np.int64), "n": n})
 
     own = df.select(F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
     return own.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -130,7 +136,7 @@ class Model:
         self.langs, self.letters = langs, letter_vectors(protos.shape[1]).astype(np.int8)
         self.protos = protos.astype(np.float32)
         self.rows = np.zeros((0, protos.shape[1]), np.int8)
-        self.place = np.full(LETTERS**GRAM, -1, np.int64)
+        self.place = np.full(LETTERS**GRAM, -1, np.int32)
         self.size = 0
 
     def lookup(self, codes: np.ndarray) -> np.ndarray:

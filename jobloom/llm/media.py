@@ -13,8 +13,10 @@ a result are left out.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ UNIT, WIDTH = 576, 24
 #: Side of the averaged square, and side of the block of low frequencies kept.
 SQUARE, LOW = 32, 8
 LEVEL = 1
+#: Bytes of samples that are inflated and unfiltered at a time.
+INFLATED = 4 << 20
 
 
 def padded(raw: bytes) -> bytes:
@@ -193,19 +197,36 @@ READ = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_c
 
 
 def read(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, payload_bytes, payload_sha256, tail_crc32 and ``feature`` of a binary column of PNGs."""
+    """``keep`` columns, payload_bytes, payload_sha256, tail_crc32 and ``feature`` of a binary column of PNGs.
+
+    Pictures are inflated a few at a time, by the size that their heads state: about ``INFLATED`` bytes, or one alone.
+    """
     keep = tuple(k for k in keep if k not in {n for n, _ in READ})
 
     def run(batch: pa.RecordBatch) -> dict:
-        stored = batch.column("__media").to_pylist()
-        found = iter(unfiltered([_lines(m) for m in stored if m is not None]))
-        rows = [_read(next(found)) if m is not None else (None,) * len(READ) for m in stored]
+        rows = []
+        for some in _portions(batch.column("__media").to_pylist()):
+            found = iter(unfiltered([_lines(m) for m in some if m is not None]))
+            rows += [_read(next(found)) if m is not None else (None,) * len(READ) for m in some]
         return {k: batch.column(k) for k in keep} | {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(READ)}
 
     own = df.select(*keep, df[media_col].alias("__media"))
     return map_texts(own, run, ddl(own, "__media") + "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", "__media")
 
 
+def _portions(stored: list[bytes | None], most: int = INFLATED) -> Iterator[list[bytes | None]]:
+    some, total = [], 0
+    for media in stored:
+        size = 0 if media is None or len(media) < 24 else math.prod(struct.unpack(">II", media[16:24]))
+        if some and total + size > most:
+            yield some
+            some, total = [], 0
+        some.append(media)
+        total += size
+    if some:
+        yield some
+
+
 def _read(samples: np.ndarray) -> tuple:
     back = samples.tobytes()
     return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), feature(samples)
