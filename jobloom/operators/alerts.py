@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES, NOTIFY_CAP
-from .serve import placed
+from .ordered import running, same
 
 # Limits of a sign-up and the pause between two confirmation mails.
 EMAIL, EMAIL_CHARS, CITY_CHARS, THROTTLE_MINUTES = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 254, 100, 10
@@ -28,56 +28,76 @@ def eligible(alerts: DataFrame) -> DataFrame:
     return alerts.filter("is_active AND confirmed_at IS NOT NULL")
 
 
-#: Parts into which jobs are dealt for alerts that name no criterion, all of which would meet on one key.
-SALTS = 64
+#: Jobs of one block of a list.
+BLOCK = 1024
+CRITERIA = ["city", "category"]
 
 
-def match_alerts(alerts: DataFrame, jobs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(alert_id, job_id) of eligible alerts and active jobs newer than the alert's mark; a null criterion takes all.
+def places(alerts: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads, lists): alerts by how far down a list they reach, and the lists of all criteria that jobs can meet.
 
-    A job enters under the four patterns of (city or any, category or any), so the join is one equi-join on null-safe
-    criteria and the mark a condition on its matches; an OR of conditions would be a nested loop over all pairs. Every
-    job enters under the pattern without criteria: there jobs are dealt into ``salts`` parts by hash, and an alert
-    without criteria stands in each.
+    ``lists`` (city, category, place, job_id, posted_at) has the active jobs of each pattern of criteria, null for any,
+    newest first; ``heads`` (alert_id, city, category, n) says that an eligible alert matches the first ``n`` of its
+    pattern's list. Jobs and alerts stand in one order, alerts where their mark falls, so ``n`` is the number of the
+    pattern's jobs before the alert: rows grow with jobs and alerts, not with their pairs. Alerts without a match are
+    left out.
     """
-    none = F.col("city").isNull() & F.col("category").isNull()
-    marks = eligible(alerts).select("alert_id", "city", "category", F.coalesce("last_sent_at", "confirmed_at").alias("mark"))
-    marks = marks.withColumn("salt", F.explode(F.when(none, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    patterns = F.array_distinct(F.array(*[F.struct(c.alias("city"), k.alias("category")) for c in (F.col("city"), F.lit(None).cast("string")) for k in (F.col("category"), F.lit(None).cast("string"))]))
-    keyed = jobs.filter("is_active").select(F.col("id").alias("job_id"), "posted_at", F.explode(patterns).alias("p")).select("job_id", "posted_at", F.col("p.city").alias("c"), F.col("p.category").alias("k"))
-    keyed = keyed.withColumn("part", F.when(F.col("c").isNull() & F.col("k").isNull(), F.pmod(F.xxhash64("job_id"), F.lit(salts)).cast("int")).otherwise(0))
-    hit = F.col("city").eqNullSafe(F.col("c")) & F.col("category").eqNullSafe(F.col("k")) & (F.col("salt") == F.col("part")) & (F.col("posted_at") > F.col("mark"))
-    return marks.join(keyed, hit).select("alert_id", "job_id", "posted_at")
+    marks = eligible(alerts).select("alert_id", *CRITERIA, F.coalesce("last_sent_at", "confirmed_at").alias("at"), F.lit(None).cast("long").alias("job_id"))
+    either = [[F.col(c), F.lit(None).cast("string")] for c in CRITERIA]
+    patterns = F.array_distinct(F.array(*[F.struct(c.alias("city"), k.alias("category")) for c in either[0] for k in either[1]]))
+    open_jobs = jobs.filter("is_active AND posted_at IS NOT NULL").select(F.col("id").alias("job_id"), F.col("posted_at").alias("at"), F.explode(patterns).alias("p"))
+    both = open_jobs.select(F.lit(None).cast(marks.schema["alert_id"].dataType).alias("alert_id"), "p.*", "at", "job_id").unionByName(marks)
+    # at its mark an alert stands before the jobs, which are not newer
+    order = [*[F.col(c).asc_nulls_first() for c in CRITERIA], F.desc("at"), F.asc_nulls_first("job_id"), F.asc("alert_id")]
+    ranked = running(both, order, F.col("job_id").isNotNull().cast("long"), "places")
+    first = ranked.groupBy(*CRITERIA).agg(F.min(F.col("upto") - F.col("job_id").isNotNull().cast("long")).alias("_before"))
+    rows = ranked.alias("r").join(first.alias("f"), same(CRITERIA, "r", "f")).select("r.*", (F.col("upto") - F.col("_before")).alias("place"))
+    heads = rows.filter("job_id IS NULL AND place > 0").select("alert_id", *CRITERIA, F.col("place").alias("n"))
+    return heads, rows.filter("job_id IS NOT NULL").select(*CRITERIA, "place", "job_id", F.col("at").alias("posted_at"))
+
+
+def blocks(heads: DataFrame, lists: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(alert_id, n, block, jobs): the jobs that an alert matches, in blocks of a list; ``jobs`` are (place, job_id, posted_at).
+
+    A list is packed once, and an alert meets the blocks that it reaches; the last one is cut at the alert's place.
+    """
+    packed = lists.groupBy(*CRITERIA, F.expr(f"(place - 1) div {size}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "job_id", "posted_at"))).alias("jobs"))
+    reach = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {size}"))))
+    met = reach.alias("a").join(packed.alias("b"), same([*CRITERIA, "block"], "a", "b"))
+    return met.select("alert_id", "n", "a.block", F.slice("jobs", F.lit(1), F.least(F.lit(size), F.col("n") - F.col("a.block") * size).cast("int")).alias("jobs"))
 
 
-def digest_rows(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, heads): (alert_id, rank, job_id, posted_at), newest first, and each alert's count and subject.
+def digest_rows(alerts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(alert_id, rank, job_id, posted_at) of eligible alerts and active jobs newer than the alert's mark, newest first.
 
-    The rank is a job's place in the order of all rows from its alert's first, so no alert is sorted in one task.
+    A null criterion takes all. The rank is the job's place in the list of the alert's criteria.
     """
-    rows = placed(matches, [F.asc("alert_id"), F.desc("posted_at"), F.asc("job_id")])
-    heads = rows.groupBy("alert_id").agg(F.count("*").alias("n"), F.min("place").alias("_first"))
-    ranked = rows.join(heads.select("alert_id", "_first"), "alert_id").select("alert_id", (F.col("place") - F.col("_first") + 1).alias("rank"), "job_id", "posted_at")
-    return ranked, heads.drop("_first").withColumn("subject", _subject())
+    return blocks(*places(alerts, jobs)).select("alert_id", F.inline("jobs").alias("rank", "job_id", "posted_at"))
+
+
+def match_alerts(alerts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(alert_id, job_id, posted_at) of eligible alerts and active jobs newer than the alert's mark."""
+    return digest_rows(alerts, jobs).drop("rank")
 
 
 def _subject() -> Column:
     return F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " new job").otherwise(" new jobs"))
 
 
-def digests(matches: DataFrame, top: int | None = None) -> DataFrame:
+def digest_heads(heads: DataFrame) -> DataFrame:
+    """(alert_id, city, category, n, subject): what a digest says of its list, which is the first n of its criteria's."""
+    return heads.withColumn("subject", _subject())
+
+
+def digests(alerts: DataFrame, jobs: DataFrame, top: int | None = None) -> DataFrame:
     """(alert_id, n, jobs, subject): each alert's jobs, newest first; ``top`` keeps the first of a long list.
 
-    Number and list come from one pass over the matches. A list is one value; without ``top``, ``digest_rows`` is the
-    form for alerts that match without bound.
+    A list is one value; without ``top``, ``digest_rows`` and ``places`` are the forms for alerts that match without bound.
     """
-    place = F.struct((-F.unix_micros("posted_at")).alias("age"), "job_id")
-    if top:
-        rank = F.row_number().over(Window.partitionBy("alert_id").orderBy(F.desc("posted_at"), "job_id"))
-        matches = matches.withColumn("rank", rank)
-        place = F.when(F.col("rank") <= top, place)
-    lists = matches.groupBy("alert_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(place)).alias("listed"))
-    return lists.select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
+    heads, lists = places(alerts, jobs)
+    shown = heads if top is None else heads.withColumn("n", F.least("n", F.lit(top)))
+    listed = blocks(shown, lists).groupBy("alert_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "jobs"))), lambda b: b["jobs"])).alias("listed"))
+    return heads.join(listed, "alert_id").select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
 
 
 def advance_watermark(alerts: DataFrame, delivered: DataFrame, sent_at: Column) -> DataFrame:

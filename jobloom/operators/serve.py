@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import is_plausible_band
 from ..functions.text import is_plausible_city, province_name, slugify_city
 from ..schema import LANDING_MINIMUM, PAGE_SIZE
+from .ordered import quantiles, running, same
 
 
 def scan_active(jobs: DataFrame, cols: list[str]) -> DataFrame:
@@ -80,23 +81,16 @@ QUARTERS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 def summarize_pay(df: DataFrame, by: list[str]) -> DataFrame:
     """Pay by group from plausible bands of the group's majority period (a tie goes to the hour).
 
-    Quantiles come from counts of equal amounts, added up in their order: a group's task streams over its different
-    amounts and holds none of them.
+    Quantiles come from ranks in one order over all groups (``ordered.quantiles``), so no task sorts or holds a group.
     """
     good = df.filter(is_plausible_band(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))).withColumn("_mid", (F.col("salary_min") + F.col("salary_max")) / 2)
-    per = good.groupBy(*by, "salary_period").agg(F.count("*").alias("n"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), F.col("salary_period") != "hour"))
-    top = per.withColumn("rank", rank).filter("rank = 1").drop("rank")
-    amounts = good.groupBy(*by, "salary_period", "_mid").agg(F.count("*").alias("_rows"))
+    per = good.groupBy(*by, "salary_period").agg(F.count("*").alias("_n"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high"))
+    hour = F.when(F.col("salary_period") == "hour", 1).otherwise(0)
+    best = F.max_by(F.struct("salary_period", "low", "high"), F.struct("_n", hour.alias("h"), "salary_period"))
+    top = per.groupBy(*by).agg(best.alias("t")).select(*by, "t.*")
     keys = [*by, "salary_period"]
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
-    upto = F.sum("_rows").over(Window.partitionBy(*[F.col(f"a.{k}") for k in keys]).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0))
-    rows = amounts.alias("a").join(top.alias("t"), same).select("t.*", "_mid", upto.alias("_upto"))
-    at = {name: (F.col("n") - 1) * q for name, q in QUARTERS.items()}
-    ends = [F.min(F.when(F.col("_upto") > side(x), F.col("_mid"))).alias(f"_{name}_{i}") for name, x in at.items() for i, side in enumerate((F.floor, F.ceil))]
-    found = rows.groupBy(*keys, "n", "low", "high").agg(*ends)
-    value = lambda name: F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (at[name] - F.floor(at[name]))
-    return found.select(*by, F.col("salary_period").alias("period"), "n", *[value(name).alias(name) for name in ("median", "p25", "p75")], "low", "high")
+    found = quantiles(good, keys, "_mid", QUARTERS, "pay")
+    return found.alias("q").join(top.alias("t"), same(keys, "q", "t")).select(*[F.col(f"q.`{k}`") for k in by], F.col("q.salary_period").alias("period"), "n", *QUARTERS, "low", "high")
 
 
 def pay_guide(df: DataFrame, role: str, province: str, least: int) -> DataFrame:
@@ -196,23 +190,8 @@ def order_salary(feed: DataFrame) -> DataFrame:
 
 
 def placed(feed: DataFrame, order: list[Column]) -> DataFrame:
-    """All rows with ``place``, their number from 1 in the whole order.
-
-    A range sort numbers the rows of each partition; one row a partition then gives the rows before it. The sorted
-    rows are written once, so that numbers and counts are of the same partitions.
-    """
-    # The number counts from the partition's own base, pid << 33.
-    at = F.monotonically_increasing_id()
-    rows = feed.orderBy(*order).select("*", F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
-    rows = checkpointed(rows)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, below the shared folder where one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """All rows with ``place``, their number from 1 in the whole order."""
+    return running(feed, order, F.lit(1), "placed").withColumnRenamed("upto", "place")
 
 
 def page(feed: DataFrame, number: int, size: int = PAGE_SIZE, order: list[Column] | None = None) -> DataFrame:

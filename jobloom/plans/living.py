@@ -288,14 +288,27 @@ def matched(spark, sf):
 
 @query("DIG-2", AW + f", {MATCH} SELECT alert_id, count(*) AS n, string_agg(job_id::VARCHAR, ',' ORDER BY posted_at DESC, job_id) AS jobs, count(*) || CASE WHEN count(*) = 1 THEN ' new job' ELSE ' new jobs' END AS subject FROM hits GROUP BY 1")
 def digest(spark, sf):
-    out = A.digests(A.match_alerts(alerts(spark, sf), jobs(spark, sf)))
+    out = A.digests(alerts(spark, sf), jobs(spark, sf))
     return out.withColumn("jobs", F.array_join(F.transform("jobs", lambda j: j.cast("string")), ","))
 
 
+@query("DIG-2-heads", AW + f", {MATCH} SELECT alert_id, city, category, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' new job' ELSE ' new jobs' END AS subject FROM hits JOIN alerts USING (alert_id) GROUP BY 1, 2, 3")
+def digest_heads(spark, sf):
+    """What each digest says, from places alone: its list is the first n of its criteria's."""
+    return A.digest_heads(A.places(alerts(spark, sf), jobs(spark, sf))[0])
+
+
+@query("DIG-2-lists", AW + """, p AS (SELECT CASE WHEN k % 2 = 0 THEN city END AS city, CASE WHEN k < 2 THEN category END AS category, id, posted_at FROM jobs, (SELECT unnest(range(4)) AS k) WHERE is_active)
+SELECT city, category, row_number() OVER (PARTITION BY city, category ORDER BY posted_at DESC, id) AS place, id AS job_id FROM (SELECT DISTINCT * FROM p)""")
+def digest_lists(spark, sf):
+    """The lists of all criteria, of which each alert has a head."""
+    return A.places(alerts(spark, sf), jobs(spark, sf))[1].drop("posted_at")
+
+
 @query("DIG-2-rows", AW + f", {MATCH} SELECT alert_id, row_number() OVER (PARTITION BY alert_id ORDER BY posted_at DESC, job_id) AS rank, job_id FROM hits")
 def digest_lines(spark, sf):
     """DIG-2's lists as rows, so that an alert that takes every job is no single value."""
-    return A.digest_rows(A.match_alerts(alerts(spark, sf), jobs(spark, sf)))[0].select("alert_id", "rank", "job_id")
+    return A.digest_rows(alerts(spark, sf), jobs(spark, sf)).drop("posted_at")
 
 
 @query("LIF-5", AW + "SELECT alert_id, (CASE WHEN is_active AND alert_id % 6 = 0 THEN coalesce(confirmed_at, TIMESTAMP '2001-08-01') ELSE confirmed_at END)::VARCHAR AS confirmed_at, is_active AND alert_id % 6 <> 1 AS is_active FROM alerts")

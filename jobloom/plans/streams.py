@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
 from ..operators.export import write_run_metrics
+from ..operators.ordered import shared_folder
 from ..operators.resolve import content_hash
 from ..operators.snapshots import Snapshots
 from ..streaming import streams as S
@@ -32,13 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def folder(spark, name: str) -> str:
-    """A new folder below the shared one; a temporary one only where none is set and all is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="jobloom-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"stream-{name}")
 
 
 def events(spark, sf):

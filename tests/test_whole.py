@@ -3,13 +3,14 @@
 import unicodedata
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from jobloom import plans
 from jobloom.functions import text
-from jobloom.operators import alerts, resolve, serve
+from jobloom.operators import alerts, ordered, resolve, serve
 from jobloom.plans import extracting
 
 SF = "/root/testdata/sf0.001"
@@ -76,16 +77,6 @@ def test_links_are_rows_not_sets(spark):
     assert "collect_" not in plan(plans.queries()["JN-3"](spark, SF)) if Path(SF).is_dir() else True
 
 
-def test_digest_rows_rank_every_match(spark):
-    matches = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN 7 ELSE id % 5 END AS alert_id", "id AS job_id", "timestamp_seconds(id % 17) AS posted_at").repartition(6)
-    rows, heads = alerts.digest_rows(matches)
-    want = {}
-    for r in sorted(matches.collect(), key=lambda r: (r["alert_id"], -r["posted_at"].timestamp(), r["job_id"])):
-        want.setdefault(r["alert_id"], []).append(r["job_id"])
-    assert {(r["alert_id"], r["rank"]): r["job_id"] for r in rows.collect()} == {(a, n): j for a, js in want.items() for n, j in enumerate(js, 1)}
-    assert {r["alert_id"]: (r["n"], r["subject"]) for r in heads.collect()} == {a: (len(js), f"{len(js)} new jobs") for a, js in want.items()}
-
-
 def test_signups_fold_over_many_batches_and_from_states(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
@@ -109,20 +100,71 @@ def test_sitemap_files_grow_in_number_not_in_size(spark):
     assert max(sizes) <= 50_000 and sum(sizes) == 1_500_000 and len(sizes) == 31
 
 
-def test_alerts_without_criteria_meet_every_job_in_parts(spark):
-    jobs = spark.range(500).selectExpr("id", "true AS is_active", "CASE WHEN id % 3 > 0 THEN 'c' || id % 2 END AS city", "CASE WHEN id % 4 > 0 THEN 'k' || id % 3 END AS category", "timestamp_seconds(id * 100) AS posted_at")
-    rows = [(i, c, k, t) for i, (c, k, t) in enumerate((c, k, t) for c in (None, "c0", "c1", "c9") for k in (None, "k0", "k2") for t in (0, 20_000))]
-    made = spark.createDataFrame(rows, "alert_id long, city string, category string, t long").selectExpr("alert_id", "city", "category", "true AS is_active", "timestamp_seconds(t) AS confirmed_at", "CAST(NULL AS timestamp) AS last_sent_at")
-    have = [(r["id"], r["city"], r["category"], r["posted_at"].timestamp()) for r in jobs.collect()]
+@pytest.fixture
+def subscriptions(spark):
+    jobs = spark.range(500).selectExpr("id", "true AS is_active", "CASE WHEN id % 3 > 0 THEN 'c' || id % 2 END AS city", "CASE WHEN id % 4 > 0 THEN 'k' || id % 3 END AS category", "CASE WHEN id != 77 THEN timestamp_seconds(id div 2 * 200) END AS posted_at").repartition(5)
+    rows = [(i, c, k, t) for i, (c, k, t) in enumerate((c, k, t) for c in (None, "c0", "c1", "c9") for k in (None, "k0", "k2") for t in (0, 20_000, 49_800))]
+    made = spark.createDataFrame(rows, "alert_id long, city string, category string, t long").selectExpr("alert_id", "city", "category", "alert_id != 5 AS is_active", "timestamp_seconds(t) AS confirmed_at", "CAST(NULL AS timestamp) AS last_sent_at")
+    have = [(r["id"], r["city"], r["category"], r["posted_at"].timestamp()) for r in jobs.collect() if r["posted_at"]]
     start = made.first()["confirmed_at"].timestamp()
-    want = sorted((a, j) for a, c, k, t in rows for j, jc, jk, at in have if (c is None or c == jc) and (k is None or k == jk) and at - start > t)
-    for salts in (1, 64):
-        matches = alerts.match_alerts(made, jobs, salts)
-        assert sorted((r["alert_id"], r["job_id"]) for r in matches.collect()) == want
-    lists = {r["alert_id"]: r for r in alerts.digests(matches).collect()}
-    assert all(r["jobs"] == sorted((j for a, j in want if a == i), reverse=True) and r["n"] == len(r["jobs"]) for i, r in lists.items())
-    top = {r["alert_id"]: r for r in alerts.digests(matches, 3).collect()}
-    assert all(r["jobs"] == lists[i]["jobs"][:3] and r["n"] == lists[i]["n"] for i, r in top.items())
+    hits = [(a, -at, j) for a, c, k, t in rows if a != 5 for j, jc, jk, at in have if (c is None or c == jc) and (k is None or k == jk) and at - start > t]
+    want = {}
+    for a, _, j in sorted(hits):
+        want.setdefault(a, []).append(j)
+    return made, jobs, want
+
+
+def test_places_give_every_match_in_its_order(spark, subscriptions):
+    made, jobs, want = subscriptions
+    assert sorted((r["alert_id"], r["job_id"]) for r in alerts.match_alerts(made, jobs).collect()) == sorted((a, j) for a, js in want.items() for j in js)
+    heads, lists = alerts.places(made, jobs)
+    assert {r["alert_id"]: (r["n"], r["subject"]) for r in alerts.digest_heads(heads).collect()} == {a: (len(js), f"{len(js)} new job{'s' * (len(js) != 1)}") for a, js in want.items()}
+    for size in (1, 7, 1024):
+        rows = {(r["alert_id"], r["rank"]): r["job_id"] for r in alerts.blocks(heads, lists, size).select("alert_id", F.inline("jobs").alias("rank", "job_id", "at")).collect()}
+        assert rows == {(a, n): j for a, js in want.items() for n, j in enumerate(js, 1)}
+    assert {r["alert_id"]: (r["n"], r["jobs"]) for r in alerts.digests(made, jobs).collect()} == {a: (len(js), js) for a, js in want.items()}
+    assert {r["alert_id"]: (r["n"], r["jobs"]) for r in alerts.digests(made, jobs, 3).collect()} == {a: (len(js), js[:3]) for a, js in want.items()}
+
+
+def test_rows_of_places_grow_with_alerts_and_jobs_not_with_pairs(spark):
+    def rows(n):
+        jobs = spark.range(n).selectExpr("id", "true AS is_active", "CAST(NULL AS string) AS city", "CAST(NULL AS string) AS category", "timestamp_seconds(id + 10) AS posted_at")
+        made = spark.range(n).selectExpr("id AS alert_id", "CAST(NULL AS string) AS city", "CAST(NULL AS string) AS category", "true AS is_active", "timestamp_seconds(0) AS confirmed_at", "CAST(NULL AS timestamp) AS last_sent_at")
+        heads, lists = alerts.places(made, jobs)
+        assert heads.agg(F.sum("n")).first()[0] == n * n
+        return heads.count() + lists.count()
+
+    assert [rows(n) for n in (500, 2000)] == [1000, 4000]
+
+
+def test_running_sums_and_quantiles_of_one_large_group(spark):
+    rows = spark.range(40_000).selectExpr("CASE WHEN id % 3 > 0 THEN 'big' WHEN id % 2 = 0 THEN 'g' || id % 4 END AS g", "CASE WHEN id % 10 != 7 THEN double((id * 7919) % 30011) END AS x").repartition(7)
+    summed = ordered.running(rows.withColumn("id", F.monotonically_increasing_id()), [F.asc_nulls_first("x"), F.asc("id")], F.lit(2)).collect()
+    assert sorted(r["upto"] for r in summed) == list(range(2, 80_002, 2))
+    by = {}
+    for r in rows.collect():
+        if r["x"] is not None:
+            by.setdefault(r["g"], []).append(r["x"])
+    got = {r["g"]: (r["n"], r["a"], r["b"], r["c"]) for r in ordered.quantiles(rows, ["g"], "x", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in by.items()}
+    assert all(np.allclose(got[k][1:], np.quantile(v, [0, 0.37, 1])) for k, v in by.items())
+    plan = ordered.quantiles(rows, ["g"], "x", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_" not in plan
+    assert ordered.quantiles(rows.limit(0), ["g"], "x", {"m": 0.5}).collect() == []
+
+
+def test_work_between_jobs_needs_a_shared_folder_off_one_machine(spark, monkeypatch):
+    context = spark.sparkContext
+    monkeypatch.setattr(type(context), "master", property(lambda _: "spark://host:7077"))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        monkeypatch.setattr(type(context), "getCheckpointDir", lambda _: None)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            ordered.shared_folder(spark, "x")
+    finally:
+        spark.conf.set("spark.checkpoint.dir", folder)
+    assert ordered.shared_folder(spark, "x").startswith(folder)
 
 
 def test_a_stream_that_starts_again_without_new_files_keeps_its_snapshot(spark, tmp_path):
