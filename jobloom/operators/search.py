@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem
+from .stored_index import StoredIndex
 
 # The English stop words that text indexes commonly leave out.
 STOP_WORDS = tuple(
@@ -25,7 +26,10 @@ def tokens(c: Column) -> Column:
 
 
 def build_index(df: DataFrame, fields: dict[str, str], id_col: str = "id", stemmed: bool = False) -> DataFrame:
-    """(term, id, weight, pos) of all fields; ``fields`` gives a column for each weight. ``stemmed`` terms are English stems."""
+    """(term, id, weight, pos) of all fields; ``fields`` gives a column for each weight. ``stemmed`` terms are English stems.
+
+    ``stored_index.write_index`` keeps such rows (not stemmed) for searches that read only their words' blocks.
+    """
     parts = [df.select(F.col(id_col).alias("id"), F.lit(w).alias("weight"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for w, c in fields.items()]
     rows = reduce(DataFrame.union, parts).filter(~F.col("term").isin(*STOP_WORDS))
     return rows.withColumn("term", stem(F.col("term"))) if stemmed else rows
@@ -40,17 +44,19 @@ def parse_clauses(queries: DataFrame) -> DataFrame:
     return clauses.withColumn("words", F.filter("all", lambda w: ~w.isin(*STOP_WORDS))).filter(F.size("words") > 0).drop("all")
 
 
-def web_search(index: DataFrame, queries: DataFrame, stemmed: bool = False) -> DataFrame:
+def web_search(index: DataFrame | StoredIndex, queries: DataFrame, stemmed: bool = False) -> DataFrame:
     """(qid, id) of documents that match: all clauses of some branch, none of its negated ones.
 
     ``queries`` are (qid, q) in web syntax, or a table of clauses as ``parse_clauses`` gives. ``stemmed`` says how the
-    index was built: the queries' words are then stemmed too.
+    index was built: the queries' words are then stemmed too. A stored index serves both and is read by their words.
 
     A clause's words join the index by term; a phrase needs its words in one field at consecutive places, found as
     starts that all words agree on. A branch matches where its number of positive clauses does.
     """
     clauses = queries if "words" in queries.columns else parse_clauses(queries)
     words = clauses.select("qid", "branch", "clause", "negative", F.size("words").alias("size"), F.posexplode("words").alias("nth", "term"))
+    if isinstance(index, StoredIndex):
+        index = index.lookup(words, stemmed)
     words = words.withColumn("term", stem(F.col("term"))) if stemmed else words
     hits = words.join(index, "term").select("qid", "branch", "clause", "negative", "size", "id", "weight", (F.col("pos") - F.col("nth")).alias("start"), "nth")
     met = hits.groupBy("qid", "branch", "clause", "negative", "size", "id", "weight", "start").agg(F.countDistinct("nth").alias("n")).filter("n = size")
@@ -61,8 +67,8 @@ def web_search(index: DataFrame, queries: DataFrame, stemmed: bool = False) -> D
     return yes.join(no, ["qid", "branch", "id"], "left_anti").select("qid", "id").distinct()
 
 
-def search(feed: DataFrame, index: DataFrame, text: DataFrame, filters: dict[str, list], number: int, size: int, stemmed: bool = False) -> dict[str, DataFrame]:
-    """Text hits, facet filters, order and one page, with facet counts under the text filter."""
+def search(feed: DataFrame, index: DataFrame | StoredIndex, text: DataFrame, filters: dict[str, list], number: int, size: int, stemmed: bool = True) -> dict[str, DataFrame]:
+    """Text hits (by stem unless told otherwise), facet filters, order and one page, with facet counts under the text filter."""
     from .serve import apply_facets, facet_counts, page
 
     hits = feed.join(web_search(index, text, stemmed).select("id").distinct(), "id", "left_semi")

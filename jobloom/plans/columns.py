@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -9,7 +10,8 @@ from ..functions import money as M
 from ..functions import nested as N
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import export, requests, search, serve
+from ..operators import export, requests, search, serve, stored_index
+from ..operators.ordered import shared_folder
 from .bindings import AS_OF, JOBS, NORMAL, as_of, jobs, table
 
 QUERIES, ORACLE = {}, {}
@@ -299,9 +301,12 @@ SELECT 3, id FROM has WHERE term IN ('password', 'token') UNION
 SELECT 4, id FROM has WHERE term = 'erin' AND id NOT IN (SELECT id FROM has WHERE term = 'ering')""")
 def web(spark, sf):
     found = search.build_index(docs(spark, sf).withColumnRenamed("doc_id", "id"), {"C": "text"})
+    return search.web_search(found, asked_queries(spark, sf))
+
+
+def asked_queries(spark, sf):
     asked = ["onthe the er", '"rights reserved"', "password or token", "erin -ering"]
-    rows = table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("qid")).filter("qid <= 4").withColumn("q", F.element_at(F.array(*[F.lit(a) for a in asked]), F.col("qid")))
-    return search.web_search(found, rows)
+    return table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("qid")).filter("qid <= 4").withColumn("q", F.element_at(F.array(*[F.lit(a) for a in asked]), F.col("qid")))
 
 
 @query("SRCH-1-english")
@@ -320,14 +325,36 @@ def english_web(spark, sf):
     return search.web_search(found, rows, stemmed=True)
 
 
-@query("SRCH-3", f"""WITH {JOBS}, hits AS (SELECT * FROM jobs WHERE is_active AND category = '1-URGENT'),
-f AS (SELECT 'city' AS facet, city AS value, count(*) AS n FROM hits GROUP BY 2) SELECT facet, value, n FROM f
+@query("SRCH-1-stored", f"WITH {INDEX} SELECT term, count(DISTINCT id) AS docs, count(*) AS places, (count(*) + 4095) // 4096 AS blocks FROM kept GROUP BY 1")
+def stored_terms(spark, sf):
+    """The dictionary of the stored index."""
+    rows = search.build_index(docs(spark, sf).withColumnRenamed("doc_id", "id"), {"C": "text"})
+    return stored_index.write_index(rows, shared_folder(spark, "index")).terms().select("term", "docs", "places", "blocks")
+
+
+@query("SRCH-2-stored", ORACLE["SRCH-2"])
+def stored_web(spark, sf):
+    """SRCH-2 over the stored index, which is read by the words asked."""
+    rows = search.build_index(docs(spark, sf).withColumnRenamed("doc_id", "id"), {"C": "text"})
+    return search.web_search(stored_index.write_index(rows, shared_folder(spark, "index"), folders=64), asked_queries(spark, sf))
+
+
+@query("SRCH-3", f"""WITH {JOBS}, feed AS (SELECT *, posted_at::DATE AS posted_day, row_number() OVER (PARTITION BY employer_name, posted_at::DATE ORDER BY posted_at DESC, id) AS place FROM jobs WHERE is_active),
+hits AS (SELECT * FROM feed WHERE category = '1-URGENT'),
+page AS (SELECT slug, row_number() OVER (ORDER BY posted_day DESC, place, posted_at DESC, id) AS n FROM hits WHERE city = 'NATION_1')
+SELECT 'page' AS part, slug AS value, n FROM page WHERE n <= 25
+UNION ALL SELECT 'city', city, count(*) FROM hits GROUP BY 2
 UNION ALL SELECT 'employment_type', employment_type, count(*) FILTER (city = 'NATION_1') FROM hits GROUP BY 2""")
 def searched(spark, sf):
+    """The first page of a search by stem with a facet set, and the facet counts beside it."""
     feed = serve.feed_rank(jobs(spark, sf))
-    idx = search.build_index(feed.select("id", F.concat_ws(" ", "category", "city").alias("title")), {"A": "title"})
-    asked = table(spark, sf, "region").filter("r_regionkey = 0").select(F.lit(1).alias("qid"), F.lit("urgent").alias("q"))
-    return search.search(feed, idx, asked, {"city": ["NATION_1"], "employment_type": []}, 1, 25)["facets"]
+    rows = search.build_index(feed.select("id", F.concat_ws(" ", "category", "city").alias("title")), {"A": "title"})
+    index = stored_index.write_index(rows, shared_folder(spark, "index"))
+    asked = table(spark, sf, "region").filter("r_regionkey = 0").select(F.lit(1).alias("qid"), F.lit("urgently").alias("q"))
+    found = search.search(feed, index, asked, {"city": ["NATION_1"], "employment_type": []}, 1, 25)
+    place = F.row_number().over(Window.orderBy(*serve.newest_order()))  # one page
+    page = found["page"].select(F.lit("page").alias("part"), F.col("slug").alias("value"), place.cast("long").alias("n"))
+    return page.unionByName(found["facets"].withColumnRenamed("facet", "part"))
 
 
 @query("SNK-4", f"""WITH {JOBS} SELECT slug, company AS title, strftime(posted_at, '%Y-%m-%d') AS posted, city, CASE WHEN salary_period IS NOT NULL THEN upper(salary_period) END AS unit, id::VARCHAR AS source_job FROM jobs""")

@@ -155,11 +155,11 @@ def test_running_sums_and_quantiles_of_one_large_group(spark):
 
 def test_work_between_jobs_needs_a_shared_folder_off_one_machine(spark, monkeypatch):
     context = spark.sparkContext
-    monkeypatch.setattr(type(context), "master", property(lambda _: "spark://host:7077"))
+    monkeypatch.setattr(context, "master", "spark://host:7077")
     folder = spark.conf.get("spark.checkpoint.dir")
     spark.conf.unset("spark.checkpoint.dir")
     try:
-        monkeypatch.setattr(type(context), "getCheckpointDir", lambda _: None)
+        monkeypatch.setattr(context, "getCheckpointDir", lambda: None)
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             ordered.shared_folder(spark, "x")
     finally:
