@@ -24,8 +24,12 @@ PLACEHOLDERS = (
 )
 CITY_CHARS, CITY_WORDS = 40, 5
 # Words of a title that keep their capitals, and those that stay small.
-ACRONYMS = ("RN", "LPN", "RPN", "NP", "PSW", "HCA", "MLT", "MRT", "SLP", "ICU", "ER", "OR", "MRI", "CT", "II", "III", "IV", "VI", "VII", "VIII", "IX")
-SMALL = ("a", "an", "and", "at", "by", "de", "for", "in", "of", "on", "or", "the", "to", "with")
+ACRONYMS = (
+    "RN", "RPN", "LPN", "NP", "PSW", "HCA", "RCA", "MLT", "MRT", "SLP", "MOA", "LPNS",
+    "ICU", "NICU", "PICU", "CCU", "ER", "OR", "UPCC", "MHSU", "ECG", "EEG", "MRI", "CT",
+    "I", "II", "III", "IV", "V",
+)
+SMALL = ("of", "and", "the", "at", "in", "for", "to", "on", "or", "a")
 
 
 # Fixed value: the combining marks that deaccenting removes.
@@ -110,25 +114,25 @@ def clean_city(c: Column, default: Column | None = None) -> Column:
     return F.when(is_plausible_city(v), v).otherwise(F.coalesce(salvage_city(v), F.when(is_plausible_city(other), other), v))
 
 
-def title_case(c: Column) -> Column:
-    """Words capitalised; acronyms, numerals and province codes kept upper, small words lower but the first."""
-    keep = F.array(*[F.lit(w) for w in (*ACRONYMS, *PROVINCES)])
+def _cased(c: Column, kept: Column) -> Column:
+    """Words of letters and apostrophes capitalised; ``kept(upper word)`` ones upper, small ones but the first lower."""
+    runs = F.regexp_extract_all(c, F.lit("([A-Za-z'’]+|[^A-Za-z'’]+)"), 1)  # words and what is between them in turn
+    first = F.when(c.rlike("^[A-Za-z'’]"), 0).otherwise(1)
     small = F.array(*[F.lit(w) for w in SMALL])
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
+    one = lambda w, i: F.when(kept(F.upper(w)), F.upper(w)).when((i != first) & F.array_contains(small, F.lower(w)), F.lower(w)).otherwise(capital(w))
+    return F.array_join(F.transform(runs, one), "")
 
-    def one(w: Column, i: Column) -> Column:
-        bare = F.regexp_replace(F.upper(w), "[^A-Z]", "")
-        return (
-            F.when(F.array_contains(keep, bare) & (F.length(bare) > 1), F.upper(w))
-            .when((i > 0) & F.array_contains(small, F.lower(w)), F.lower(w))
-            .otherwise(F.regexp_replace(F.initcap(F.regexp_replace(F.lower(w), "([-/(])", "$1 ")), "([-/(]) ", "$1"))
-        )
 
-    return F.array_join(F.transform(F.split(squeeze(c), " "), one), " ")
+def title_case(c: Column, province: Column | None = None) -> Column:
+    """A name in title case; of codes only the given province's keeps its capitals."""
+    own = F.lit(None).cast("string") if province is None else F.upper(province)
+    return _cased(c, lambda w: F.coalesce(w == own, F.lit(False)))
 
 
 def display_title(c: Column) -> Column:
-    """The title in title case where it is all capitals, else as it is."""
-    return F.when((F.upper(c) == c) & c.rlike("[A-Z]{2}"), title_case(c)).otherwise(c)
+    """The title in title case with acronyms and numerals in capitals, where it is all capitals; else as it is."""
+    return F.when(F.upper(c) == c, _cased(c, lambda w: w.isin(*ACRONYMS))).otherwise(c)
 
 
 # Elements that a description may keep.

@@ -61,8 +61,8 @@ def slugs(spark, sf):
     return titled(spark, sf).select("id", T.slugify_title(F.col("title"), F.col("id").cast("string")).alias("slug"))
 
 
-CITIES = ["Toronto", " tbd ", "Killarney service will be provided to Boissevain, Cartwright", "Ottawa, ON", "12345", "lower case words that go on and on here", "Saint John / Moncton", None]
-CLEAN = ["Toronto", "Sudbury", "Killarney", "Ottawa, ON", "Sudbury", "Sudbury", "Saint John / Moncton", None]
+CITIES = ["Toronto", " tbd ", "Fernie service may also be offered in Hosmer, Elko", "Ottawa, ON", "12345", "lower case words that go on and on here", "Saint John / Moncton", None]
+CLEAN = ["Toronto", "Sudbury", "Fernie", "Ottawa, ON", "Sudbury", "Sudbury", "Saint John / Moncton", None]
 
 
 def _cities(spark, sf):
@@ -80,9 +80,28 @@ def plausible(spark, sf):
     return _cities(spark, sf).select("id", T.is_plausible_city(F.col("city")).alias("ok"))
 
 
-@query("STR-5", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' RN II of Care' AS title FROM part")
+#: Shouted words around a part's name, by its key.
+SHOUTED = ("nurse on call, {}", "moa - upcc {}", "ecg technician (nicu) {}", "rn with icu of the {}", "o'neil's {} ward v", "the {} or bc/on lpns ii")
+
+
+def _titled(kept: str) -> str:
+    word = r"[A-Za-z'’]"
+    runs = rf"regexp_extract_all(t, '({word.replace(chr(39), chr(39) * 2)}+|[^{word.replace(chr(39), chr(39) * 2)[1:]}+)', 1)"
+    small = ", ".join(f"'{w}'" for w in T.SMALL)
+    return f"array_to_string(list_transform({runs}, lambda w, i: CASE WHEN {kept} THEN upper(w) WHEN i > 1 AND lower(w) IN ({small}) THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), '')"
+
+
+SHOUTED_SQL = ", ".join("'" + s.replace("'", "''") + "'" for s in SHOUTED)
+CAPITALS = ", ".join(f"'{w}'" for w in T.ACRONYMS)
+
+
+@query("STR-5", f"""WITH s AS (SELECT p_partkey AS id, upper(replace([{SHOUTED_SQL}][(p_partkey % 6 + 1)::INT], '{{}}', p_name)) AS t FROM part)
+SELECT id, {_titled(f"upper(w) IN ({CAPITALS})")} AS title, {_titled("upper(w) = CASE id % 2 WHEN 0 THEN 'BC' ELSE 'ON' END")} AS facility FROM s""")
 def cased(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), T.display_title(F.upper(F.concat("p_name", F.lit(" rn ii of care")))).alias("title"))
+    k = F.col("p_partkey")
+    shouted = F.upper(F.replace(F.element_at(F.array(*[F.lit(s) for s in SHOUTED]), (k % 6 + 1).cast("int")), F.lit("{}"), F.col("p_name")))
+    rows = table(spark, sf, "part").select(k.alias("id"), shouted.alias("t"))
+    return rows.select("id", T.display_title(F.col("t")).alias("title"), T.title_case(F.col("t"), F.when(F.col("id") % 2 == 0, "bc").otherwise("on")).alias("facility"))
 
 
 @query("STR-6", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script.*?</script\s*>|<style.*?</style\s*>', '', 'gis'), '</?(?:!doctype|html|head|meta|title|body|nav|a|div|article|h1|footer)(?:\s[^>]*)?>', '', 'gi'), '<br[^>]*>', '<br />', 'gi'), '<(/?)(p|ul|ol|li|strong|em|b|i)(?:\s[^>]*)?>', '<\1\2>', 'gi') AS clean FROM pages")

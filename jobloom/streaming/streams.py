@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.alerts import FOLDED, fold_requests
+from .slices import LIMIT, Slices
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -27,58 +28,19 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
-#: Slices of a snapshot by key; a batch reads and rewrites those that it touches.
-SLICES = 16
-
-
-def ingest_stream(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], stream_key: list[str], key: list[str], slices: int = SLICES) -> DataFrame:
+def ingest_stream(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], DataFrame], stream_key: list[str], key: list[str], limit: int = LIMIT) -> DataFrame:
     """Merges each batch into a snapshot by the batch operator ``step(batch, snapshot or None)``.
 
-    The key is ``stream_key`` in a batch and ``key`` in the snapshot.
+    The key is ``stream_key`` in a batch and ``key`` in the snapshot, which is kept in slices (``slices``).
     """
-    _merge_slices(stream, folder, step, [F.col(c) for c in stream_key], [F.col(c) for c in key], slices)
-    found = _latest(stream.sparkSession, folder)
-    if not found:
-        return step(stream.sparkSession.createDataFrame([], stream.schema), None)
-    return stream.sparkSession.read.parquet(*_paths(folder, found))
-
-
-def _merge_slices(stream: DataFrame, folder: str, step: Callable, stream_key: list[Column], key: list[Column], slices: int) -> None:
-    """Runs ``step`` over the batches, each against the slices of the folder's table that it touches.
-
-    A slice holds keys of one hash. A batch writes its slices as versions of its own number and starts from the versions
-    before it, so a batch that runs again writes the same ones again.
-    """
-    spark = stream.sparkSession
-    cut = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(slices)).cast("int")
+    state = Slices(stream.sparkSession, f"{folder}/state", limit)
+    _each_batch(stream, folder, lambda batch, number: state.merge(batch, number, [F.col(c) for c in stream_key], [F.col(c) for c in key], step))
+    found = state.read()
+    return step(stream.sparkSession.createDataFrame([], stream.schema), None) if found is None else found
 
-    def merge(batch: DataFrame, number: int) -> None:
-        touched = {r[0] for r in batch.select(cut(stream_key)).distinct().collect()}  # at most ``slices`` numbers
-        before = {n: v for n, v in _latest(spark, folder, number).items() if n in touched}
-        if touched:
-            new = step(batch, spark.read.parquet(*_paths(folder, before)) if before else None)
-            new = new.withColumns({"slice": cut(key), "v": F.lit(number)}).repartition("slice")
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slice", "v").parquet(folder)
 
-    progress = f"{folder.rstrip('/')}-progress"
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
-
-
-def _paths(folder: str, versions: dict[int, int]) -> list[str]:
-    return [f"{folder}/slice={n}/v={v}" for n, v in sorted(versions.items())]
-
-
-def _latest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
-    """The newest version of each slice, or the newest below a batch's number: at most a folder a slice and batch."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found: dict[int, int] = {}
-    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/slice=*/v=*")) or []:
-        path = status.getPath()
-        n, v = int(path.getParent().getName().split("=")[1]), int(path.getName().split("=")[1])
-        if before is None or v < before:
-            found[n] = max(v, found.get(n, -1))
-    return found
+def _each_batch(stream: DataFrame, folder: str, fn: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{folder.rstrip('/')}-progress").trigger(availableNow=True).start().awaitTermination()
 
 
 def first_sightings(stream: DataFrame, key: list[str], ts: str, within: str) -> DataFrame:
@@ -108,17 +70,29 @@ def unseen_stream(stream: DataFrame, key: str, ts: str, days: int, delay: str =
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def signup_stream(stream: DataFrame, folder: str, slices: int = SLICES) -> DataFrame:
+def signup_stream(stream: DataFrame, folder: str, limit: int = LIMIT) -> DataFrame:
     """(request_id, outcome) of sign-up requests, folded by address and criteria over all batches.
 
-    A batch writes its outcomes and the states of the slices of subscriptions that it touches.
+    A batch folds its requests into the states of the slices of subscriptions that it touches, and writes their outcomes
+    to a folder of its own number, which a batch that runs again writes over.
     """
     spark = stream.sparkSession
     key = [F.col("email"), *[F.coalesce(c, F.lit("")) for c in ("city", "category")]]
-    _merge_slices(stream, folder, fold_requests, key, key, slices)
-    if not _latest(spark, folder):
+    state = Slices(spark, f"{folder}/state", limit)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        def step(requests: DataFrame, states: DataFrame | None) -> DataFrame:
+            at = f"{folder}/outcomes/batch={number}"
+            fold_requests(requests, states).write.mode("overwrite").parquet(at)
+            folded = spark.read.schema(FOLDED).parquet(at)
+            return folded.filter("is_state")
+
+        state.merge(batch, number, key, key, step)
+
+    _each_batch(stream, folder, fold)
+    if state.read() is None:
         return spark.createDataFrame([], "request_id long, outcome string")
-    return spark.read.schema(FOLDED).parquet(folder).filter("NOT is_state").select("request_id", "outcome")
+    return spark.read.schema(f"{FOLDED}, batch long").parquet(f"{folder}/outcomes").filter("NOT is_state").select("request_id", "outcome")
 
 
 def daily_counts(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

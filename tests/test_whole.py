@@ -179,7 +179,7 @@ def test_a_stream_that_starts_again_without_new_files_keeps_its_snapshot(spark,
         return lifecycle.merge_raw(before, new, at, ["k"])
 
     def run():
-        return {r["k"]: r["x"] for r in streams.ingest_stream(streams.read_stream(spark, source, "k long, x long"), f"{tmp_path}/out", step, ["k"], ["k"], slices=4).collect()}
+        return {r["k"]: r["x"] for r in streams.ingest_stream(streams.read_stream(spark, source, "k long, x long"), f"{tmp_path}/out", step, ["k"], ["k"], limit=10).collect()}
 
     spark.range(40).selectExpr("id AS k", "id AS x").coalesce(1).write.parquet(source)
     assert run() == run() == {i: i for i in range(40)}
@@ -194,6 +194,6 @@ def test_signups_over_many_files_are_folded_as_in_one_batch(spark, tmp_path):
     want = {r["request_id"]: r["outcome"] for r in alerts.apply_signups(df).collect()}
     for first in range(0, 120, 40):
         df.filter(f"request_id >= {first} AND request_id < {first + 40}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        got = streams.signup_stream(streams.read_stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", slices=3).collect()
+        got = streams.signup_stream(streams.read_stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", limit=3).collect()
         assert {r["request_id"]: r["outcome"] for r in got} == {k: v for k, v in want.items() if k < first + 40}
     assert {"send", "throttled"} <= set(want.values())
