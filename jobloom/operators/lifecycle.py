@@ -147,3 +147,33 @@ def fresh_rows(list_pages: DataFrame) -> DataFrame:
     """List rows first seen on their page: of a repeated id in a crawl the one at the smallest offset."""
     first = list_pages.groupBy("source_id", "job_id").agg(F.min("page_offset").alias("page_offset"))
     return first.select("source_id", "page_offset", "job_id")
+
+
+#: Rows of a full list page, and the offset at which a crawl is given up.
+PAGE_ROWS, LAST_OFFSET = 20, 2000
+
+
+def crawl_ends(list_pages: DataFrame, size: int = PAGE_ROWS, last_offset: int | None = LAST_OFFSET, least: int | None = None) -> DataFrame:
+    """(source_id, last_page, last_useful_page): where each source's crawl ends, and the last page with something new.
+
+    ``list_pages`` are (source_id, page_offset, job_id) rows of pages at multiples of ``size``, with ``total`` where the
+    list states one; only that of the first page counts, if it is above 0. A crawl ends at a page that is short (below
+    ``least`` rows, by default ``size``), brings nothing that an earlier page has not brought, or reaches the total or the last offset, and before a page that was not
+    landed. Ends are minima over a source's pages, so no task holds a source. ``last_useful_page`` is null where even the
+    first page brings nothing.
+    """
+    key = ["source_id", "page_offset"]
+    total = F.max("total") if "total" in list_pages.columns else F.lit(None).cast("long")
+    pages = list_pages.groupBy(*key).agg(F.count("*").alias("rows"), total.alias("total"))
+    new = fresh_rows(list_pages).groupBy(*key).agg(F.count("*").alias("fresh"))
+    first = pages.filter("page_offset = 0 AND total > 0").select("source_id", F.col("total").alias("_total"))
+    before = pages.select("source_id", (F.col("page_offset") + size).alias("page_offset"), F.lit(True).alias("_follows"))
+    told = pages.join(new, key, "left").join(before, key, "left").join(first, "source_id", "left")
+    after = F.col("page_offset") + size
+    more = (F.col("rows") >= (least or size)) & F.col("fresh").isNotNull() & F.coalesce(after < F.col("_total"), F.lit(True))
+    more = more if last_offset is None else more & (after < last_offset)
+    gap = F.when((F.col("page_offset") > 0) & F.col("_follows").isNull(), F.col("page_offset") - size)
+    ends = told.groupBy("source_id").agg(F.least(F.min(F.when(~more, F.col("page_offset"))), F.min(gap), F.max("page_offset")).alias("last_page"))
+    # before a gap the last page is the last one of the run from the first page
+    run = told.join(ends, "source_id").filter("page_offset <= last_page")
+    return run.groupBy("source_id").agg(F.max("page_offset").alias("last_page"), F.max(F.when(F.col("fresh").isNotNull(), F.col("page_offset"))).alias("last_useful_page"))

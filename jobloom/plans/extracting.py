@@ -239,6 +239,23 @@ def sitemap_files(rows):
     return rows.groupBy(F.floor(key() / SITEMAP_ADDRESSES).alias("file")).agg(F.array_join(F.collect_list(entry), "").alias("content"))
 
 
+@query("SRC-5-index", "SELECT p_partkey::VARCHAR AS id, '2001-06-02 00:00:00' AS lastmod FROM part WHERE p_partkey % 3 <> 0")
+def sitemap_index(spark, sf):
+    """SRC-5 by way of three levels of indexes that also name each other, themselves and what was not landed."""
+    base, k = "https://jobs.example.org/", F.floor(key() / 40)
+    entry = cat("<url><loc>https://jobs.example.org/job/", key().cast("string"), "/x</loc>", F.when(key() % 3 != 0, "<lastmod>2001-06-02T00:00:00Z</lastmod>").otherwise(""), "</url>")
+    maps = parts(spark, sf).groupBy(k.alias("n")).agg(F.array_join(F.collect_list(entry), "").alias("content"))  # 40 entries a file
+    name = lambda kind, c: cat(base, kind, c.cast("string"), ".xml")
+    loc = lambda c: cat("<sitemap><loc>", c, "</loc></sitemap>")
+    index = lambda body: cat("<?xml?><sitemapindex xmlns='x'>", body, loc(F.lit(f"{base}gone.xml")), "</sitemapindex>")
+    listed = maps.groupBy(F.floor(F.col("n") / 50).alias("j")).agg(F.array_join(F.collect_list(loc(name("map", F.col("n")))), "").alias("body"))  # 50 files an index
+    middle = listed.select(name("part", F.col("j")).alias("url"), index(cat(F.col("body"), loc(F.lit(f"{base}root.xml")), loc(name("part", F.col("j"))))).alias("content"))
+    root = listed.agg(F.array_join(F.collect_list(loc(name("part", F.col("j")))), "").alias("body")).select(F.lit(f"{base}root.xml").alias("url"), index(cat(F.col("body"), loc(F.lit(f"{base}root.xml")))).alias("content"))
+    files = maps.select(name("map", F.col("n")).alias("url"), "content").union(middle).union(middle).union(root)
+    found = X.resolve_sitemaps(spark.createDataFrame([(f"{base}root.xml",)], "url string"), files)
+    return X.parse_sitemap(found, r"/job/(\d+)/", True).select("id", F.col("lastmod").cast("string").alias("lastmod"))
+
+
 @query("SRC-6", r"SELECT page_id, regexp_extract(x, '^([^<]*)</a>', 1) AS word, count(*) > 0 AS listed FROM (SELECT page_id, unnest(string_split_regex(html, '<li><a href=[^>]*>')[2:]) AS x FROM pages) WHERE regexp_extract(x, '^([^<]*)</a>', 1) <> '' GROUP BY 1, 2")
 def list_source(spark, sf):
     rows = X.parse_list_rows(table(spark, sf, "pages"), ["page_id"], "<li>", {"word": r"^<a href=[^>]*>([^<]*)</a>"})

@@ -184,6 +184,20 @@ def novelty(spark, sf):
     return fresh_rows(pages)
 
 
+@query("WIN-4-pages", """WITH r AS (SELECT event_type AS source_id, (event_id // 100 * 20)::BIGINT AS page, user_id % 97 AS job_id FROM events),
+f AS (SELECT source_id, page, job_id, row_number() OVER (PARTITION BY source_id, job_id ORDER BY page) = 1 AS fresh FROM r),
+p AS (SELECT source_id, page, count(*) AS n, count(*) FILTER (fresh) AS fresh, row_number() OVER (PARTITION BY source_id ORDER BY page) - 1 AS k FROM f GROUP BY 1, 2),
+e AS (SELECT source_id, min(page) FILTER (n < 12 OR fresh = 0 OR page + 20 >= 1500) AS stop, max(page) FILTER (page = k * 20) AS held FROM p GROUP BY 1)
+SELECT source_id, least(stop, held) AS last_page, max(page) FILTER (fresh > 0) AS last_useful_page FROM p JOIN e USING (source_id) WHERE page <= least(stop, held) GROUP BY 1, 2""")
+def crawl_end(spark, sf):
+    """Where crawls end whose lists repeat; of a hundred events each type's make one page, full from twelve rows on."""
+    from ..operators.lifecycle import crawl_ends
+
+    page = F.floor(F.col("event_id") / 100) * 20
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("source_id"), page.alias("page_offset"), (F.col("user_id") % 97).alias("job_id"))
+    return crawl_ends(rows, 20, 1500, least=12)
+
+
 ORDERED = "ORDER BY posted_day DESC, employer_day_rank, posted_at DESC, id"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nested import label_map
 from ..functions.text import html_to_text, squeeze
+from ..operators.ordered import stored
 
 JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
 
@@ -50,6 +51,26 @@ def parse_sitemap(files: DataFrame, id_pattern: str, require_lastmod: bool, cont
     return (rows.filter("lastmod IS NOT NULL") if require_lastmod else rows).select("id", "loc", "lastmod")
 
 
+def resolve_sitemaps(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(url, content) of the lists of addresses that ``roots`` (url) reach through indexes, each once.
+
+    ``files`` are landed files (url, content). The frontier holds addresses not met before, so an index that names itself
+    or one above it ends; each level is one join with the files and is written to the shared folder. Addresses without a
+    landed file are left out.
+    """
+    index = F.col("content").rlike(r"<sitemapindex[\s>]")
+    seen = frontier = stored(roots.select("url").distinct(), "sitemaps")
+    lists = files.select("url", "content").limit(0)
+    while not frontier.isEmpty():
+        met = stored(files.join(frontier, "url").groupBy("url").agg(F.max("content").alias("content")), "sitemaps")
+        lists = lists.union(met.filter(~index))
+        named = met.filter(index).select(F.explode(F.split("content", "</sitemap>")).alias("e"))
+        children = named.select(F.regexp_extract("e", r"<loc>\s*([^<\s]+)\s*</loc>", 1).alias("url")).filter("url != ''").distinct()
+        frontier = stored(children.join(seen, "url", "left_anti"), "sitemaps")
+        seen = seen.union(frontier)
+    return lists
+
+
 def parse_list_rows(pages: DataFrame, keys: list[str], row_split: str, patterns: dict[str, str], html: str = "html") -> DataFrame:
     """One row per list row with the pattern columns as text; rows without the first pattern, and repeats of it, go."""
     first = next(iter(patterns))

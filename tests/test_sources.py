@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import money, text
+from jobloom.operators import lifecycle
 from jobloom.sources import extract, lists, normalize
 
 def now():
@@ -131,3 +132,25 @@ def test_a_payload_is_parsed_once_and_bad_ones_are_kept_apart(spark, platform):
 def test_towns_of_lines_need_a_province(spark):
     df = spark.createDataFrame([(p,) for p, _ in PLACES], "p string").select(text.town_of_line(F.col("p"), F.expr("map('Home Site', 'Elm, AB')")).alias("t"))
     assert [(r["t"]["city"], r["t"]["province"]) if r["t"] else (None, None) for r in df.collect()] == [w for _, w in PLACES]
+
+
+def test_sitemap_indexes_resolve_to_lists_met_once(spark):
+    loc = lambda *urls: "".join(f"<sitemap><loc> {u} </loc></sitemap>" for u in urls)
+    index = lambda *urls: f"<sitemapindex xmlns='x'>{loc(*urls)}</sitemapindex>"
+    files = [("root", index("a", "b", "root", "gone")), ("a", index("m1", "b", "root")), ("b", index("m2", "a", "c")), ("c", index("m1", "m3")), ("stray", "<urlset/>"), *[(f"m{i}", f"<urlset><url><loc>u{i}</loc></url></urlset>") for i in (1, 2, 3)], ("m1", "<urlset/>"), ("none", None)]
+    landed = spark.createDataFrame(files, "url string, content string")
+    lists = lambda *roots: sorted(r["url"] for r in extract.resolve_sitemaps(spark.createDataFrame([(r,) for r in roots], "url string"), landed).collect())
+    assert lists("root") == ["m1", "m2", "m3"] and lists("c", "c", "stray") == ["m1", "m3", "stray"] and lists("gone") == []
+
+
+def test_crawls_end_where_nothing_new_comes(spark):
+    page = lambda source, offset, ids, total=None: [(source, offset, i, total) for i in ids]
+    rows = page("short", 0, range(20)) + page("short", 20, range(20, 35)) + page("short", 40, range(90, 99))
+    rows += page("again", 0, range(20)) + page("again", 20, range(20, 40)) + page("again", 40, range(20)) + page("again", 60, range(50, 70))
+    rows += page("total", 0, range(20), 40) + page("total", 20, range(20, 40), 0) + page("total", 40, range(40, 60), 0)
+    rows += page("zero", 0, range(20), 0) + page("zero", 20, range(20, 40), 20) + page("zero", 40, [1])
+    rows += page("gap", 0, range(20)) + page("gap", 20, range(20, 40)) + page("gap", 80, range(80, 100))
+    rows += [r for k in range(4) for r in page("last", 20 * k, range(20 * k, 20 * k + 20))]
+    rows += page("twice", 0, [5] * 20) + page("twice", 20, [5] * 20) + page("late", 20, range(20))
+    got = lifecycle.crawl_ends(spark.createDataFrame(rows, "source_id string, page_offset long, job_id long, total long"), last_offset=60).collect()
+    assert {r["source_id"]: (r["last_page"], r["last_useful_page"]) for r in got} == {"short": (20, 20), "again": (40, 20), "total": (20, 20), "zero": (40, 20), "gap": (20, 20), "last": (40, 40), "twice": (20, 0)}
