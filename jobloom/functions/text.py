@@ -135,20 +135,6 @@ def display_title(c: Column) -> Column:
     return F.when(F.upper(c) == c, _cased(c, lambda w: w.isin(*ACRONYMS))).otherwise(c)
 
 
-# Elements that a description may keep.
-ALLOWED_TAGS = ("p", "br", "ul", "ol", "li", "strong", "em", "b", "i")
-
-
-def sanitize(c: Column) -> Column:
-    """Allowed elements without attributes; script and style go with their content, other tags leave their text."""
-    c = F.regexp_replace(c, "(?i)&#xa;", "<br />")
-    c = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    allowed = "|".join(ALLOWED_TAGS)
-    c = F.regexp_replace(c, rf"(?i)</?(?!(?:{allowed})\b)[a-z!][^>]*>", "")
-    c = F.regexp_replace(c, r"(?i)<br\b[^>]*>", "<br />")
-    return F.regexp_replace(c, rf"(?i)<(/?)({allowed.replace('br|', '')})\b[^>]*>", "<$1$2>")
-
-
 def html_to_text(c: Column) -> Column:
     """Tags become spaces, basic references characters, and white space one space."""
     c = F.regexp_replace(c, "<[^>]*>", " ")

@@ -10,6 +10,7 @@ from ..functions import money as M
 from ..functions import nested as N
 from ..functions import rules as R
 from ..functions import text as T
+from ..functions.sanitizing import sanitize
 from ..operators import export, requests, search, serve, stored_index
 from ..operators.ordered import shared_folder
 from .bindings import AS_OF, JOBS, NORMAL, as_of, jobs, table
@@ -104,9 +105,18 @@ def cased(spark, sf):
     return rows.select("id", T.display_title(F.col("t")).alias("title"), T.title_case(F.col("t"), F.when(F.col("id") % 2 == 0, "bc").otherwise("on")).alias("facility"))
 
 
-@query("STR-6", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script.*?</script\s*>|<style.*?</style\s*>', '', 'gis'), '</?(?:!doctype|html|head|meta|title|body|nav|a|div|article|h1|footer)(?:\s[^>]*)?>', '', 'gi'), '<br[^>]*>', '<br />', 'gi'), '<(/?)(p|ul|ol|li|strong|em|b|i)(?:\s[^>]*)?>', '<\1\2>', 'gi') AS clean FROM pages")
+@query("STR-6", r"""WITH s AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script\s*>|<style.*?</style\s*>|<textarea.*?</textarea\s*>|<option.*?</option\s*>', '', 'gis') AS h FROM pages)
+SELECT page_id, len(regexp_extract_all(h, '(?i)<p[\s>]'))::INT AS paragraphs, len(regexp_extract_all(h, '(?i)<(ul|ol|li|strong|em|h3|h4)[\s>]'))::INT AS others, len(regexp_extract_all(h, '(?i)<br[\s/>]'))::INT AS breaks,
+trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM s""")
 def sanitized(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.sanitize(F.col("html")).alias("clean"))
+    """What is left of every page: its allowed elements, each opened and closed once, and its text."""
+    rows = table(spark, sf, "pages").select("page_id", sanitize(F.col("html")).alias("clean"))
+    count = lambda pattern: F.size(F.regexp_extract_all("clean", F.lit(pattern), 0))
+    text = F.regexp_replace("clean", "<[^>]*>", "")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    whole = F.when(count("<p>") == count("</p>"), count("<p>"))
+    return rows.select("page_id", whole.alias("paragraphs"), count("</(?:ul|ol|li|strong|em|h3|h4)>").alias("others"), count("<br />").alias("breaks"), T.squeeze(text).alias("text"))
 
 
 @query("STR-7", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
