@@ -10,6 +10,7 @@ from ..operators.ordered import shared_folder
 from ..operators.resolve import content_hash
 from ..operators.snapshots import Snapshots
 from ..streaming import streams as S
+from ..streaming.timed import rocksdb, unseen_keys
 from .bindings import SIGHTINGS, as_of, printed, table
 from .living import DIFFERS, LANDED, NOW, first_landed, job_sql, registry
 from .living import ORACLE as LIVING
@@ -62,6 +63,14 @@ def unseen(spark, sf):
     return S.run_to_table(stream, folder(spark, "unseen")).groupBy("job").agg(F.count("*").alias("times"))
 
 
+@query("STM-3-state", ORACLE["STM-3"])
+def unseen_state(spark, sf):
+    """STM-3 over state in RocksDB with event-time timers."""
+    rows = events(spark, sf).withColumn("job", F.concat("event_type", F.col("user_id").cast("string")))
+    with rocksdb(spark):
+        return S.run_to_table(unseen_keys(rows, "job", "ts", 1), folder(spark, "unseen")).groupBy("job").agg(F.count("*").alias("times"))
+
+
 @query("STM-4", LIVING["LIF-4"])
 def signups(spark, sf):
     rows = events(spark, sf).select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("email"), F.col("event_type").alias("city"), F.lit(None).cast("string").alias("category"), "ts", F.col("event_id").cast("string").alias("token"))
