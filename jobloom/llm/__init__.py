@@ -1,4 +1,5 @@
-"""Training-data operators: language, mixing, extraction, deduplication, media, secrets, shards, tokens.
+"""Training-data operators: language, mixing, extraction, deduplication, media, secrets, shards, tokens, toxicity,
+phrases, manifests.
 
 Nothing else in the library imports this subpackage. Conventions held by every module:
 

@@ -32,7 +32,7 @@ UNIT, WIDTH = 576, 24
 SQUARE, LOW = 32, 8
 LEVEL = 1
 #: Bytes of samples that are inflated and unfiltered at a time.
-INFLATED = 4 << 20
+INFLATED = 12 << 20
 
 
 def padded(raw: bytes) -> bytes:
@@ -211,7 +211,7 @@ def read(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_
         return {k: batch.column(k) for k in keep} | {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(READ)}
 
     own = df.select(*keep, df[media_col].alias("__media"))
-    return map_texts(own, run, ddl(own, "__media") + "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", "__media")
+    return map_texts(own, run, ddl(own, "__media") + "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", "__media", 8 << 20)
 
 
 def _portions(stored: list[bytes | None], most: int = INFLATED) -> Iterator[list[bytes | None]]:

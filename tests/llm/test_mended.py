@@ -50,19 +50,20 @@ def test_latin_letters_have_codes_of_their_own():
 
 
 def test_pictures_of_high_expansion_are_inflated_a_few_at_a_time():
-    texts = [b"a " * 10_000] * 1500
-    made = media.write_pngs([media.padded(texts[0])])[0]
-    assert len(made) * 40 < len(texts[0])
-    portions = list(media._portions([made] * 1500 + [None, b"short"]))
+    text = b"a " * 10_000
+    made = media.write_pngs([media.padded(text)])[0]
+    assert len(made) * 40 < len(text)
+    portions = list(media._portions([made] * 1500 + [None, b"short"], 4 << 20))
     sizes = [sum(20_160 for m in p if m == made) for p in portions]
-    assert sum(map(len, portions)) == 1502 and max(sizes) <= media.INFLATED and len(portions) > 5
+    assert sum(map(len, portions)) == 1502 and max(sizes) <= 4 << 20 and len(portions) > 5
+    assert len(list(media._portions([made] * 1500))) == 3
     tracemalloc.start()
-    for some in media._portions([made] * 1500):
+    for some in media._portions([made] * 1500, 4 << 20):
         for samples in media.unfiltered([media._lines(m) for m in some]):
             media._read(samples)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 12 * media.INFLATED  # of 30 MB in all
+    assert peak < 12 * (4 << 20)  # of 30 MB in all
 
 
 def test_vectors_without_a_value_meet_nothing(spark):
