@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES, NOTIFY_CAP
-from .ordered import running, same
+from .ordered import running, same, stored
 
 # Limits of a sign-up and the pause between two confirmation mails.
 EMAIL, EMAIL_CHARS, CITY_CHARS, THROTTLE_MINUTES = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", 254, 100, 10
@@ -47,6 +47,7 @@ def places(alerts: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     patterns = F.array_distinct(F.array(*[F.struct(c.alias("city"), k.alias("category")) for c in either[0] for k in either[1]]))
     open_jobs = jobs.filter("is_active AND posted_at IS NOT NULL").select(F.col("id").alias("job_id"), F.col("posted_at").alias("at"), F.explode(patterns).alias("p"))
     both = open_jobs.select(F.lit(None).cast(marks.schema["alert_id"].dataType).alias("alert_id"), "p.*", "at", "job_id").unionByName(marks)
+    both = stored(both, "places-of")  # the sort reads it twice
     # at its mark an alert stands before the jobs, which are not newer
     order = [*[F.col(c).asc_nulls_first() for c in CRITERIA], F.desc("at"), F.asc_nulls_first("job_id"), F.asc("alert_id")]
     ranked = running(both, order, F.col("job_id").isNotNull().cast("long"), "places")
@@ -96,8 +97,9 @@ def digests(alerts: DataFrame, jobs: DataFrame, top: int | None = None) -> DataF
     """
     heads, lists = places(alerts, jobs)
     shown = heads if top is None else heads.withColumn("n", F.least("n", F.lit(top)))
-    listed = blocks(shown, lists).groupBy("alert_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "jobs"))), lambda b: b["jobs"])).alias("listed"))
-    return heads.join(listed, "alert_id").select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
+    listed = blocks(shown, lists).groupBy("alert_id").agg(F.max("n").alias("n"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "jobs"))), lambda b: b["jobs"])).alias("listed"))
+    whole = listed if top is None else listed.drop("n").join(heads, "alert_id")
+    return whole.select("alert_id", "n", F.col("listed.job_id").alias("jobs"), _subject().alias("subject"))
 
 
 def advance_watermark(alerts: DataFrame, delivered: DataFrame, sent_at: Column) -> DataFrame:

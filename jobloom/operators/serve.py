@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.money import is_plausible_band
 from ..functions.text import is_plausible_city, province_name, slugify_city
 from ..schema import LANDING_MINIMUM, PAGE_SIZE
-from .ordered import quantiles, running, same
+from .ordered import quantiles, running, same, stored
 
 
 def scan_active(jobs: DataFrame, cols: list[str]) -> DataFrame:
@@ -84,6 +84,7 @@ def summarize_pay(df: DataFrame, by: list[str]) -> DataFrame:
     Quantiles come from ranks in one order over all groups (``ordered.quantiles``), so no task sorts or holds a group.
     """
     good = df.filter(is_plausible_band(F.col("salary_min"), F.col("salary_max"), F.col("salary_period"))).withColumn("_mid", (F.col("salary_min") + F.col("salary_max")) / 2)
+    good = stored(good.select(*by, "salary_period", "salary_min", "salary_max", "_mid"), "bands")  # read for bounds, ranks and their sample
     per = good.groupBy(*by, "salary_period").agg(F.count("*").alias("_n"), F.min("salary_min").alias("low"), F.max("salary_max").alias("high"))
     hour = F.when(F.col("salary_period") == "hour", 1).otherwise(0)
     best = F.max_by(F.struct("salary_period", "low", "high"), F.struct("_n", hour.alias("h"), "salary_period"))
