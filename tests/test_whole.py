@@ -157,13 +157,11 @@ def test_work_between_jobs_needs_a_shared_folder_off_one_machine(spark, monkeypa
     context = spark.sparkContext
     monkeypatch.setattr(context, "master", "spark://host:7077")
     folder = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    try:
-        monkeypatch.setattr(context, "getCheckpointDir", lambda: None)
+    with monkeypatch.context() as unset:
+        unset.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+        unset.setattr(context, "getCheckpointDir", lambda: None)
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             ordered.shared_folder(spark, "x")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", folder)
     assert ordered.shared_folder(spark, "x").startswith(folder)
 
 
