@@ -288,8 +288,7 @@ def matched(spark, sf):
 
 @query("DIG-2", AW + f", {MATCH} SELECT alert_id, count(*) AS n, string_agg(job_id::VARCHAR, ',' ORDER BY posted_at DESC, job_id) AS jobs, count(*) || CASE WHEN count(*) = 1 THEN ' new job' ELSE ' new jobs' END AS subject FROM hits GROUP BY 1")
 def digest(spark, sf):
-    out = A.digests(alerts(spark, sf), jobs(spark, sf))
-    return out.withColumn("jobs", F.array_join(F.transform("jobs", lambda j: j.cast("string")), ","))
+    return A.digests(alerts(spark, sf), jobs(spark, sf), shown=lambda ids: F.array_join(F.transform(ids, lambda j: j.cast("string")), ","))
 
 
 @query("DIG-2-heads", AW + f", {MATCH} SELECT alert_id, city, category, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' new job' ELSE ' new jobs' END AS subject FROM hits JOIN alerts USING (alert_id) GROUP BY 1, 2, 3")
