@@ -93,3 +93,24 @@ def test_a_labelled_sample_stays_near_its_bound(spark):
     rows = toxicity.sample(docs, labels, 1000).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
     n = {r["toxic"]: (r["n"], r["w"]) for r in rows}
     assert 400 < n[1][0] < 600 and 400 < n[0][0] < 600 and abs(n[0][1] - 5400) < 700
+
+
+def test_every_labelled_row_teaches(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 1200")
+    truth = {r[0]: r[3] for r in ROWS}
+    labels = spark.createDataFrame([(i, t) for i, t in truth.items() if i % 4], "doc_id long, toxic int")
+    for more in ({}, {"shard": 200}):  # the first network has seen a few rows only
+        model = toxicity.fit(docs, labels, rows=30, **more)
+        got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(docs.filter("doc_id % 4 = 0"), model).collect()}
+        assert len(got) == 300 and np.mean([truth[i] == p for i, p in got.items()]) > 0.95
+    assert toxicity.fit(docs, labels, rows=30, shard=200) == model
+
+
+def test_long_texts_are_trained_on_whole(monkeypatch):
+    net = toxicity.Network()
+    line, starts = toxicity.laid([RNG.integers(1, 50, n) for n in (300, 0, 7, 120)])
+    vectors = np.vstack([np.zeros((1, toxicity.SIZE)), RNG.standard_normal((50, toxicity.SIZE))]).astype(np.float32)
+    whole = toxicity.largest(net, vectors, line, starts)
+    monkeypatch.setattr(toxicity, "PLACES", 13)
+    for a, b in zip(whole, toxicity.largest(net, vectors, line, starts), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
