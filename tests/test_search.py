@@ -40,3 +40,26 @@ def test_index_terms_are_the_stems_by_hand(spark):
     df = spark.createDataFrame(DOCS, "id long, text string")
     want = {(i, english_stem(w), k) for i, t in DOCS for k, w in enumerate(x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x) if w not in search.STOP_WORDS}
     assert {(r["id"], r["term"], r["pos"]) for r in search.build_index(df, {"C": "text"}, stemmed=True).select("id", "term", F.col("pos")).collect()} == want
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_sizes_of_terms_equal_those_of_the_index(spark, stemmed):
+    rows = [*DOCS, (1, "nurse nurses again nursing"), (None, "nurse home"), (None, "nurse"), (7, None), (7, "home of homes"), (8, "naïve Homes; homes!")]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    index = search.build_index(df, {"C": "text"}, "key", stemmed)
+    want = index.groupBy("term").agg(F.countDistinct("id").alias("docs"), F.count("*").alias("places"), F.sum("pos").alias("at"))
+    for some in (df, df.filter("key > 1 AND key < 7"), df.limit(0)):
+        given = want if some is df else search.build_index(some, {"C": "text"}, "key", stemmed).groupBy("term").agg(F.countDistinct("id").alias("docs"), F.count("*").alias("places"), F.sum("pos").alias("at"))
+        assert sorted(map(tuple, search.term_sizes(some, "text", "key", stemmed).collect())) == sorted(map(tuple, given.collect()))
+
+
+def test_pairs_of_terms_and_documents_stay_in_their_task(spark):
+    df = spark.range(2000).selectExpr("id", "concat_ws(' ', transform(sequence(1, 20), x -> concat('w', x % 7))) AS text").repartition(2)
+    plan = search.term_sizes(df, "text")
+    rows = plan.collect()
+    assert len(rows) == 7 and sum(r["docs"] for r in rows) == 14_000
+    assert "count(distinct" not in plan._jdf.queryExecution().toString().lower()
+    index = search.build_index(df, {"C": "text"})
+    found = search.web_search(index, spark.createDataFrame([(1, "w1 -w9"), (2, "w3 -w2")], "qid int, q string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode(transform") == 1  # one read of the texts
+    assert {r["qid"] for r in found.collect()} == {1}
