@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stemming import stem
-from .ordered import running, same
+from .ordered import running, stored
 
-#: Postings of a block, and postings for each folder of terms.
-BLOCK, FOLDER = 4096, 4_000_000
+#: Postings of a block, postings for each folder of terms, postings of a task, and places of the order in which a term's
+#: rows meet their start together.
+BLOCK, FOLDER, TASK, RUN = 4096, 4_000_000, 1_000_000, 250_000
 POSTING = "term string, id long, weight string, pos int"
 
 
@@ -33,24 +34,33 @@ def _folder(term: Column, folders: int) -> Column:
 def write_index(index: DataFrame, folder: str, block: int = BLOCK, folders: int | None = None) -> StoredIndex:
     """Writes (term, id, weight, pos) rows, ids being whole numbers, as blocks and a dictionary below ``folder``.
 
-    A term's rows are numbered in one order over all terms, so a common word is cut into as many blocks as it needs and
-    no task holds all of it. ``folders`` grows with the number of rows unless it is given.
+    A term's rows are numbered in one order over all terms, so a common word is cut into as many blocks as it needs. All
+    steps have a task for about ``TASK`` postings, and rows of a term meet its start in runs of ``RUN`` places of the order,
+    so no task holds more, however many postings there are or a word has. ``folders`` grows with the number of rows unless
+    it is given.
     """
-    rows = index.select("term", F.col("id").cast("long").alias("id"), "weight", F.col("pos").cast("int").alias("pos"))
-    ranked = running(rows, [F.asc("term"), F.asc("id"), F.asc("weight"), F.asc("pos")], F.lit(1), "postings")
-    number = folders or max(1, math.ceil(ranked.count() / FOLDER))
-    first = ranked.groupBy("term").agg((F.min("upto") - 1).alias("before"), F.count("*").alias("places"))
-    cut = ranked.alias("r").join(first.alias("f"), same(["term"], "r", "f")).select("r.*", F.expr(f"(upto - before - 1) div {block}").alias("block"))
+    spark = index.sparkSession
+    rows = stored(index.select("term", F.col("id").cast("long").alias("id"), "weight", F.col("pos").cast("int").alias("pos")), "index-rows")
+    total = rows.count()
+    number = folders or max(1, math.ceil(total / FOLDER))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK))
+    ranked = running(rows, [F.asc("term"), F.asc("id"), F.asc("weight"), F.asc("pos")], F.lit(1), "postings", tasks)
+    ends = ranked.groupBy("term").agg((F.min("upto") - 1).alias("before"), F.max("upto").alias("last"))
+    ends = ends.select("term", "before", F.explode(F.expr(f"sequence(before div {RUN}, (last - 1) div {RUN})")).alias("run")).repartition(tasks, "term", "run")
+    placed = ranked.withColumn("run", F.expr(f"(upto - 1) div {RUN}")).repartition(tasks, "term", "run")
+    cut = placed.join(ends, ["term", "run"]).withColumn("block", F.expr(f"(upto - before - 1) div {block}")).repartition(tasks, "term", "block")
     entry = F.sort_array(F.collect_list(F.struct("upto", "id", "weight", "pos")))  # ``block`` entries at most
-    packed = cut.groupBy("term", "block").agg(entry.alias("e"), F.min("id").alias("first"), F.count_distinct("id").alias("docs"))
+    packed = cut.groupBy("term", "block").agg(entry.alias("e"), F.min("id").alias("first"))
     gaps = F.expr("transform(e, (x, i) -> x.id - coalesce(get(e, i - 1).id, first))")
     blocks = packed.select("term", "block", "first", gaps.alias("gaps"), F.col("e.weight").alias("weights"), F.col("e.pos").alias("places"), _folder(F.col("term"), number).alias("folder"))
-    blocks.repartition("folder", F.pmod("block", F.lit(16))).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{folder}/blocks")
-
-    spark = index.sparkSession
-    docs = cut.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("docs"))
-    sizes = docs.join(first, "term").select("term", stem(F.col("term")).alias("stem"), "docs", "places", F.ceil(F.col("places") / block).alias("blocks"), _folder(F.col("term"), number).alias("at"))
-    terms = sizes.withColumn("folder", _folder(F.col("stem"), number))
+    blocks.repartition(tasks, "folder", F.expr("block div 64")).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{folder}/blocks")
+
+    written = spark.read.schema("term string, block long, first long, gaps array<long>").parquet(f"{folder}/blocks")
+    slim = stored(written.select("term", "block", "first", F.expr("first + aggregate(gaps, 0L, (a, g) -> a + g)").alias("last"), F.expr("1 + size(filter(gaps, g -> g != 0))").alias("docs"), F.size("gaps").alias("places")), "index-blocks")
+    before = slim.select("term", (F.col("block") + 1).alias("block"), F.col("last").alias("first"), F.lit(1).alias("again"))  # a document that goes on in the next block
+    sums = [F.sum(F.col("docs") - F.coalesce("again", F.lit(0))).alias("docs"), F.sum("places").alias("places"), F.count("*").alias("blocks")]
+    sizes = slim.join(before, ["term", "block", "first"], "left").groupBy("term").agg(*sums)
+    terms = sizes.select("term", stem(F.col("term")).alias("stem"), "docs", "places", "blocks", _folder(F.col("term"), number).alias("at")).withColumn("folder", _folder(F.col("stem"), number))
     terms.repartition("folder").sortWithinPartitions("stem", "term").write.partitionBy("folder").parquet(f"{folder}/terms")
     spark.createDataFrame([(number, block)], "folders int, block int").write.parquet(f"{folder}/about")
     return StoredIndex(spark, folder)
