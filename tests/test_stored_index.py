@@ -62,3 +62,12 @@ def test_a_search_reads_only_folders_of_its_words(spark, index, tmp_path):
     plan = stored.lookup(asked)._jdf.queryExecution().executedPlan().toString()
     (scan,) = [line for line in plan.splitlines() if "FileScan" in line and "gaps" in line]
     assert f"= {number})" in scan.split("PartitionFilters: ")[1].split("]")[0] and "term" in scan.split("PushedFilters: ")[1].split("]")[0]
+
+
+def test_postings_of_a_common_word_meet_its_start_in_runs(spark, index, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "TASK", 300)
+    monkeypatch.setattr(stored_index, "RUN", 50)
+    found = stored_index.write_index(index, str(tmp_path / "at"), 16, 3)
+    assert rows(found.lookup(index.select("term"))) == rows(index)
+    want = {r["term"]: (r["docs"], r["places"]) for r in index.groupBy("term").agg(F.count_distinct("id").alias("docs"), F.count("*").alias("places")).collect()}
+    assert {r["term"]: (r["docs"], r["places"]) for r in found.terms().collect()} == want

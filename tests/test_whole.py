@@ -214,3 +214,14 @@ def test_lists_that_alerts_share_are_made_once(spark, monkeypatch):
     got = {r["alert_id"]: (r["n"], r["jobs"]) for r in alerts.digests(made, posts).collect()}
     assert got == {i: (40, list(range(40))) for i in range(500)} | {900: (20, list(range(0, 40, 2)))}
     assert alerts.match_alerts(made, posts).count() == 500 * 40 + 20
+
+
+def test_deaccenting_holds_few_texts_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    held = []
+    monkeypatch.setattr(text, "HELD", 100)
+    monkeypatch.setattr(text, "decomposed", lambda v: held.append(v) or by_hand(v))
+    given = ["é" * 30, None, "", "ế" * 200, "ü"] * 20
+    assert text._decomposed(pa.array(given)).to_pylist() == [by_hand(v) for v in given]
+    assert text._decomposed(pa.array([], pa.string())).to_pylist() == [] and len(held) == 80
