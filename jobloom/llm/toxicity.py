@@ -51,8 +51,9 @@ CUT, FEW = 0.7, 12
 #: Rows of a shard, words that a shard holds at a time, its part of the step, rows of the table that are added up at a
 #: time, and rows below which shards make several passes.
 SHARD, CHUNK, GOES_ON, SLAB, AGAIN = 5_000, 300_000, 0.5, 64, 8_000
-#: Steps of a logit at which thresholds may lie, and places of a text whose responses are held at a time.
-STEPS, PLACES = 256, 200_000
+#: Steps of a logit at which thresholds may lie, places of a text whose responses are held at a time, and places whose
+#: responses are added up at a time, few enough to stay in a core's cache.
+STEPS, PLACES, NEAR = 256, 200_000, 2048
 #: Words whose vectors a scoring task remembers.
 KNOWN = 200_000
 SEED = 20240711
@@ -123,25 +124,28 @@ class Network:
             self.known.update(zip(new, range(len(self.kept), len(self.kept) + len(new)), strict=True))
             self.kept = np.concatenate(found)
         at = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
-        return np.concatenate([np.zeros((1, SIZE), np.float32), self.kept[at]])
+        out = np.zeros((len(at) + 1, SIZE), np.float32)
+        out[1:] = self.kept.take(at, axis=0)
+        return out
 
     def vectors(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Vectors of words; the first row is the empty place between texts."""
         out = np.zeros((len(sizes) + 1, SIZE), np.float32)
         if len(sizes):
-            np.add.reduceat(self.table[rows], np.r_[0, np.cumsum(sizes)[:-1]], axis=0, out=out[1:])
+            np.add.reduceat(self.table.take(rows, axis=0), np.r_[0, np.cumsum(sizes)[:-1]], axis=0, out=out[1:])
             out[1:] /= np.sqrt(sizes)[:, None]
         return out
 
     def responses(self, vectors: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Responses of all filters at every place of ``codes``; texts end in places of code 0, as many as the widest filter less one."""
         padded = np.r_[codes, np.zeros(max(WIDTHS), codes.dtype)]
+        by_place = [np.concatenate([vectors @ self.filters[w][k] for w in WIDTHS if w > k], axis=1) for k in range(max(WIDTHS))]
         out = np.empty((len(codes), FILTERS * len(WIDTHS)), np.float32)
-        for i, width in enumerate(WIDTHS):
-            own = out[:, i * FILTERS : (i + 1) * FILTERS]
-            own[:] = (vectors @ self.filters[width][0])[codes]
-            for k in range(1, width):
-                own += (vectors @ self.filters[width][k])[padded[k : k + len(codes)]]
+        for at in range(0, len(codes), NEAR):
+            own = out[at : at + NEAR]
+            np.take(by_place[0], codes[at : at + NEAR], axis=0, out=own, mode="clip")
+            for k in range(1, max(WIDTHS)):
+                own[:, FILTERS * sum(w <= k for w in WIDTHS) :] += by_place[k].take(padded[at + k : at + k + len(own)], axis=0)
         out[codes == 0] = -np.inf
         return out
 
@@ -264,10 +268,11 @@ def score_words(net: Network, texts: list[Iterator[list[str]]], hold: int = 200_
         vectors = net.of_words(unique.tolist())
         line, starts = laid(np.split(codes + 1, np.cumsum([len(p) for p in held])[:-1]))
         places = net.responses(vectors, line)
-        for start, part, goes_on in zip(starts, held, more, strict=True):
-            if goes_on:  # the last words stand at the head of the next slice again, with what follows them
-                places[start + max(0, len(part) - GAP) : start + len(part)] = -np.inf
-        np.maximum.at(out, owners, np.maximum.reduceat(places, starts, axis=0))
+        for start, part, goes_on, i in zip(starts, held, more, owners, strict=True):
+            # the last words of a slice stand at the head of the next one again, with what follows them
+            end = start + max(0, len(part) - GAP if goes_on else len(part))
+            if end > start:
+                np.maximum(out[i], places[start:end].max(axis=0), out=out[i])
 
     for i, parts in enumerate(texts):
         part = next(parts, None)
@@ -424,7 +429,7 @@ def _thresholds(every: DataFrame, net: Network, tongues: tuple) -> tuple[dict[st
         net, told, _, _ = _loaded(key, model)
         texts = batch.column("text").to_pylist()
         logits = score_words(net, [words(t) for t in texts])
-        return {"named": pa.array([_language(told, t) for t in texts], pa.string()), "at": pa.array(np.round(np.clip(logits, -100, 100) * STEPS).astype(np.int32)), "toxic": batch.column("toxic")}
+        return {"named": pa.array([told.language(t) for t in texts], pa.string()), "at": pa.array(np.round(np.clip(logits, -100, 100) * STEPS).astype(np.int32)), "toxic": batch.column("toxic")}
 
     told = map_texts(every.filter("draw % 5 = 0").select("text", "toxic"), run, "named string, at int, toxic int", "text")
     found = told.groupBy("named", "at", "toxic").agg(F.count("*").alias("n")).toPandas()  # 200 * STEPS rows a language and label at most
@@ -434,11 +439,6 @@ def _thresholds(every: DataFrame, net: Network, tongues: tuple) -> tuple[dict[st
     return {name: edge(some) for name, some in per.items()}, edge(found) if found["toxic"].any() else 0.0
 
 
-def _language(told: langid.Model, text: str) -> str:
-    cosines = told.cosines(text)
-    return langid.UNDETERMINED if cosines is None else told.langs[int(np.argmax(cosines))]
-
-
 _MODELS: dict[bytes, tuple] = {}
 
 
@@ -446,7 +446,7 @@ def _loaded(key: bytes, model: bytes) -> tuple:
     if key not in _MODELS:
         _MODELS.clear()
         net, tongues, own, every = pickle.loads(model) if model else (None, None, {}, 0.0)
-        _MODELS[key] = net, langid.Model(*tongues) if net else None, own, every
+        _MODELS[key] = net, langid.Teller(*tongues) if net else None, own, every
     return _MODELS[key]
 
 
@@ -460,7 +460,7 @@ def predict(df: DataFrame, model: bytes, text_col: str = "text", keep: tuple[str
         texts = [t or "" for t in batch.column("__text").to_pylist()]
         scores = np.zeros(len(texts))
         if net is not None:
-            shift = np.array([own.get(_language(told, t), every) if own else every for t in texts])
+            shift = np.array([own.get(told.language(t), every) if own else every for t in texts])
             apart = score_words(net, [words(t) for t in texts]).astype(np.float64) - shift
             scores = np.round(1 / (1 + np.exp(-np.clip(apart + np.log(CUT / (1 - CUT)), -30, 30))), 6)
         return {k: batch.column(k) for k in keep} | {"score": pa.array(scores), "predicted": pa.array((scores >= CUT).astype(np.int32), pa.int32())}

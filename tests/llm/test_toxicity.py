@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm import entry, toxicity
+from jobloom.llm import entry, langid, toxicity
 
 RNG = np.random.default_rng(3)
 PLAIN = {"en": "the cat and dog went over to that house with them while rain fell on a quiet road".split(), "fr": "le chat et chien sont dans cette maison avec eux pendant que nous mangeons du pain".split()}
@@ -114,3 +114,30 @@ def test_long_texts_are_trained_on_whole(monkeypatch):
     monkeypatch.setattr(toxicity, "PLACES", 13)
     for a, b in zip(whole, toxicity.largest(net, vectors, line, starts), strict=True):
         assert np.allclose(a, b, atol=1e-5)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"AT_ONCE": 7, "KEPT": 0}])
+def test_a_language_is_told_by_dot_products_as_by_cosines(monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(langid, name, value)
+    protos = RNG.standard_normal((3, langid.DIMENSIONS))
+    model, teller = langid.Model(["a", "b", "c"], protos), langid.Teller(["a", "b", "c"], protos)
+    for text in [r[1] for r in ROWS[:60]] + ["", "12 ?!", "x", "Ελλάδα ΣΑΣ", "日本語 テキスト", LONG[:50_000]]:
+        cosines = model.cosines(text)
+        assert teller.language(text) == ("und" if cosines is None else model.langs[int(np.argmax(cosines))])
+    assert langid.Teller([], np.zeros((0, langid.DIMENSIONS))).language("some text") == "und"
+    assert teller.dots.shape[1] == 3 and teller.size <= len(teller.dots)  # a number a gram and language, no vector a gram
+
+
+@pytest.mark.parametrize("near", [1, 13, 2048])
+def test_responses_added_up_in_parts_are_those_of_the_line(monkeypatch, near):
+    monkeypatch.setattr(toxicity, "NEAR", near)
+    net = toxicity.Network()
+    line, _ = toxicity.laid([RNG.integers(1, 50, n) for n in (300, 0, 1, 120)])
+    vectors = np.vstack([np.zeros((1, toxicity.SIZE)), RNG.standard_normal((50, toxicity.SIZE))]).astype(np.float32)
+    ahead = np.r_[line, np.zeros(toxicity.GAP, int)]
+    found = net.responses(vectors, line)
+    for i, width in enumerate(toxicity.WIDTHS):
+        plain = sum(vectors[ahead[k : k + len(line)]] @ net.filters[width][k] for k in range(width))
+        own = found[:, i * toxicity.FILTERS : (i + 1) * toxicity.FILTERS]
+        assert np.allclose(own[line > 0], plain[line > 0], atol=1e-4) and np.isneginf(own[line == 0]).all()
