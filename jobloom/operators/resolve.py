@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import classify
 from ..functions.text import clean_city, deaccent, normalize_title, slugify_title
 from ..schema import AGGREGATORS, EXPIRY_DAYS
+from .ordered import shuffled
 
 
 def fingerprint(title: Column, employer: Column, city: Column, province: Column) -> Column:
@@ -31,7 +32,7 @@ def group_into_jobs(raw: DataFrame) -> DataFrame:
     """
     spans = raw.groupBy("fingerprint").agg((F.min("source_id") != F.max("source_id")).alias("spans"))
     key = F.when(F.col("spans"), F.col("fingerprint")).otherwise(F.concat_ws(":", "fingerprint", F.col("id").cast("string")))
-    return raw.join(spans, "fingerprint").withColumn("group_key", key)
+    return raw.join(shuffled(spans), "fingerprint").withColumn("group_key", key)
 
 
 def pick_canonical(grouped: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def diff_snapshot(old: DataFrame, new: DataFrame, key: list[str], cols: list[str
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key])
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in cols])
     change = F.when(F.col("_seen").isNull(), "new").when(differs, "changed").otherwise("unchanged")
-    return new.join(before, same, "left").select(new["*"], change.alias("change"))
+    return new.join(shuffled(before), same, "left").select(new["*"], change.alias("change"))
 
 
 def merge_jobs(old: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
@@ -92,7 +93,7 @@ def merge_jobs(old: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
 
 def new_links(links: DataFrame, existing: DataFrame) -> DataFrame:
     """The different (job_key, raw_id) that the link table lacks; a pair is a row, so no group is held in one value."""
-    return links.select("job_key", "raw_id").distinct().join(existing, ["job_key", "raw_id"], "left_anti")
+    return links.select("job_key", "raw_id").distinct().join(shuffled(existing), ["job_key", "raw_id"], "left_anti")
 
 
 def content_hash(cols: list[str]) -> Column:
@@ -103,7 +104,7 @@ def classify_change(known: DataFrame, incoming: DataFrame, key: list[str]) -> Da
     """Incoming rows with ``status``: inserted, updated or unchanged, by content hash."""
     before = known.select(*key, F.col("content_hash").alias("_hash"))
     status = F.when(F.col("_hash").isNull(), "inserted").when(F.col("_hash") != F.col("content_hash"), "updated").otherwise("unchanged")
-    return incoming.join(before, key, "left").withColumn("status", status).drop("_hash")
+    return incoming.join(shuffled(before), key, "left").withColumn("status", status).drop("_hash")
 
 
 def resolve(raw: DataFrame, registry: DataFrame, jobs: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
@@ -114,7 +115,7 @@ def resolve(raw: DataFrame, registry: DataFrame, jobs: DataFrame, links: DataFra
     cols = [c for c in rows.columns if c != "dedupe_key"]
     changed = diff_snapshot(jobs, rows, ["dedupe_key"], cols)
     keyed = good.select("group_key", F.concat_ws(":", "fingerprint", "source_job_id").alias("job_key"))
-    fresh = grouped.join(keyed, "group_key").select("job_key", F.col("id").alias("raw_id"))
+    fresh = grouped.join(shuffled(keyed), "group_key").select("job_key", F.col("id").alias("raw_id"))
     stats = changed.agg(F.count("*").alias("jobs"), F.count_if(F.col("change") == "unchanged").alias("unchanged"), F.count_if(F.col("change") != "unchanged").alias("written"))
     merges = good.agg(F.count_if(F.col("sources") > 1).alias("merges"))
     return {"jobs": changed, "links": new_links(fresh, links), "quarantine": bad, "stats": stats.crossJoin(merges)}

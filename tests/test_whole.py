@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobloom import plans
 from jobloom.functions import text
-from jobloom.operators import alerts, ordered, resolve, serve
+from jobloom.operators import alerts, lifecycle, ordered, resolve, serve
 from jobloom.plans import extracting
 
 SF = "/root/testdata/sf0.001"
@@ -225,3 +225,21 @@ def test_deaccenting_holds_few_texts_at_a_time(monkeypatch):
     given = ["é" * 30, None, "", "ế" * 200, "ü"] * 20
     assert text._decomposed(pa.array(given)).to_pylist() == [by_hand(v) for v in given]
     assert text._decomposed(pa.array([], pa.string())).to_pylist() == [] and len(held) == 80
+
+
+def test_no_table_that_grows_is_broadcast_between_stages(spark):
+    day = "timestamp'2001-08-01'"
+    raw = spark.range(300).selectExpr("id", "concat('s', id % 3) AS source_id", "cast(id AS string) AS source_job_id", "concat('Nurse ', id div 3) AS title", "'E' AS employer_name", "'Toronto' AS city", "'ON' AS province", f"{day} AS posted_at", f"{day} AS closes_at", "cast(id div 3 AS string) AS fingerprint", f"{day} AS last_seen_at", "'h' AS content_hash")
+    registry = spark.createDataFrame([("E", "e", "Ottawa")], "name string, employer_id string, default_city string")
+    links = raw.selectExpr("concat('f', id div 3) AS job_id", "id AS raw_id")
+    jobs = links.select("job_id").distinct().selectExpr("job_id", "job_id AS slug", "true AS is_active", f"{day} AS posted_at", f"{day} AS expires_at")
+    seen, now, key = raw.withColumnRenamed("id", "raw_id"), F.lit("2001-08-02").cast("timestamp"), ["source_id", "source_job_id"]
+    found = resolve.resolve(raw, registry, resolve.build_job_rows(raw, registry), links.withColumnRenamed("job_id", "job_key"))
+    end = lifecycle.purge(jobs, links, seen, jobs.select("slug").limit(9), now)
+    tables = [found["jobs"], found["links"], resolve.classify_change(raw, raw, key), lifecycle.drop_too_old(raw, raw, now, key), *lifecycle.split_known(raw, raw, key)]
+    tables += [lifecycle.expire(jobs, links, seen, now)[0], lifecycle.unseen_jobs(jobs, links, seen, now), *[end[k] for k in ("jobs", "links", "raw", "tombstones")]]
+    for table in tables:
+        table.collect()
+        joins = [line for line in table._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert all("employer_name" in line for line in joins), joins  # the registry is small
+    assert found["jobs"].count() == 100 and lifecycle.expire(jobs, links, seen, now)[0].count() == 100
