@@ -25,10 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model[0]:
         return docs
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    kept = langid.predict(rows, model, keep=("row",)).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")  # texts are sent once
+    kept = langid.predict(rows, model, keep=("row", "text")).filter(F.col("lang_pred") != langid.UNDETERMINED)
     column = lambda c: F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row").getField(c)
-    return kept.select(*[column(c).alias(c) for c in docs.columns])
+    return kept.select(*["text" if c == "text" else column(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

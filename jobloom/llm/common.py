@@ -101,6 +101,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
         for batch in batches:
             for part in pieces(batch, text_col, limit):
                 yield pa.RecordBatch.from_pydict(fn(part))
+        batch = part = None
         if after:
             after()
         give_back()

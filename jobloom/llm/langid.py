@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_texts, read_table
+from .common import ddl, give_back, map_texts, pieces, read_table
 
 #: Dimensions, n-gram length and codes of letters. Lower-case letters up to TABLED (all of Latin) have a code each; the
 #: others share all codes by remainder, so letters of another script that lie LETTERS - 1 apart are one.
@@ -83,8 +83,8 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches):
         held: dict[str, list[np.ndarray]] = {}
         size = 0
-        for batch in batches:
-            for text, lang in zip(batch.column("__text").to_pylist(), batch.column("__lang").to_pylist(), strict=True):
+        for part in (part for batch in batches for part in pieces(batch, "__text", 4 << 20)):
+            for text, lang in zip(part.column("__text").to_pylist(), part.column("__lang").to_pylist(), strict=True):
                 codes = grams(text or "")
                 held.setdefault(lang, []).append(codes.astype(np.int32))
                 size += len(codes)
@@ -92,6 +92,8 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     yield from _rows(held)
                     held, size = {}, 0
         yield from _rows(held)
+        held = part = text = codes = None
+        give_back()
 
     def _rows(held):
         for lang, codes in held.items():
@@ -122,6 +124,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension
                     sums[name] = sums.get(name, 0) + n[part] @ gram_vectors(codes[part], letters)
         for name, total in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * dimensions, pa.string()), "d": np.arange(dimensions), "x": total})
+        give_back()
 
     rows = counts.mapInArrow(bundle, "lang string, d long, x double").groupBy("lang", "d").agg(F.sum("x").alias("x"))
     per = {r["lang"]: r["v"] for r in rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).collect()}
@@ -138,24 +141,37 @@ class Model:
         self.langs, self.letters = langs, letter_vectors(protos.shape[1]).astype(np.int8)
         self.protos = protos.astype(np.float32)
         self.rows = np.zeros((0, protos.shape[1]), np.int8)
-        self.place = np.full(LETTERS**GRAM, -1, np.int32)
+        self._empty()
+
+    def _empty(self) -> None:
+        """No gram has a row. A gram's place is in the page of its first two letters, which is made when such a gram is first met."""
+        self.page = np.zeros(LETTERS ** (GRAM - 1), np.int32)
+        self.place = np.full((1, LETTERS), -1, np.int32)  # page 0 stays empty
         self.size = 0
 
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        head = codes // LETTERS
+        return self.place[self.page[head], codes - head * LETTERS]
+
     def lookup(self, codes: np.ndarray) -> np.ndarray:
         """Rows of the gram vectors, bound when a gram is first met; the table is emptied when it grows large."""
-        at = self.place[codes]
+        at = self._places(codes)
         if (new := codes[at < 0]).size:
             if self.size + len(new) > 40_000:
-                self.place[:] = -1
-                self.size, new = 0, codes
+                self._empty()
+                new = codes
             if self.size + len(new) > len(self.rows):
                 grown = np.zeros((max(2 * len(self.rows), self.size + len(new), 4096), self.protos.shape[1]), np.int8)
                 grown[: self.size] = self.rows[: self.size]
                 self.rows = grown
             self.rows[self.size : self.size + len(new)] = gram_vectors(new, self.letters)
-            self.place[new] = np.arange(self.size, self.size + len(new))
+            heads = np.unique(new // LETTERS)
+            if (heads := heads[self.page[heads] == 0]).size:
+                self.page[heads] = len(self.place) + np.arange(len(heads))
+                self.place = np.vstack([self.place, np.full((len(heads), LETTERS), -1, np.int32)])
+            self.place[self.page[new // LETTERS], new % LETTERS] = np.arange(self.size, self.size + len(new))
             self.size += len(new)
-            at = self.place[codes]
+            at = self._places(codes)
         return self.rows[at]
 
     def cosines(self, text: str) -> np.ndarray | None:
@@ -220,6 +236,18 @@ class Teller:
 _MODELS: dict[bytes, Model] = {}
 
 
+def _loaded(key: bytes, langs: list[str], protos: np.ndarray) -> Model:
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(langs, protos)
+    return _MODELS[key]
+
+
+def forget() -> None:
+    """Lets go of the model, which a worker that lives on would hold through all later tasks."""
+    _MODELS.clear()
+
+
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score``: the best cosine, 0 where it is negative."""
     langs, protos = model
@@ -228,19 +256,16 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     name = text_col if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else "__text"
 
     def run(batch: pa.RecordBatch) -> dict:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(langs, protos)
-        names, scores = [], []
+        own, names, scores = _loaded(key, langs, protos), [], []
         for text in batch.column(name).to_pylist():
-            cos = _MODELS[key].cosines(text or "")
+            cos = own.cosines(text or "")
             best = -1 if cos is None else int(np.argmax(cos))
             names.append(UNDETERMINED if cos is None else langs[best])
             scores.append(0.0 if cos is None else round(float(min(1.0, max(0.0, cos[best]))), 6))
         return {k: batch.column(k) for k in keep} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
     own = df.select(*keep) if name in keep else df.select(*keep, df[text_col].cast("string").alias(name))
-    return map_texts(own, run, ddl(own) + "lang_pred string, score double", name)
+    return map_texts(own, run, ddl(own) + "lang_pred string, score double", name, after=forget)
 
 
 def is_held_out(id_col: str = "doc_id") -> F.Column:

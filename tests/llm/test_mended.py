@@ -1,11 +1,13 @@
-"""Labelled pages against the prior of names, pictures of high expansion, letters of Latin, vectors without a value."""
+"""Labelled pages against the prior of names, pictures of high expansion, letters of Latin, memory of language tasks, vectors without a value."""
 
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from jobloom.llm import embed_join, htmltext, langid, media
+from jobloom.llm import common, embed_join, htmltext, langid, media
 
 NAMES = "recommendations responses search related notice alerts social-history search-results menu-plan".split()
 
@@ -66,6 +68,67 @@ def test_pictures_of_high_expansion_are_inflated_a_few_at_a_time():
     assert peak < 12 * (4 << 20)  # of 30 MB in all
 
 
+class Task:
+    """Stands for a frame and keeps what it is given to run in tasks."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *columns):
+        return self
+
+    def __getitem__(self, name):
+        return F.col(name)
+
+    groupBy = agg = select
+
+
+def peak_of(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_a_language_model_holds_the_grams_it_has_met():
+    langid.grams("a")
+    model = ["a", "b"], np.random.default_rng(0).normal(size=(2, langid.DIMENSIONS))
+    assert peak_of(lambda: langid.Model(*model).cosines("some text of a few words " * 400)) < 16 << 20  # a table of all grams has 64 MB
+
+
+def test_a_language_task_takes_texts_a_few_at_a_time_and_gives_memory_back(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"__text": ["word " * 4000] * 1500, "__lang": ["en"] * 1500})
+    monkeypatch.setattr(langid, "HELD", 100_000)
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(1), raising=False)
+    langid.gram_counts(task := Task(), "text", "lang")
+    rows = []
+    assert peak_of(lambda: rows.extend(b.to_pydict() for b in task.run([batch]))) < 20 << 20  # of 30 MB of texts
+    assert given == [1] and sum(sum(r["n"]) for r in rows) == 1500 * 19_999
+
+
+def test_a_language_task_lets_go_of_its_model_before_it_gives_memory_back(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(common, "give_back", lambda: held.append(len(langid._MODELS)))
+    monkeypatch.setattr(langid, "ddl", lambda own: "")
+    langid.predict(task := Task(), (["a", "b"], np.eye(2, langid.DIMENSIONS)), keep=())
+    texts = pa.RecordBatch.from_pydict({"__text": ["one text", None]})
+    assert [b.num_rows for b in task.run([texts])] == [2] and held == [0]
+
+
+def test_the_language_stage_sends_each_text_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    sent, predict = [], langid.predict
+    monkeypatch.setattr(langid, "predict", lambda df, *a, **b: sent.append(df.schema.simpleString()) or predict(df, *a, **b))
+    docs = spark.createDataFrame([(1, "one text", "en", "a"), (2, "no lang", None, "b"), (3, "12", "en", "b"), (4, None, "en", "b")], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert sorted(map(tuple, out.collect())) == [(1, "one text", "en", "a"), (2, "no lang", "en", "b")] and out.columns == docs.columns
+    assert sent[0].count("text:") == 1
+
+
 def test_vectors_without_a_value_meet_nothing(spark):
     rows = [(i, None if i % 3 else [1.0, float(i)]) for i in range(30)] + [(40, [0.0, 0.0]), (41, [float("nan"), 1.0]), (42, None), (0, [1.0, 0.0])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
