@@ -276,7 +276,9 @@ def join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: i
     sets = docs.filter("prefix > 0 AND grams IS NOT NULL").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "grams", "cell")])
     sets = chunked(stored(sets, "distinct"), chunk)
     met = routes(sets, percent).join(sets.select("key", "n", "prefix", "grams"), "key")
-    roots = components(met.groupBy("low", "high").applyInArrow(lambda rows: linked(rows, percent), "a long, b long"))
+    # Written, as two Python functions in one task are two workers, and Spark keeps workers with their memory.
+    links = stored(met.groupBy("low", "high").applyInArrow(lambda rows: linked(rows, percent), "a long, b long"), "pairs")
+    roots = components(links)
     # The least id of each set, then of each class of sets; documents meet the sets that have a class or several rows.
     keys = docs.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     keys = keys.join(roots, F.col("key") == F.col("node"), "left").filter("rows > 1 OR root IS NOT NULL")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.llm import common, embed_join, htmltext, langid, media
+from jobloom.llm import common, embed_join, htmltext, langid, media, ngram_join
 
 NAMES = "recommendations responses search related notice alerts social-history search-results menu-plan".split()
 
@@ -129,6 +129,16 @@ def test_the_language_stage_sends_each_text_once(spark, monkeypatch):
     assert sent[0].count("text:") == 1
 
 
+def test_near_duplicates_run_one_python_function_a_task(spark, monkeypatch):
+    given, components = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: given.append(edges) or components(edges))
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(words[:39])), (4, "else " * 9), (6, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {5: 3, 3: 3, 4: 4, 6: 6}
+    assert "InArrow" not in given[0]._jdf.queryExecution().executedPlan().toString()  # links are found before, not in the same tasks
+
+
 def test_vectors_without_a_value_meet_nothing(spark):
     rows = [(i, None if i % 3 else [1.0, float(i)]) for i in range(30)] + [(40, [0.0, 0.0]), (41, [float("nan"), 1.0]), (42, None), (0, [1.0, 0.0])]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
