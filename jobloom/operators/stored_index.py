@@ -40,7 +40,7 @@ def _folder(term: Column, folders: int) -> Column:
 def write_index(index: DataFrame, folder: str, block: int = BLOCK, folders: int | None = None) -> StoredIndex:
     """Writes (term, id, weight, pos) rows, ids being whole numbers, as blocks and a dictionary below ``folder``.
 
-    Postings are never shuffled as rows: tasks pack them by term, about three bytes each, and pieces are what is written
+    Postings are never shuffled as rows: tasks pack them by term, under four bytes each, and pieces are what is written
     between steps and sent once. A term with more than ``RUN`` postings is cut into slices of about as many by id, found from
     where its pieces begin; slices are counted, so each knows the place of its first posting and cuts the term's blocks where
     they belong. Only the two parts of a block at a slice's ends meet once more. All steps have a task for about ``TASK``
